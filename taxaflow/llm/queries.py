@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, pii, simhash
+from . import ann, chat, decontam, langid, packing, pii, simhash
 from .common import id_mod, table
 
 
@@ -13,6 +13,16 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws(":", m.start.cast("string"), m.end.cast("string")))
+    return views.withColumn("mask", F.array_join(spans, ","))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(id_mod("doc_id", 4) == 2, F.lit(False))
@@ -38,4 +48,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict:
-    return {}
+    return {"op4_chat": chat.ORACLE}
