@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, id_mod, raw, slices  # noqa: F401
+from .common import slices
 
 BUCKETS = 1 << 16
 #: Documents from which weights are learned; document frequencies count all.
@@ -79,7 +79,6 @@ class Model:
 
 
 def _sparse(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    total: dict[str, np.ndarray] = {}
     keys, values = [], []
     for g in grams(text):
         if len(g):
@@ -98,11 +97,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit_ftrl(
-    rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_classes: int, *,
+    rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_classes: int, *, size: int = BUCKETS,
     alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = EPOCHS,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, bias) by FTRL-proximal with L1 and L2, one row at a time, every class at once."""
-    z, n = np.zeros((BUCKETS + 1, n_classes)), np.zeros((BUCKETS + 1, n_classes))
+    """(weights, bias) by FTRL-proximal with L1 and L2, one row at a time, every class at once.
+
+    ``labels`` are classes, or one row of class probabilities for each row.
+    """
+    z, n = np.zeros((size + 1, n_classes)), np.zeros((size + 1, n_classes))
+    wanted = labels if labels.ndim == 2 else np.eye(n_classes)[labels]
 
     def current(at: np.ndarray) -> np.ndarray:
         za, na = z[at], n[at]
@@ -110,17 +113,16 @@ def fit_ftrl(
         return np.where(np.abs(za) <= l1, 0.0, shrunk / ((beta + np.sqrt(na)) / alpha + l2))
 
     for _ in range(epochs):
-        for (k, v), y in zip(rows, labels):
-            at, x = np.append(k, BUCKETS), np.append(v, 1.0)
+        for (k, v), y in zip(rows, wanted):
+            at, x = np.append(k, size), np.append(v, 1.0)
             w = current(at)
-            error = _softmax(x @ w)
-            error[y] -= 1.0
+            error = _softmax(x @ w) - y
             g = x[:, None] * error[None, :]
             before = n[at]
             after = before + g * g
             z[at] += g - (np.sqrt(after) - np.sqrt(before)) / alpha * w
             n[at] = after
-    all_w = current(np.arange(BUCKETS + 1))
+    all_w = current(np.arange(size + 1))
     return all_w[:-1], all_w[-1]
 
 
