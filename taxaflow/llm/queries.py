@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, packing, pii, quality, simhash, toxicity
+from . import ann, chat, decontam, langid, lm, packing, pii, quality, simhash, toxicity
 from .common import id_mod, table
 
 
@@ -13,6 +13,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_mod("doc_id", 7) == 2, F.lit(False))
+    return lm.score(docs, docs.where(~held_out)).withColumn("held_out", held_out)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
