@@ -7,7 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import seeded_key
+from ..functions import fixed, scalars
+
+#: A side is broadcast explicitly only below so many rows (counted first).
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -22,7 +30,56 @@ def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int
     return df if cap is None else df.where(F.col(rank) <= cap)
 
 
-def select_candidates(
+# ---------------------------------------------------------------- predicates
+
+
+def one_of(value: Column, listed: Sequence[str | None] | None) -> Column:
+    """Membership; a None in the list admits nulls, an empty list admits nothing, no list everything."""
+    if listed is None:
+        return F.lit(True)
+    names = [x for x in listed if x is not None]
+    known = F.coalesce(value.isin(names), F.lit(False)) if names else F.lit(False)
+    return known | value.isNull() if None in listed else known
+
+
+def none_of(value: Column, listed: Sequence[str] | None) -> Column:
+    """Exclusion that keeps nulls."""
+    return value.isNull() | ~value.isin(list(listed)) if listed else F.lit(True)
+
+
+def not_hosted_at(url: Column, hosts: Sequence[str] | None = tuple(fixed.EXCLUDED_HOSTS)) -> Column:
+    """URLs elsewhere than at these hosts; a missing host passes."""
+    return none_of(scalars.url_host(url), [h.lower() for h in hosts] if hosts else None)
+
+
+# ---------------------------------------------------------------- names
+
+
+def query_keys(queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """``species_query, match_key`` of the queries and their aliases (``species_query, alias``)."""
+    names = queries.select("species_query", F.col("species_query").alias("name"))
+    if aliases is not None:
+        listed = aliases.join(queries.select("species_query"), "species_query", "left_semi")
+        names = names.union(listed.select("species_query", F.col("alias").alias("name")))
+    return names.select("species_query", scalars.match_key(F.col("name")).alias("match_key")).distinct()
+
+
+def colliding_keys(keys: DataFrame) -> DataFrame:
+    """Keys that several queries claim, with those queries; must be empty before a join."""
+    claimed = keys.groupBy("match_key").agg(F.sort_array(F.collect_set("species_query")).alias("queries"))
+    return claimed.where(F.size("queries") > 1)
+
+
+def match_catalog(catalog: DataFrame, keys: DataFrame, name: str = "scientific_name") -> DataFrame:
+    """Catalog rows whose name has the key of a query, which is added."""
+    keyed = catalog.withColumn("match_key", scalars.match_key(F.col(name)))
+    return keyed.join(small(keys), "match_key").drop("match_key")
+
+
+# ---------------------------------------------------------------- selection
+
+
+def ranked_candidates(
     matched: DataFrame,
     provenance: DataFrame,
     *,
@@ -31,18 +88,162 @@ def select_candidates(
     uuid: str,
     provenance_order: Sequence[str],
     eligible: Column,
-    per_observation: int | None,
-    per_group: int | None,
     seed: int = 0,
 ) -> DataFrame:
-    """At most ``per_group`` rows of each group and ``per_observation`` of each observation, in a seeded order.
+    """Eligible rows, one per (group, uuid), ranked inside each observation in the seeded order.
 
-    The filter on the catalog side runs before the left join; the join keeps rows without provenance and one
-    provenance row per (group, uuid). Rank ties cannot occur: the order ends in the uuid.
+    The left join keeps rows without provenance. Of several provenance rows of a uuid the first by
+    ``provenance_order`` (nulls last) stands.
     """
     joined = matched.join(provenance, uuid, "left").where(eligible)
     single = one_per_key(joined, [group, uuid], [F.col(c).asc_nulls_last() for c in provenance_order])
-    keyed = single.withColumn("order_key", seeded_key(seed, F.col(uuid)))
-    order = [F.col("order_key"), F.col(uuid)]
-    inside = capped(keyed, [group, observation], order, per_observation, "observation_rank")
-    return capped(inside, [group], order, per_group, "rank")
+    keyed = single.withColumn("order_key", scalars.seeded_key(seed, F.col(uuid)))
+    return capped(keyed, [group, observation], [F.col("order_key"), F.col(uuid)], None, "observation_rank")
+
+
+def select_candidates(
+    matched: DataFrame, provenance: DataFrame, *, per_observation: int | None, per_group: int | None, group: str, uuid: str, **how
+) -> DataFrame:
+    """At most ``per_group`` rows of each group and ``per_observation`` of each observation, in a seeded order."""
+    ranked = ranked_candidates(matched, provenance, group=group, uuid=uuid, **how)
+    inside = ranked if per_observation is None else ranked.where(F.col("observation_rank") <= per_observation)
+    return capped(inside, [group], [F.col("order_key"), F.col(uuid)], per_group, "rank")
+
+
+def candidate_columns(ranked: DataFrame, variant: str = "medium", dataset: str = "catalog", revision: str | None = None) -> DataFrame:
+    """The candidate record of each ranked catalog row."""
+    urls = scalars.candidate_urls(F.col("source_url"), variant)
+    return ranked.select(
+        F.col("uuid").alias("candidate_id"),
+        "species_query",
+        F.col("scientific_name").alias("original_label"),
+        F.lit(dataset).alias("source_dataset"),
+        F.lit(revision).cast("string").alias("source_dataset_revision"),
+        scalars.provider(F.col("publisher"), F.col("data_source")).alias("source_provider"),
+        "source_id",
+        F.when(F.col("data_source") == "gbif", F.col("source_id")).alias("observation_id"),
+        F.get(urls, F.lit(0)).alias("source_url"),
+        F.slice(urls, 2, 10).alias("fallback_urls"),
+        scalars.image_type(F.col("img_type")).alias("image_type"),
+        F.col("img_type").alias("source_image_type"),
+        "publisher",
+        scalars.missing_to_null(F.col("license_name")).alias("license"),
+        scalars.missing_to_null(F.col("license_link")).alias("license_url"),
+        scalars.missing_to_null(F.col("copyright_owner")).alias("rights_holder"),
+    )
+
+
+def species_summary(
+    matched: DataFrame, ranked: DataFrame, queries: DataFrame, *, group: str, kind: str, observation: str, has_url: Column, per_observation: int | None
+) -> DataFrame:
+    """Per query: rows, a map of kinds (null under ``null``), rows without URL, eligible rows, observations, selectable rows."""
+    kinds = matched.groupBy(group, F.coalesce(kind, F.lit("null")).alias("_k")).agg(
+        F.count("*").alias("_n"), F.count_if(~has_url).alias("_u")
+    )
+    rows = kinds.groupBy(group).agg(
+        F.sum("_n").alias("n_rows"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_n")))).alias("image_types"),
+        F.sum("_u").alias("n_no_url"),
+    )
+    allowed = F.lit(True) if per_observation is None else F.col("observation_rank") <= per_observation
+    chosen = ranked.groupBy(group).agg(
+        F.count("*").alias("n_eligible"),
+        F.count_distinct(observation).alias("n_observations"),
+        F.count_if(allowed).alias("n_selectable"),
+    )
+    zero = {c: 0 for c in ("n_rows", "n_no_url", "n_eligible", "n_observations", "n_selectable")}
+    empty = F.expr("cast(map() as map<string, bigint>)")
+    out = queries.select(group).distinct().join(rows, group, "left").join(chosen, group, "left").fillna(zero)
+    return out.withColumn("image_types", F.coalesce("image_types", empty))
+
+
+def merge_candidates(candidates: DataFrame, names: DataFrame, per_group: int | None) -> DataFrame:
+    """Candidates found under several names of a species: the first name's row stands; ``names(species, species_query, name_rank)``."""
+    joined = candidates.join(small(names), "species_query")
+    single = one_per_key(joined, ["species", "candidate_id"], [F.col("name_rank"), F.col("rank")])
+    return capped(single, ["species"], [F.col("name_rank"), F.col("rank"), F.col("candidate_id")], per_group, "merged_rank")
+
+
+def top_up(candidates: DataFrame, outcomes: DataFrame, n: int, margin: float = 1.3) -> DataFrame:
+    """The first ``n`` candidates of each species any of whose URLs succeeded, of the first ``ceil(margin * n)``.
+
+    ``outcomes(candidate_id, url, url_pos, ok)``; candidates whose file is ``present`` go first; the result
+    keeps the candidates' order and has the URL that succeeded first.
+    """
+    tried = candidates.where(F.col("rank") <= F.ceil(F.lit(margin * n)))
+    worked = outcomes.where("ok").groupBy("candidate_id").agg(F.min_by("url", "url_pos").alias("used_url"))
+    order = [F.col("present").desc(), F.col("rank"), F.col("candidate_id")]
+    return capped(tried.join(worked, "candidate_id"), ["species_query"], order, n, "taken")
+
+
+def shortfall(candidates: DataFrame, taken: DataFrame, n: int) -> DataFrame:
+    """Species with fewer than ``n`` taken candidates, and how many are missing."""
+    got = taken.groupBy("species_query").agg(F.count("*").alias("n_taken"))
+    every = candidates.select("species_query").distinct().join(got, "species_query", "left").fillna({"n_taken": 0})
+    return every.where(F.col("n_taken") < n).withColumn("missing", F.lit(n) - F.col("n_taken"))
+
+
+def reuse_status(candidates: DataFrame, previous: DataFrame, inventory: DataFrame, min_side: int) -> DataFrame:
+    """What becomes of each candidate's file of an earlier build.
+
+    ``previous(candidate_id, used_url, file)``, ``inventory(file, width, height)``: absent, unverified (no URL
+    recorded), stale (the URL is no longer listed), rejected (too small) or reused.
+    """
+    held = candidates.join(previous, "candidate_id", "left").join(inventory, "file", "left")
+    status = (
+        F.when(F.col("width").isNull(), "absent")
+        .when(F.col("used_url").isNull(), "unverified")
+        .when(~F.array_contains(F.col("urls"), F.col("used_url")), "stale")
+        .when(F.least("width", "height") < min_side, "rejected")
+        .otherwise("reused")
+    )
+    return held.withColumn("status", status)
+
+
+def unreferenced(inventory: DataFrame, records: DataFrame) -> DataFrame:
+    """Files that no record names."""
+    return inventory.join(records.select("file"), "file", "left_anti")
+
+
+def image_policy(images: DataFrame, formats: Sequence[str], min_side: int, max_pixels: int) -> DataFrame:
+    """Each image with ``problem``: format, too small, too large, or null."""
+    problem = (
+        F.when(~F.coalesce(F.col("format").isin(list(formats)), F.lit(False)), "format")
+        .when(F.least("width", "height") < min_side, "too small")
+        .when(F.col("width").cast("long") * F.col("height") > max_pixels, "too large")
+    )
+    return images.withColumn("problem", problem)
+
+
+# ---------------------------------------------------------------- plain samples
+
+
+def cap_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` rows of each group, fixed by the seed."""
+    order = [scalars.seeded_key(seed, F.col(key)), F.col(key)]
+    return capped(df, [group], order, n, "_rank").drop("_rank")
+
+
+def round_robin(df: DataFrame, group: str, key: str, done: Column, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows: those done first, then one of each group in turn; ``pick`` numbers them."""
+    order = [scalars.seeded_key(seed, F.col(key)), F.col(key)]
+    turned = df.withColumn("_done", F.coalesce(done, F.lit(False)))
+    turned = turned.withColumn("_turn", F.row_number().over(Window.partitionBy(group, "_done").orderBy(*order)))
+    return turned.orderBy(F.col("_done").desc(), "_turn", F.col(group).asc_nulls_last(), key).limit(n).drop("_done", "_turn")
+
+
+def systematic(df: DataFrame, group: str, key: str, step: int) -> DataFrame:
+    """Every ``step``-th row of each group in the order of the key."""
+    at = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
+    return df.withColumn("_at", at).where(F.col("_at") % step == 0).drop("_at")
+
+
+def block_sample(df: DataFrame, group: str, order: Sequence[str], n: int, blocks: int) -> DataFrame:
+    """``n`` rows of each group as ``blocks`` disjoint runs spread evenly over its order (all rows if fewer)."""
+    w = Window.partitionBy(group)
+    at = df.withColumn("_at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_size", F.count("*").over(w))
+    run = -(-n // blocks)
+    block = F.least(F.floor(F.col("_at") * blocks / F.col("_size")), F.lit(blocks - 1))
+    starts = F.ceil(block * F.col("_size") / blocks)
+    inside = (F.col("_at") - starts >= 0) & (F.col("_at") - starts < F.least(F.lit(run), n - block * run))
+    return at.where((F.col("_size") <= n) | inside).drop("_at", "_size")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with QUERIES and ORACLES.
-MODULES = ["selection"]
+MODULES = ["selection", "checks", "evaluation", "sequences"]
 
 
 def _all(name: str) -> dict:
