@@ -283,12 +283,16 @@ def redact(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     return found.select(docs.columns)
 
 
+def _of_kind(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s.startswith(f"{kind}:"))).cast("long")
+
+
 def digest(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """``doc_id``, the number of base spans of each kind, their digest, and all spans; a row per row of ``docs``."""
     found = extract(docs.select("doc_id", "text"), work).select("doc_id", "_pii.base", "_pii.all")
     return found.select(
         "doc_id",
-        *(F.size(F.filter("base", lambda s, k=k: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(_of_kind("base", k).alias(f"n_{k}") for k in KINDS),
         F.sha2(F.concat_ws(",", "base"), 256).alias("base_sha256"),
         F.concat_ws(",", "all").alias("spans"),
     )
