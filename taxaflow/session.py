@@ -16,6 +16,9 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Rows in one Arrow batch where the session has Spark's default: whole texts are long, batches must stay small.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ROWS, _SPARK_ROWS = "1000", "10000"
 _shipped: set[str] = set()
 
 
@@ -30,7 +33,12 @@ def session(name: str = "taxaflow", master: str | None = None, **conf: str) -> S
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python can import it."""
+    """Send this package to the executors once per application, so that their Python can import it.
+
+    Also bounds Arrow batches, unless the session sets a size of its own.
+    """
+    if spark.conf.get(_BATCH, _SPARK_ROWS) == _SPARK_ROWS:
+        spark.conf.set(_BATCH, _ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
