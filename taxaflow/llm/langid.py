@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import give_back, slices
 
 BUCKETS = 1 << 16
 #: Documents from which weights are learned; document frequencies count all.
@@ -60,6 +60,7 @@ def _frequency_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.record_batch(
         [np.concatenate(([-1], at)).astype(np.int32), np.concatenate(([n], total[at]))], names=["bucket", "n"]
     )
+    give_back()
 
 
 @dataclass

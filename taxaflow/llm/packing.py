@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, slices
+from .common import Workspace, give_back, slices
 
 CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks of text whose ids one Python worker keeps; the store is emptied when full.
-CACHE = 600_000
+CACHE = 150_000
 _LONGEST_KEY = 48
 _GAPS = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -145,6 +145,7 @@ def _piece_rows(path: str, capacity: int, end: int):
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        give_back()
 
     return rows
 

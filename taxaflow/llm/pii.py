@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, slices
+from .common import Workspace, give_back, slices
 
 KINDS = ("email", "ip", "card", "phone")
 RELIABLE = 0.8
@@ -141,6 +141,7 @@ def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3]), pa.array(list(seen.values()), pa.int64())],
                 names=["kind", "pattern", "value", "seed", "n"],
             )
+    give_back()
 
 
 def _totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:

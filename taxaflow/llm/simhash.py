@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, raw
+from .common import Workspace, give_back, raw
 from .components import components
 
 SHINGLE = 4
@@ -161,6 +161,7 @@ def _link_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append((anchor[last:], prints[last:]))
     if held:
         yield linked(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+    give_back()
 
 
 def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
