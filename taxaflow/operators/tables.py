@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import scalars
 from .selection import small
 
@@ -138,3 +140,65 @@ def failures(outcomes: DataFrame, path: str) -> None:
     outcomes.where(~F.col("ok")).write.mode("append").json(path)
 
 
+
+
+# ---------------------------------------------------------------- datasets on disk
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One dataset table by name, with its explicit schema."""
+    return spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}.parquet")
+
+
+def write_manifest(spark: SparkSession, root: str, counts: DataFrame, *, name: str, version: str, sources: Sequence[dict] = (), selection: dict | None = None) -> dict:
+    """``dataset.json`` of a dataset: schema version, tables with their rows, counts, sources and selection."""
+    found = counts.first().asDict()
+    document = {
+        "name": name,
+        "version": version,
+        "schema_version": schemas.VERSION,
+        "tables": {t: {"path": f"{t}.parquet", "n_rows": found[f"n_{t}"]} for t in schemas.TABLES},
+        "counts": found,
+        "sources": list(sources),
+        "selection": selection or {},
+    }
+    text = spark.createDataFrame([(json.dumps(document, sort_keys=True),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{root}/dataset.json")
+    return document
+
+
+def read_manifest(spark: SparkSession, root: str) -> dict:
+    return json.loads("\n".join(r[0] for r in spark.read.text(f"{root}/dataset.json").collect()))
+
+
+def licence_shares(rows: DataFrame, group: str, licence: str) -> DataFrame:
+    """Per group the rows and the shares of open licences: CC0 or public domain, BY, BY-SA, any other CC, none."""
+    slug = F.lower(F.coalesce(licence, F.lit("")))
+    kind = (
+        F.when(slug.rlike("^cc-(0|publicdomain)"), "cc0")
+        .when(slug.rlike("^cc-by(-[0-9.]+)?$"), "by")
+        .when(slug.rlike("^cc-by-sa(-[0-9.]+)?$"), "by_sa")
+        .when(slug.startswith("cc-"), "other_cc")
+        .otherwise("none")
+    )
+    kinds = ["cc0", "by", "by_sa", "other_cc", "none"]
+    return rows.groupBy(group).agg(F.count("*").alias("n_rows"), *(F.avg((kind == k).cast("double")).alias(f"{k}_share") for k in kinds))
+
+
+def url_siblings(images: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Per occurrence: rows whose catalogued URL differs from the provenance one, how many of those equal a
+    sibling's URL under the same occurrence, and whether the occurrence has several licences.
+
+    ``images(uuid, occurrence, url)``, ``provenance(uuid, prov_url, license)``; urls are compared within an
+    occurrence by a join on (occurrence, url), never all pairs.
+    """
+    both = images.join(provenance, "uuid")
+    known = images.select("occurrence", F.col("url").alias("prov_url"), F.lit(True).alias("_known")).distinct()
+    differs = ~F.col("url").eqNullSafe(F.col("prov_url"))
+    marked = both.join(known, ["occurrence", "prov_url"], "left")
+    return marked.groupBy("occurrence").agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(differs).alias("n_differ"),
+        F.count_if(differs & F.coalesce("_known", F.lit(False))).alias("n_sibling"),
+        (F.count_distinct("license") > 1).alias("several_licences"),
+    )

@@ -146,6 +146,21 @@ def test_write_table_keeps_an_empty_schema(spark, tmp_path):
     assert tuple(cells) == ("", "x|y")
 
 
+def test_a_written_dataset_reads_back_and_its_manifest_agrees(spark, tmp_path):
+    tables_ = dataset(spark)
+    for name, df in tables_.items():
+        tables.write_table(df, str(tmp_path / name), csv=False)
+    read = {name: tables.read_table(spark, str(tmp_path), name) for name in tables_}
+    assert all(read[n].exceptAll(df).count() == 0 for n, df in tables_.items())
+    counts = tables.dataset_counts(read)
+    tables.write_manifest(spark, str(tmp_path), counts, name="d", version="1")
+    document = tables.read_manifest(spark, str(tmp_path))
+    assert document["counts"] == {"n_species": 1, "n_genomes": 1, "genome_bytes": 10, "n_images": 2, "image_bytes": 10, "n_pairs": 2}
+    assert validation.manifest(document, counts).count() == 0
+    wrong = document | {"schema_version": "9", "counts": document["counts"] | {"n_pairs": 3}}
+    assert sorted(r["check"] for r in validation.manifest(wrong, counts).collect()) == ["counts", "version"]
+
+
 # ---------------------------------------------------------------- validation
 
 
