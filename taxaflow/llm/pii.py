@@ -95,19 +95,20 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _overlaps(spans: Iterable[Span], a: int, b: int) -> bool:
-    return any(a < y and x < b for _, x, y in spans)
-
-
 def loose_spans(text: str, base: list[Span]) -> list[Span]:
     """What looks like an identifier and touches no seed; earlier kinds and leftmost spans go first."""
     out: list[Span] = []
     if not base and not _DIGIT.search(text) and "@" not in text and "at]" not in text and "at)" not in text:
         return out
+    taken = bytearray(len(text))
+    for _, a, b in base:
+        taken[a:b] = b"\1" * (b - a)
     for kind in KINDS:
         for m in _LOOSE[kind].finditer(text):
-            if not _overlaps(base, *m.span()) and not _overlaps(out, *m.span()):
-                out.append((kind, *m.span()))
+            a, b = m.span()
+            if taken.find(1, a, b) < 0:
+                taken[a:b] = b"\1" * (b - a)
+                out.append((kind, a, b))
     return out
 
 
