@@ -110,8 +110,8 @@ def select_candidates(
     return capped(inside, [group], [F.col("order_key"), F.col(uuid)], per_group, "rank")
 
 
-def candidate_columns(ranked: DataFrame, variant: str = "medium", dataset: str = "catalog", revision: str | None = None) -> DataFrame:
-    """The candidate record of each ranked catalog row."""
+def candidate_columns(ranked: DataFrame, variant: str = "medium", dataset: str = "catalog", revision: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """The candidate record of each ranked catalog row, and columns to ``keep``."""
     urls = scalars.candidate_urls(F.col("source_url"), variant)
     return ranked.select(
         F.col("uuid").alias("candidate_id"),
@@ -130,6 +130,7 @@ def candidate_columns(ranked: DataFrame, variant: str = "medium", dataset: str =
         scalars.missing_to_null(F.col("license_name")).alias("license"),
         scalars.missing_to_null(F.col("license_link")).alias("license_url"),
         scalars.missing_to_null(F.col("copyright_owner")).alias("rights_holder"),
+        *keep,
     )
 
 
