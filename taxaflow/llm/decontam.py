@@ -298,3 +298,26 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) ->
         kind = docs.schema["n_chars"].dataType
         found = found.withColumn("n_chars", F.when(F.col("_n_hit") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return found.select(docs.columns)
+
+
+_SQL_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+#: DuckDB twin of ``report``: every window of every item, joined to every stretch of document words of its length.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_SQL_WORDS} AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+k AS (SELECT item, ws, len(ws) AS n, least({WINDOW}, len(ws)) AS k FROM i WHERE len(ws) > 0),
+p AS (SELECT item, ws, k, unnest(range(1, n - k + 2)) AS p FROM k),
+win AS (SELECT DISTINCT item, k, array_to_string(ws[p:p + k - 1], ' ') AS s FROM p),
+sizes AS (SELECT DISTINCT k FROM win),
+q AS (SELECT row, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, sizes),
+hits AS (SELECT q.row, q.p, q.k, win.item FROM q JOIN win ON win.k = q.k AND win.s = array_to_string(q.ws[q.p:q.p + q.k - 1], ' ')),
+places AS (SELECT DISTINCT row, unnest(range(p, p + k)) AS place FROM (SELECT DISTINCT row, p, k FROM hits)),
+n AS (SELECT row, count(*) AS n_hit FROM places GROUP BY 1),
+m AS (SELECT row, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND {COVERAGE} * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN n USING (row) LEFT JOIN m USING (row)"""

@@ -62,4 +62,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict:
-    return {"op4_chat": chat.ORACLE}
+    return {"op4_chat": chat.ORACLE, "op10_decontam": decontam.ORACLE}

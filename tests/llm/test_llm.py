@@ -123,6 +123,10 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert clean.where(F.col("doc_id").isin(untouched)).exceptAll(docs).count() == 0
 
 
+def test_decontamination_equals_its_twin(spark):
+    assert compare.spark_rows(queries.op10_decontam(spark, SF)) == compare.duck_rows(decontam.ORACLE, SF)
+
+
 def test_decontamination_of_small_alphabets_and_odd_rows(spark, odd):
     rng = random.Random(5)
     say = lambda n, w: " ".join(rng.choice(w) for _ in range(n))
