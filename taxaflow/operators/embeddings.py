@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .selection import small
 
 #: Rows of a gallery that are broadcast as one matrix; a larger one is searched in blocks of this many.
-GALLERY_ROWS = 50_000
+GALLERY_ROWS = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .embeddings import top_k
+from .embeddings import normalised, top_k
 
 
 def _codes(text: str, k: int) -> np.ndarray:
@@ -64,27 +64,20 @@ def kmer_profile(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.join(total, list(keys)).select(*keys, "kmer", (F.col("n") / F.col("_t")).alias("share"))
 
 
-def scaled_profile(profile: DataFrame, key: str) -> DataFrame:
-    """Z-scores of each k-mer over all keys (population sd + 1e-12), absent k-mers counting as zero.
+def scaled_vectors(profile: DataFrame, key: str) -> DataFrame:
+    """``key, vector``: normalised z-scores of each key's k-mers over all keys, in k-mer order.
 
-    The moments come from the sparse rows alone: a sum, a sum of squares and the number of keys. Only keys
-    times k-mers that occur somewhere are made dense.
+    Population sd + 1e-12; absent k-mers count as zero. The moments come from the sparse rows alone (a sum, a
+    sum of squares and the number of keys) and are one row of at most 4^k entries, laid beside every key.
     """
     n = profile.select(key).distinct().count()
-    moments = profile.groupBy("kmer").agg((F.sum("share") / n).alias("_mean"), (F.sum(F.col("share") * F.col("share")) / n).alias("_square"))
-    sd = F.sqrt(F.greatest(F.col("_square") - F.col("_mean") * F.col("_mean"), F.lit(0.0))) + 1e-12
-    bins = moments.select("kmer", "_mean", sd.alias("_sd"))  # at most 4^k rows
-    every = profile.select(key).distinct().crossJoin(F.broadcast(bins))
-    dense = every.join(profile, [key, "kmer"], "left")
-    return dense.select(key, "kmer", ((F.coalesce("share", F.lit(0.0)) - F.col("_mean")) / F.col("_sd")).alias("z"))
-
-
-def profile_vectors(scaled: DataFrame, key: str) -> DataFrame:
-    """Normalised vectors of z-scores in k-mer order."""
-    listed = F.array_sort(F.collect_list(F.struct("kmer", "z")))
-    out = scaled.groupBy(key).agg(F.transform(listed, lambda p: p.z).alias("vector"))
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    return out.withColumn("vector", F.transform("vector", lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0))))
+    moments = profile.groupBy("kmer").agg((F.sum("share") / n).alias("mean"), (F.sum(F.col("share") * F.col("share")) / n).alias("_square"))
+    sd = F.sqrt(F.greatest(F.col("_square") - F.col("mean") * F.col("mean"), F.lit(0.0))) + 1e-12
+    bins = moments.agg(F.array_sort(F.collect_list(F.struct("kmer", "mean", sd.alias("sd")))).alias("_bins"))
+    shares = profile.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("kmer", "share"))).alias("_shares"))
+    z = F.transform("_bins", lambda b: (F.coalesce(F.try_element_at("_shares", b["kmer"]), F.lit(0.0)) - b["mean"]) / b["sd"])
+    out = shares.crossJoin(F.broadcast(bins)).select(key, z.alias("vector"))  # bins: one row
+    return out.withColumn("vector", normalised(F.col("vector")))
 
 
 def nearest(vectors: DataFrame, train: DataFrame, key: str) -> DataFrame:

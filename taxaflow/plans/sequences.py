@@ -62,7 +62,7 @@ SELECT query, source, round(sim, 6) AS sim FROM s QUALIFY row_number() OVER (PAR
 def kmer_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source with the most similar k-mers, never itself."""
     profile = K.kmer_profile(K.kmer_counts(_dna(spark, sf_dir), ["source"], "seq", 4), ["source"])
-    vectors = K.profile_vectors(K.scaled_profile(profile, "source"), "source")
+    vectors = K.scaled_vectors(profile, "source")
     return K.nearest(vectors, vectors, "source").withColumn("sim", F.round("sim", 6))
 
 
