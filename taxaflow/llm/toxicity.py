@@ -185,13 +185,15 @@ def _row(voters: Voters, text: str, said: set[str]) -> tuple[np.ndarray, np.ndar
 def fit(texts: list[str], y: np.ndarray) -> Model:
     """Induce voters, estimate posterior labels, train the classifier on them (not on ``y``)."""
     voters = Voters()
+    if not texts:
+        return Model(voters, np.zeros((len(voters.names) + WORD_BUCKETS, 2), np.float32), np.array([4.0, 0.0]))
     said = [words_of(t) for t in texts]
     voters.induce(said, y)
     votes = np.zeros((len(texts), len(voters.names)))
     for i, (t, w) in enumerate(zip(texts, said)):
         votes[i, voters.votes(t, w)] = 1
     right = (votes[y == 1].sum(axis=0) + 0.5) / (votes.sum(axis=0) + 1.0)
-    posterior = fit_labels(votes, np.minimum(right, 0.99)).posterior(votes) if len(texts) else np.zeros(0)
+    posterior = fit_labels(votes, np.minimum(right, 0.99)).posterior(votes)
     rows = [_row(voters, t, w) for t, w in zip(texts, said)]
     size = len(voters.names) + WORD_BUCKETS
     targets = np.stack([1 - posterior, posterior], axis=1)
@@ -203,8 +205,8 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
     """``doc_id, held_out, score, predicted``, one row per row of ``docs(doc_id, text)``.
 
     Voters are induced from ``labels.toxic`` of ids that are not held out, at most ``max_train`` rows by hash
-    order. Null texts are scored as empty ones; repeated rows each get their row; without labels the fixed
-    voters remain, on which nothing was trained, and every score is one half. Other columns are ignored.
+    order. Null texts are scored as empty ones; repeated rows each get their row; without labels nothing is
+    trained and no text is called toxic (every score is 0.018). Other columns are ignored.
     """
     known = labelled(docs.where(~held_out()).select("doc_id"), labels, "toxic").distinct()
     order = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
