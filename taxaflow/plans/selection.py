@@ -41,9 +41,10 @@ def _how() -> dict:
     return {k: v() if callable(v) else v for k, v in _HOW.items()}
 
 
-def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matched(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("lang is not null and lang <> 'fr'")
     return docs.select(
+        *more,
         "doc_id",
         F.col("source").alias("species_query"),
         F.floor(F.col("n_chars") / 500).alias("observation_id"),
@@ -108,7 +109,7 @@ SELECT species_query, CAST(coalesce(n_rows, 0) AS BIGINT) AS n_rows, coalesce(im
 FROM queries LEFT JOIN rows USING (species_query) LEFT JOIN chosen USING (species_query)""")
 def species_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    matched = _matched(spark, sf_dir).join(docs.select("doc_id", F.length(F.trim("text")).alias("_size")), "doc_id")
+    matched = _matched(spark, sf_dir, F.length(F.trim("text")).alias("_size"))
     ranked = S.ranked_candidates(_matched(spark, sf_dir), table(spark, sf_dir, "labels"), **_how())
     names = docs.select(F.col("source").alias("species_query")).union(spark.createDataFrame([("nowhere",)], "species_query string"))
     out = S.species_summary(
