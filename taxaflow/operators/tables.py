@@ -97,11 +97,25 @@ def csv_cells(df: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, path: str, csv: bool = True) -> None:
     """Zstandard Parquet at ``path.parquet`` and its text twin at ``path.csv``; an empty table keeps its schema.
 
-    Spark's commit protocol publishes each folder whole or not at all.
+    Both are written whole beside their places first and only then renamed, so a job that fails leaves the
+    former table as it was.
     """
-    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}.parquet")
+    names = [f"{path}.parquet"] + [f"{path}.csv"] * csv
+    staged = {n: f"{n}.staged" for n in names}
+    df.write.mode("overwrite").option("compression", "zstd").parquet(staged[names[0]])
     if csv:
-        csv_cells(df).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(f"{path}.csv")
+        cells = csv_cells(df.sparkSession.read.schema(df.schema).parquet(staged[names[0]]))
+        cells.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(staged[names[1]])
+    for name in names:
+        _rename(df.sparkSession, staged[name], name)
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    files = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(b, True)
+    if not files.rename(a, b):
+        raise OSError(f"cannot rename {source} to {target}")
 
 
 def write_units(df: DataFrame, path: str, unit: str = "assembly_accession") -> None:

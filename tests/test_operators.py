@@ -144,6 +144,13 @@ def test_write_table_keeps_an_empty_schema(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t.parquet")).dtypes == df.dtypes
     cells = tables.csv_cells(spark.createDataFrame([(None, ["x", "y"])], "a int, b array<string>")).first()
     assert tuple(cells) == ("", "x|y")
+    more = spark.createDataFrame([(1, ["x"])], df.schema)
+    tables.write_table(more, str(tmp_path / "t"))
+    bad = more.withColumn("a", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        tables.write_table(bad, str(tmp_path / "t"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "t.parquet")).collect()] == [(1, ["x"])]
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "t.csv")).collect()] == [("1", "x")]
 
 
 def test_a_written_dataset_reads_back_and_its_manifest_agrees(spark, tmp_path):
