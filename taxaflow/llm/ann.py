@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace
+from .common import Workspace, first_by_hash
 
 DIMS = 8
 STOP = 0.999
@@ -205,8 +205,8 @@ def search(
     )
     n = reps.count()
     depth = max(0, math.ceil(math.log2(min(MAX_CELLS, max(1, n / CELL_ROWS)))))
-    picked = reps.select("point").orderBy(F.xxhash64("rep")).limit(SAMPLE).collect()
-    cuts = Cuts(np.array([r[0] for r in picked]).reshape(-1, DIMS), depth)
+    picked = first_by_hash(reps.select("rep", "point"), "rep", SAMPLE, n, "ann").collect()
+    cuts = Cuts(np.array([r["point"] for r in picked]).reshape(-1, DIMS), depth)
 
     def cell_of(p: pa.Array) -> pa.Array:
         return pa.array(cuts.cells(p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1)))

@@ -66,6 +66,19 @@ def id_mod(column: str, m: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))
 
 
+def first_by_hash(rows: DataFrame, key: str, n: int, total: int, salt: str = "") -> DataFrame:
+    """At most ``n`` of ``total`` rows by a hash of ``key``: those under a threshold that leaves little more than ``n``.
+
+    Only these are sorted and limited, so what meets in one task grows with ``n``, not with the table. Ties of
+    the hash (one key in many rows) are broken by all other columns.
+    """
+    h = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 40))
+    spread = max(total, 1)
+    if total > 2 * n:
+        rows = rows.where(h < int((1 << 40) * min(1.0, (n + 6 * n**0.5) / spread)))
+    return rows.orderBy(h, *rows.columns).limit(n)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that Python objects for one slice only are alive."""
     for batch in batches:

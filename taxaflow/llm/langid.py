@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, slices
+from .common import first_by_hash, give_back, slices
 
 BUCKETS = 1 << 16
 #: Documents from which weights are learned; document frequencies count all.
@@ -154,9 +154,7 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     df = np.zeros(BUCKETS)
     df[list(found)] = list(found.values())
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    order = F.xxhash64(F.col("doc_id"), F.lit("langid"))
-    last = train.select(order.alias("h")).orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
-    sample = train.where(order <= last).select("doc_id", "text", "lang").orderBy(order, "lang", "text").limit(max_train).collect()
+    sample = first_by_hash(train.select("doc_id", "lang", "text"), "doc_id", max_train, n_docs, "langid").collect()
     languages = sorted({r["lang"] for r in sample})
     rows = [_sparse(r["text"] or "", idf) for r in sample]
     labels = np.array([languages.index(r["lang"]) for r in sample])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, raw, slices
+from .common import Workspace, first_by_hash, raw, slices
 from .training import held_out, labelled
 
 #: Labelled rows from which the model is fitted, by hash order of the id.
@@ -202,7 +202,8 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, work:
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = work.cut(docs.select("doc_id", raw().alias("text")).mapInArrow(_feature_rows, f"doc_id {kind}, x array<float>"))
     train = labelled(found.where(~held_out()), labels, "quality")
-    rows = train.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_train).select("x", "y").toPandas()
+    train = train.select("doc_id", "x", "y")
+    rows = first_by_hash(train, "doc_id", max_train, train.count(), "quality").select("x", "y").toPandas()
     x = np.array(rows["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     shared = docs.sparkSession.sparkContext.broadcast(fit_gam(x, rows["y"].to_numpy(np.float64)))
 

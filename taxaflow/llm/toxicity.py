@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import first_by_hash
 from .langid import _softmax, fit_ftrl
 from .training import held_out, labelled
 
@@ -209,12 +210,11 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
     trained and no text is called toxic (every score is 0.018). Other columns are ignored.
     """
     known = labelled(docs.where(~held_out()).select("doc_id"), labels, "toxic").distinct()
-    order = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
-    picked = known.orderBy(order, "doc_id").limit(max_train)
-    ids = picked.select("doc_id", "y").collect()
-    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in ids], picked.schema)
-    train = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "y", order.alias("h"))
-    rows = train.orderBy("h", "text").limit(max_train).toPandas()
+    known = known.select("doc_id", "y")
+    ids = first_by_hash(known, "doc_id", max_train, known.count(), "toxicity").collect()
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in ids], known.schema)
+    train = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    rows = train.orderBy("doc_id", "text").limit(max_train).toPandas()
     model = fit([t or "" for t in rows["text"]], rows["y"].to_numpy(np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
