@@ -35,7 +35,7 @@ WIDTH = 16
 NOISE = 32
 BATCH = 4096
 RATE = 0.1
-#: Tokens whose counts are broadcast, by falling count.
+#: Tokens at most whose counts are broadcast, by falling count.
 HEAD = 200_000
 #: Tokens that one task counts before it hands them on.
 FLUSH = 600_000
@@ -90,8 +90,21 @@ class Head:
         return n / n.sum()
 
 
+def _least_count(counts: DataFrame) -> int:
+    """The least count, in steps of an eighth of an octave, that at most ``HEAD`` tokens reach."""
+    step = F.floor(F.log2("c") * 8 + 1e-9)
+    sizes = counts.groupBy(step.alias("step")).agg(F.min("c").alias("least"), F.count("*").alias("n")).collect()  # some hundred rows
+    least, n = 1 << 62, 0
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        n += r["n"]
+        if n > HEAD:
+            break
+        least = r["least"]
+    return least
+
+
 def head_of(counts: DataFrame) -> Head:
-    top = counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()
+    top = counts.where(F.col("c") >= _least_count(counts)).collect()  # at most HEAD rows
     # the end token must be an outcome of its own, however few documents there are
     top.sort(key=lambda r: (bytes(r["token"]) != END, -r["c"], bytes(r["token"])))
     if not top or bytes(top[0]["token"]) != END:
