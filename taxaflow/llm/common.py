@@ -7,11 +7,13 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,56 @@ def first_by_hash(rows: DataFrame, key: str, n: int, total: int, salt: str = "")
     return rows.orderBy(h, *rows.columns).limit(n)
 
 
+#: Rows that every class has in a sample by class, or all of its rows.
+LEAST = 20
+_BITS = 10
+
+
+def quotas(counts: dict, n: int) -> dict:
+    """Rows of each class in a sample of ``n``: all if there are no more, else a quarter of ``n`` dealt evenly and the
+    rest by share. No class has under ``LEAST`` rows (or all of its own), so very many classes take more than ``n``."""
+    total = sum(counts.values())
+    if total <= n:
+        return dict(counts)
+    least = max(LEAST, n // (4 * len(counts)))
+    rest = max(0, n - least * len(counts))
+    return {k: min(c, least + rest * c // total) for k, c in counts.items()}
+
+
+def sample_by_class(rows: DataFrame, by: str, n: int, salt: str = "") -> tuple[list[Row], dict]:
+    """A sample by hash of the whole row with the ``quotas`` of each value of ``by`` (no nulls), and the rows of each class.
+
+    A histogram of the hash by class gives the counts and a threshold for each class, so that little more than
+    the sample is fetched; copies of a row travel once with their number. Classes are interleaved evenly.
+    """
+    h = F.pmod(F.xxhash64(*rows.columns, F.lit(salt)), F.lit(1 << 40))
+    top = F.shiftright(h, 40 - _BITS).cast("int")
+    bins = sorted(map(tuple, rows.groupBy(by, top.alias("_bin")).count().collect()))
+    counts: Counter = Counter()
+    for k, _, c in bins:
+        counts[k] += c
+    if not counts:
+        return [], {}
+    take, below, last = quotas(counts, n), Counter(), {}
+    for k, b, c in bins:
+        if below[k] < take[k]:
+            last[k] = b
+        below[k] += c
+    schema = T.StructType([rows.schema[by], T.StructField("_last", T.IntegerType())])
+    limits = rows.sparkSession.createDataFrame(list(last.items()), schema)
+    near = rows.withColumn("_h", h).join(F.broadcast(limits), by).where(F.shiftright("_h", 40 - _BITS) <= F.col("_last"))
+    single = near.groupBy("_h", *rows.columns).agg(F.count("*").alias("_copies"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("_h", *rows.columns))
+    found = single.withColumn("_place", place).where(F.col("_place") <= max(take.values())).collect()
+    out, taken = [], Counter()
+    for r in sorted(found, key=lambda r: (r[by], r["_place"])):
+        k = r[by]
+        for _ in range(min(r["_copies"], take[k] - taken[k])):
+            taken[k] += 1
+            out.append(((taken[k] - 0.5) / take[k], k, len(out), r))
+    return [x[-1] for x in sorted(out, key=lambda x: x[:3])], dict(counts)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that Python objects for one slice only are alive."""
     for batch in batches:

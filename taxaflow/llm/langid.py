@@ -3,13 +3,14 @@
 Features: one to three characters of the lower-cased text, hashed into ``BUCKETS``; term frequency is the
 share of a text's n-grams of that length, inverse document frequency comes from all training documents. The
 weights are learned by follow-the-regularised-leader with an elastic-net penalty on a bounded sample of the
-training documents (``MAX_TRAIN``, taken by hash order of the id), a fifth of which is kept apart to set the
-temperature of the scores. A text then costs one table look-up per n-gram: the weights are multiplied by the
+training documents (``MAX_TRAIN``, in which every language has its rows: ``common.quotas``), a fifth of each
+language kept apart to set the temperature of the scores. A text then costs one table look-up per n-gram: the weights are multiplied by the
 frequencies beforehand.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import first_by_hash, give_back, slices
+from .common import give_back, sample_by_class, slices
 
 BUCKETS = 1 << 16
 #: Documents from which weights are learned; document frequencies count all.
@@ -144,7 +145,11 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(train: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Learn from ``train(doc_id, text, lang)``; rows with a null lang are ignored. No rows: no languages."""
+    """Learn from ``train(doc_id, text, lang)``; rows with a null lang are ignored. No rows: no languages.
+
+    Every lang of ``train`` is learned, however rare. The driver holds about 1 MB of weights and 1 MB of
+    gradients a language.
+    """
     train = train.where("lang is not null").select("doc_id", "text", "lang")
     counts = train.select("text").mapInArrow(_frequency_rows, "bucket int, n long").groupBy("bucket").agg(F.sum("n"))
     found = dict(map(tuple, counts.collect()))  # at most BUCKETS + 1 rows
@@ -154,11 +159,15 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     df = np.zeros(BUCKETS)
     df[list(found)] = list(found.values())
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    sample = first_by_hash(train.select("doc_id", "lang", "text"), "doc_id", max_train, n_docs, "langid").collect()
-    languages = sorted({r["lang"] for r in sample})
+    sample, known = sample_by_class(train.select("doc_id", "lang", "text"), "lang", max_train, "langid")
+    languages = sorted(known)
     rows = [_sparse(r["text"] or "", idf) for r in sample]
     labels = np.array([languages.index(r["lang"]) for r in sample])
-    apart = np.arange(len(rows)) % 5 == 4
+    places, seen = np.zeros(len(rows), np.int64), Counter()
+    for i, r in enumerate(sample):
+        places[i] = seen[r["lang"]]
+        seen[r["lang"]] += 1
+    apart = places % 5 == 4
     fitting = np.flatnonzero(~apart)
     weights, bias = fit_ftrl([rows[i] for i in fitting], labels[fitting], len(languages))
     logits = np.array([v @ weights[k] + bias for (k, v), a in zip(rows, apart) if a]).reshape(-1, len(languages))

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import first_by_hash
+from .common import sample_by_class
 from .langid import _softmax, fit_ftrl
 from .training import held_out, labelled
 
-#: Labelled rows from which voters are induced and the models are fitted, by hash order of the id.
+#: Labelled rows from which voters are induced and the models are fitted; both labels have their rows (``common.quotas``).
 MAX_TRAIN = 8_000
 #: A voter is induced with so many toxic texts, and such a share of toxic ones among its texts.
 SUPPORT, PRECISION = 3, 0.6
@@ -86,8 +86,11 @@ class Voters:
         for t in terms:
             self.terms[t] = len(self.names) - 1
 
-    def induce(self, said: list[set[str]], y: np.ndarray) -> None:
-        """Terms of toxic texts with enough support and precision, ``COVER`` of them for each text if possible."""
+    def induce(self, said: list[set[str]], y: np.ndarray, odds: float = 1.0) -> None:
+        """Terms of toxic texts with enough support and precision, ``COVER`` of them for each text if possible.
+
+        A clean text counts ``odds`` times a toxic one, as many rows as it stands for.
+        """
         where: dict[str, set[int]] = defaultdict(set)
         for i in np.flatnonzero(y):
             for t in terms_of(said[i]):
@@ -96,10 +99,10 @@ class Voters:
         other: Counter = Counter()
         for i in np.flatnonzero(y == 0):
             other.update(filter(where.__contains__, terms_of(said[i])))
-        precise = {t: len(r) / (len(r) + other[t] + 0.5) for t, r in where.items()}
+        precise = {t: len(r) / (len(r) + odds * other[t] + 0.5) for t, r in where.items()}
         good = [t for t in where if precise[t] >= PRECISION]
         short: Counter = Counter()
-        for t in sorted(good, key=lambda t: (4 * other[t] - len(where[t]), len(t), t)):
+        for t in sorted(good, key=lambda t: (4 * odds * other[t] - len(where[t]), len(t), t)):
             if sum(short[i] < COVER for i in where[t]) >= SUPPORT:
                 short.update(where[t])
                 self._add(f"induced {t}", [t])
@@ -139,19 +142,26 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_labels(votes: np.ndarray, accuracy: np.ndarray, rounds: int = 25) -> LabelModel:
-    """Expectation maximisation, started from the voters' accuracies as lexicons (a noisy-or of those that fire)."""
+def fit_labels(votes: np.ndarray, accuracy: np.ndarray, stands: np.ndarray | None = None, rounds: int = 25) -> LabelModel:
+    """Expectation maximisation, started from the voters' accuracies as lexicons (a noisy-or of those that fire).
+
+    ``stands``: how many rows each row stands for, 1 where not given.
+    """
     n, m = votes.shape
+    if stands is None:
+        stands = np.ones(n)
+    n = stands.sum()
     quiet = ~votes.any(axis=1)
     p = np.where(quiet, 0.02, 1 - np.exp(votes @ np.log(1 - accuracy)))
     weight = np.ones(m)
     for _ in range(rounds):
-        mass = p.sum()
-        toxic = np.clip((p @ votes + 0.1) / (mass + 1.0), 1e-6, 1 - 1e-3)
-        clean = np.clip(((1 - p) @ votes + 0.1) / (n - mass + 1.0), 1e-7, 1 - 1e-3)
-        silent = np.log((p @ quiet + 0.1) / (mass + 1.0)) - np.log(((1 - p) @ quiet + 0.1) / (n - mass + 1.0))
+        one, two = p * stands, (1 - p) * stands
+        mass = one.sum()
+        toxic = np.clip((one @ votes + 0.1) / (mass + 1.0), 1e-6, 1 - 1e-3)
+        clean = np.clip((two @ votes + 0.1) / (n - mass + 1.0), 1e-7, 1 - 1e-3)
+        silent = np.log((one @ quiet + 0.1) / (mass + 1.0)) - np.log((two @ quiet + 0.1) / (n - mass + 1.0))
         rest = votes - p[:, None] * toxic - (1 - p)[:, None] * clean
-        cov = rest.T @ rest / max(n, 1)
+        cov = rest.T @ (rest * stands[:, None]) / max(n, 1)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         rho = np.clip(cov / np.outer(sd, sd), 0, 1)
         rho[rho < 0.3] = 0
@@ -183,18 +193,24 @@ def _row(voters: Voters, text: str, said: set[str]) -> tuple[np.ndarray, np.ndar
     return at, x
 
 
-def fit(texts: list[str], y: np.ndarray) -> Model:
-    """Induce voters, estimate posterior labels, train the classifier on them (not on ``y``)."""
+def fit(texts: list[str], y: np.ndarray, odds: float = 1.0) -> Model:
+    """Induce voters, estimate posterior labels, train the classifier on them (not on ``y``).
+
+    ``odds``: rows that a clean text stands for, over those of a toxic one; voters' precisions and the label
+    model count by them. The classifier's targets depend on the text alone and need no such weight.
+    """
     voters = Voters()
     if not texts:
         return Model(voters, np.zeros((len(voters.names) + WORD_BUCKETS, 2), np.float32), np.array([4.0, 0.0]))
     said = [words_of(t) for t in texts]
-    voters.induce(said, y)
+    voters.induce(said, y, odds)
     votes = np.zeros((len(texts), len(voters.names)))
     for i, (t, w) in enumerate(zip(texts, said)):
         votes[i, voters.votes(t, w)] = 1
-    right = (votes[y == 1].sum(axis=0) + 0.5) / (votes.sum(axis=0) + 1.0)
-    posterior = fit_labels(votes, np.minimum(right, 0.99)).posterior(votes)
+    hits, misses = votes[y == 1].sum(axis=0), votes[y == 0].sum(axis=0)
+    right = (hits + 0.5) / (hits + odds * misses + 1.0)
+    stands = np.where(y == 1, 1.0, odds)
+    posterior = fit_labels(votes, np.minimum(right, 0.99), stands / stands.min()).posterior(votes)
     rows = [_row(voters, t, w) for t, w in zip(texts, said)]
     size = len(voters.names) + WORD_BUCKETS
     targets = np.stack([1 - posterior, posterior], axis=1)
@@ -206,16 +222,19 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
     """``doc_id, held_out, score, predicted``, one row per row of ``docs(doc_id, text)``.
 
     Voters are induced from ``labels.toxic`` of ids that are not held out, at most ``max_train`` rows by hash
-    order. Null texts are scored as empty ones; repeated rows each get their row; without labels nothing is
+    order within each label. Null texts are scored as empty ones; repeated rows each get their row; without labels nothing is
     trained and no text is called toxic (every score is 0.018). Other columns are ignored.
     """
     known = labelled(docs.where(~held_out()).select("doc_id"), labels, "toxic").distinct()
     known = known.select("doc_id", "y")
-    ids = first_by_hash(known, "doc_id", max_train, known.count(), "toxicity").collect()
+    ids, all_of = sample_by_class(known, "y", max_train, "toxicity")
     wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in ids], known.schema)
     train = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
-    rows = train.orderBy("doc_id", "text").limit(max_train).toPandas()
-    model = fit([t or "" for t in rows["text"]], rows["y"].to_numpy(np.int64))
+    rows, _ = sample_by_class(train, "y", max_train, "texts")  # of ids in many rows
+    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    taken = Counter(r["y"] for r in rows)
+    odds = all_of[0] / taken[0] / (all_of[1] / taken[1]) if len(taken) == 2 else 1.0
+    model = fit([r["text"] or "" for r in rows], np.array([r["y"] for r in rows], np.int64), odds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(text: pa.Array) -> pa.Array:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from taxaflow.llm import ann, chat, components, decontam, langid, lm, packing, pii, quality, queries, simhash, toxicity
-from taxaflow.llm.common import Workspace, id_mod, table
+from taxaflow.llm.common import Workspace, id_mod, quotas, sample_by_class, table
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -335,6 +335,26 @@ def test_language_on_held_out_rows_and_odd_ones(spark, odd):
     assert langid.accept(odd, langid.fit(empty(spark, f"{DOCS}, lang string"))).count() == 0
 
 
+def test_rare_classes_have_their_rows_in_bounded_samples(spark):
+    say = {"en": "the house and the garden of them", "fr": "une maison et le jardin des voisins", "xx": "zqu wkrz qzz wqk zkw"}
+    rows = [(i, say["xx" if i % 500 == 7 else "fr" if i % 3 else "en"] + f" {i % 10}", "xx" if i % 500 == 7 else "fr" if i % 3 else "en") for i in range(4000)]
+    rows += [(None, "ooga booga ooga", "yy")] * 300  # copies without an id
+    docs = spark.createDataFrame(rows, f"{DOCS}, lang string").repartition(5)
+    model = langid.fit(docs, max_train=200)
+    assert model.languages == ["en", "fr", "xx", "yy"]
+    right = docs.withColumn("p", langid.predict(docs, model)).groupBy("lang").agg(F.avg((F.col("p.lang") == F.col("lang")).cast("int")))
+    assert dict(map(tuple, right.collect())) == {"en": 1, "fr": 1, "xx": 1, "yy": 1}
+    took, known = sample_by_class(docs, "lang", 200)
+    assert known == Counter(r[2] for r in rows) and Counter(r["lang"] for r in took) == Counter(quotas(known, 200)) and len(took) <= 200
+
+
+def test_rare_toxic_labels_are_learned(spark):
+    rows = [(i, f"zorgblat {i % 7} morning" if i % 250 == 3 else f"good morning {i % 11} garden") for i in range(5000)]
+    labels = spark.createDataFrame([(i, int("zorgblat" in t)) for i, t in rows], "doc_id long, toxic int")
+    found = toxicity.score(spark.createDataFrame(rows, DOCS), labels, max_train=100).where("predicted = 1").collect()
+    assert {r["doc_id"] for r in found} == {i for i, t in rows if "zorgblat" in t}
+
+
 def _brute_lm(rows, trained):
     tokens = [(t or "").encode().lower().split() + [b""] for _, t in rows]
     counts = Counter(w for ws, ok in zip(tokens, trained) if ok for w in ws)
