@@ -7,19 +7,24 @@ learns from: the speaker's own texts with their end markers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 SYSTEM, UNKNOWN = "system", "unknown"
-#: Turns in one rendered part: a longer dialogue gives several parts, so no row grows without bound.
+OWN = f"{START}assistant\n"
+#: Turn numbers in one part: a longer dialogue gives several parts. Only numbers part it, so turns that repeat a number,
+#: or have none, share a part however many they are, and its row grows with them.
 PART = 512
 
 
+def _named(who: Column) -> Column:
+    return F.concat(F.lit(f"{START}user name="), who, F.lit("\n"))
+
+
 def _header(who: Column, speaker: Column) -> Column:
-    named = F.concat(F.lit(f"{START}user name="), who, F.lit("\n"))
     return (
-        F.when(who == speaker, f"{START}assistant\n").when(who == SYSTEM, f"{START}{SYSTEM}\n").otherwise(named)
+        F.when(who == speaker, OWN).when(who == SYSTEM, f"{START}{SYSTEM}\n").otherwise(_named(who))
     )
 
 
@@ -34,50 +39,38 @@ def rotate(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", speak
     said = turns.select(
         F.col(conv).alias("conv_id"),
         F.coalesce(F.floor(F.col(turn) / PART), F.lit(0)).cast("long").alias("part"),
-        F.struct(
-            F.col(turn).alias("turn"),
-            F.coalesce(F.col(speaker), F.lit(UNKNOWN)).alias("who"),
-            F.coalesce(F.col(text), F.lit("")).alias("body"),
-        ).alias("said"),
+        F.col(turn).alias("turn"),
+        F.coalesce(F.col(speaker), F.lit(UNKNOWN)).alias("who"),
+        F.coalesce(F.col(text), F.lit("")).alias("body"),
+    )
+    order = Window.partitionBy("conv_id", "part").orderBy("turn", "who", "body")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("conv_id", "part", "who").orderBy("k")
+    # Views differ only in the headers of the speaker's own turns, so an end in its view is the end in the text
+    # with all named, moved by the difference of headers for each own turn up to there.
+    named = F.length(_header(F.col("who"), F.lit(None).cast("string"))) + F.length("body") + len(STOP)
+    moved = F.row_number().over(own) * (len(OWN) - F.length(_named(F.col("who"))))
+    said = said.withColumns({"k": F.row_number().over(order), "_end": F.sum(named).over(so_far)})
+    said = said.withColumn("end", (F.col("_end") + moved).cast("long"))
+    said = said.withColumn("start", F.col("end") - F.length("body") - len(STOP))
+    parts = said.groupBy("conv_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct("k", "who", "body", "start", "end"))).alias("said")
     )
-    parts = said.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("said")).alias("said"))
     speakers = turns.select(F.col(conv).alias("_conv"), F.col(speaker).alias("speaker")).distinct()
     speakers = speakers.where(F.col("speaker").isNotNull() & (F.col("speaker") != SYSTEM))
     views = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
-    pieces = F.transform(
-        "said",
-        lambda t: F.struct(
-            F.concat(_header(t.who, F.col("speaker")), t.body, F.lit(STOP)).alias("piece"),
-            F.when(t.who == F.col("speaker"), F.length(t.body) + len(STOP)).alias("own"),
-        ),
-    )
-    views = views.withColumn("_pieces", pieces)
-    place = F.aggregate(
-        "_pieces",
-        F.struct(
-            F.lit(0).cast("long").alias("at"),
-            F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("mask"),
-        ),
-        lambda acc, p: _moved(acc, p),
-    )
+    pieces = F.transform("said", lambda t: F.concat(_header(t.who, F.col("speaker")), t.body, F.lit(STOP)))
+    mine = F.filter("said", lambda t: t.who == F.col("speaker"))
     return views.select(
         "conv_id",
         "speaker",
         "part",
         F.size("said").cast("long").alias("n_turns"),
-        F.array_join(F.transform("_pieces", lambda p: p.piece), "").alias("text"),
-        place.mask.alias("mask"),
+        F.array_join(pieces, "").alias("text"),
+        F.transform(mine, lambda t: F.struct(t.start.alias("start"), t.end.alias("end"))).alias("mask"),
     )
 
 
-def _moved(acc: Column, p: Column) -> Column:
-    """The place after one more piece, and its span if it is the speaker's own."""
-    after = acc.at + F.length(p.piece)
-    span = F.struct((after - p.own).alias("start"), after.alias("end"))
-    mask = F.when(p.own.isNotNull(), F.concat(acc.mask, F.array(span))).otherwise(acc.mask)
-    return F.struct(after.alias("at"), mask.alias("mask"))
-
-
 #: DuckDB twin of the query, its mask as ``start:end`` joined by commas.
 ORACLE = f"""
 WITH said AS (

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -267,6 +268,25 @@ def test_chat_equals_its_twin_and_takes_odd_rows(spark):
     assert chat.rotate(empty(spark, "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_with_very_many_turns_in_one_part_ends(spark):
+    n = 60_000
+    said = [(i % 8, "bob" if i % 3 == 0 else "ann", f"say {i % 997}") for i in range(n)]
+    turns = spark.createDataFrame([(None, *r) for r in said], "conv_id long, turn long, role string, text string")
+    started = time.monotonic()
+    got = {r["speaker"]: r for r in chat.rotate(turns).collect()}
+    assert time.monotonic() - started < 60  # masks that grow by copying take minutes
+    for speaker, row in got.items():
+        text, mask = [], []
+        at = 0
+        for _, who, body in sorted(said):
+            piece = ("<|im_start|>assistant\n" if who == speaker else f"<|im_start|>user name={who}\n") + f"{body}<|im_end|>\n"
+            text.append(piece)
+            at += len(piece)
+            mask += [(at - len(body) - len("<|im_end|>\n"), at)] if who == speaker else []
+        assert (row["part"], row["n_turns"], row["text"]) == (0, n, "".join(text)) and [tuple(m) for m in row["mask"]] == mask
+    assert set(got) == {"ann", "bob"}
+
+
 def _brute_neighbours(rows, k=10):
     ids = np.array([i for i, v in rows])
     vectors = np.array([v for _, v in rows], np.float64)
