@@ -6,9 +6,9 @@ occurs in some item. A window is 13 consecutive item words (an item of fewer wor
 window); wherever the tracked length reaches a window, its words are hit. A document whose hit words reach a
 twentieth of its words is contaminated; spans of hit words can be cut out of the others.
 
-The automaton is broadcast, so its size is checked: items are dealt by hash into shards of at most
-``MAX_WORDS`` words (a single item beyond that is refused) and each shard is a pass of its own over the
-documents; results of several shards are put together per document. Streams are first cut to stretches
+The automaton is broadcast, so its size is checked: long items are cut into pieces that overlap by a window
+less one word (so every window stands whole in one piece), pieces are dealt by hash into shards of at most
+``MAX_WORDS`` words, counted after dealing, and each shard is a pass of its own over the documents; results of several shards are put together per document. Streams are first cut to stretches
 whose neighbouring words all follow each other in some item: no match can cross the ends of a stretch.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, raw
+from .common import Workspace, raw, slices
 
 WINDOW = 13
 #: Hit words times this reach the words of the document: contaminated.
@@ -175,18 +175,40 @@ _ARROW = pa.struct(
 )
 
 
+def _piece_rows(size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Items as pieces of at most ``size`` words, none without a window of its item."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            items, texts, sizes = [], [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                for at in range(0, max(len(words) - WINDOW + 1, min(len(words), 1)), size - WINDOW + 1):
+                    items.append(item)
+                    texts.append(b" ".join(words[at : at + size]))
+                    sizes.append(min(size, len(words) - at))
+            yield pa.record_batch(
+                [pa.array(items, pa.string()), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())],
+                names=["item", "text", "n"],
+            )
+
+    return cut
+
+
 def _automata(benchmark: DataFrame, max_words: int) -> Iterator[Automaton]:
     """One automaton per shard of the benchmark, one at a time; words are counted before anything is fetched."""
     items = benchmark.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("string").alias("item"), raw().alias("text")
     )
-    size = F.size(F.split(F.col("text").cast("string"), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
-    total, largest = (x or 0 for x in items.agg(F.sum(size), F.max(size)).first())
-    if largest > max_words:
-        raise ValueError(f"an item has {largest} words; raise max_words above that")
+    size = max(WINDOW, max_words // 8)
+    pieces = items.mapInArrow(_piece_rows(size), "item string, text binary, n long").distinct()
+    total = pieces.agg(F.sum("n")).first()[0] or 0
     n = 1 if total <= max_words else -(-2 * total // max_words)
+    dealt = F.xxhash64("item", "text")
+    while n > 1 and pieces.groupBy(F.pmod(dealt, F.lit(n))).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > max(size, max_words):
+        n *= 2
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items
+        part = pieces.where(F.pmod(dealt, F.lit(n)) == k) if n > 1 else pieces
         yield Automaton((r["item"], words_of(bytes(r["text"]))) for r in part.collect())
 
 

@@ -128,6 +128,16 @@ def test_decontamination_equals_its_twin(spark):
     assert compare.spark_rows(queries.op10_decontam(spark, SF)) == compare.duck_rows(decontam.ORACLE, SF)
 
 
+def test_decontamination_by_an_item_longer_than_an_automaton(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(300)}" for _ in range(1000)]
+    items = [("long", " ".join(long)), ("short", "w1 w2 w3"), ("long", " ".join(long[:40]))]
+    rows = [(i, " ".join(["z"] * 9 + long[at : at + n] + ["z"] * 400)) for i, (at, n) in enumerate((rng.randrange(990), rng.choice((12, 13, 14, 60))) for _ in range(60))]
+    rows += [(70, " ".join(long)), (71, "w1 w2 w3 z")]
+    got = decontam.report(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id string, text string"), max_words=400)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_decontam.report(rows, items))
+
+
 def test_decontamination_of_small_alphabets_and_odd_rows(spark, odd):
     rng = random.Random(5)
     say = lambda n, w: " ".join(rng.choice(w) for _ in range(n))
