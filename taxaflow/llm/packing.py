@@ -1,18 +1,22 @@
 """Best-fit packing of tokenised documents into sequences of a fixed number of tokens.
 
-Bulk-synchronous best fit. Documents (pieces) are range-sorted by length, so a piece is known by its length
-and its rank among pieces of that length; sequences are known likewise by their gap. All pieces of one length
-are interchangeable, and so are all sequences of one gap: a sweep takes the lengths from the longest down and
-matches each class of pieces to the class of its successor gap (the smallest that holds it), rank by rank;
-ranks beyond the smaller class stay for the next successor. Gaps are updated and the sweep goes on until every
-class is placed; a class without a successor opens sequences. There are at most ``capacity`` lengths and gaps
-whatever the size of the corpus, so a sweep moves counts of classes, not documents; sorting, ranking and
-placing the pieces are Spark jobs.
+Bulk-synchronous best fit. Documents (pieces) are range-sorted by length, so a piece is known by its length and its
+rank among pieces of that length; open sequences are kept sorted by gap in the same way. The match runs in supersteps
+from the longest band of lengths to the shortest. In each, the sorted pieces of the band and the sorted gaps of all
+open sequences are cut into parts of like rank, dealt in order over ``shards`` tasks, and every task sweeps its share:
+pieces from the longest down, each taking its successor gap (the smallest that holds it). Pieces that want the same
+gap are served by rank; ranks beyond it go on to the next successor, and open sequences where none is left. Then the
+gaps are updated, sorted and dealt anew for the next superstep.
+
+All pieces of one length are interchangeable, and so are all sequences of one gap. Supersteps therefore move *runs*
+(a length, or a gap, with a range of ranks), which stay a few thousand however many documents there are; sorting,
+ranking, counting and placing the pieces themselves are Spark jobs over all rows.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import os
 import re
@@ -22,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +35,11 @@ from .common import Workspace, give_back, slices
 CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
+#: Supersteps, each for a band of lengths half as long as the one before.
+BANDS = 5
+#: Sequences that a task of a superstep packs at least, and tasks at most: their work is bounded by lengths, not rows.
+SHARE = 10_000
+MAX_SHARDS = 64
 
 
 def _byte_letters() -> dict[str, int]:
@@ -132,42 +141,114 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
 
 class Sweep:
-    """Best fit of classes: ``counts[length]`` pieces into sequences; ranges of ranks onto ranges of sequences."""
+    """Best fit of runs: ranges of ranks of one length onto ranges of sequences of one gap.
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY) -> None:
-        self.sequences = 0
+    ``counts[length]`` pieces are placed at once, from the longest down; ``gaps`` are runs (gap, first sequence, how
+    many) that are open already; new sequences are numbered from ``base``.
+    """
+
+    def __init__(self, counts: dict[int, int] | None = None, capacity: int = CAPACITY, gaps: Iterable[tuple[int, int, int]] = (), base: int = 0) -> None:
+        self.capacity, self.base, self.sequences = capacity, base, 0
         #: rows (length, first rank, first sequence, offset) with ranks and sequences in step
         self.placed: list[tuple[int, int, int, int]] = []
-        gaps: dict[int, list[tuple[int, int]]] = {}
-        order: list[int] = []
-
-        def free(gap: int, first: int, n: int) -> None:
-            if not gap:
-                return
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(order, gap)
-            gaps[gap].append((first, n))
-
-        for length in sorted(counts, reverse=True):
-            rank, n = 0, counts[length]
-            while rank < n:
-                at = bisect.bisect_left(order, length)
-                if at == len(order):
-                    needed = -(-(n - rank) // (capacity // length))
-                    free(capacity, self.sequences, needed)
-                    self.sequences += needed
-                    continue
-                gap = order[at]
-                first, size = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], order[at]
-                taken = min(size, n - rank)
-                self.placed.append((length, rank, first, capacity - gap))
-                rank += taken
-                free(gap - length, first, taken)
-                if taken < size:
-                    free(gap, first + taken, size - taken)
+        self._gaps: dict[int, list[tuple[int, int]]] = {}
+        self._order: list[int] = []
+        for run in gaps:
+            self._free(*run)
+        for length in sorted(counts or {}, reverse=True):
+            self.place(length, 0, counts[length])
+
+    def _free(self, gap: int, first: int, n: int) -> None:
+        if not gap:
+            return
+        if gap not in self._gaps:
+            self._gaps[gap] = []
+            bisect.insort(self._order, gap)
+        self._gaps[gap].append((first, n))
+
+    def place(self, length: int, rank: int, n: int) -> None:
+        """Ranks ``rank`` to ``rank + n`` of a length, no longer than those placed before."""
+        stop = rank + n
+        while rank < stop:
+            at = bisect.bisect_left(self._order, length)
+            if at == len(self._order):
+                needed = -(-(stop - rank) // (self.capacity // length))
+                self._free(self.capacity, self.base + self.sequences, needed)
+                self.sequences += needed
+                continue
+            gap = self._order[at]
+            first, size = self._gaps[gap].pop()
+            if not self._gaps[gap]:
+                del self._gaps[gap], self._order[at]
+            taken = min(size, stop - rank)
+            self.placed.append((length, rank, first, self.capacity - gap))
+            rank += taken
+            self._free(gap - length, first, taken)
+            if taken < size:
+                self._free(gap, first + taken, size - taken)
+
+    def open(self) -> list[tuple[int, int, int]]:
+        """The runs (gap, first sequence, how many) that have room left."""
+        return [(gap, *run) for gap in self._order for run in self._gaps[gap]]
+
+
+def _bands(capacity: int) -> list[tuple[int, int]]:
+    """Lengths (over, up to) of each superstep: halves, the last from ``capacity / 16`` down."""
+    tops = [capacity >> k for k in range(BANDS) if capacity >> k]
+    return list(zip([*tops[1:], 0], tops))
+
+
+_RUNS = "kind int, size long, first long, n long, sequence long, offset long"
+_GAP, _PIECE, _PLACED = 0, 1, 2
+
+
+def _swept(step: int, capacity: int):
+    """One task of a superstep: the runs of a shard, a bounded number whatever the corpus."""
+
+    def sweep(key: tuple, runs: pa.Table) -> pa.Table:
+        rows = list(zip(*(runs.column(c).to_pylist() for c in ("kind", "size", "first", "n"))))
+        base = (step * MAX_SHARDS + key[0].as_py()) << 40
+        s = Sweep(None, capacity, sorted(r[1:] for r in rows if r[0] == _GAP), base)
+        for _, length, first, n in sorted((r for r in rows if r[0] == _PIECE), key=lambda r: (-r[1], r[2])):
+            s.place(length, first, n)
+        out = [(_GAP, *run, None, None) for run in s.open()]
+        out += [(_PLACED, length, rank, None, first, offset) for length, rank, first, offset in s.placed]
+        kinds = [pa.int32(), *[pa.int64()] * 5]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds],
+                        names=["kind", "size", "first", "n", "sequence", "offset"])
+
+    return sweep
+
+
+def _dealt(runs: DataFrame, shards: int) -> DataFrame:
+    """Runs cut to parts of at most an eighth of a task's share, dealt over the tasks in the order of their sizes.
+
+    A window over all runs of a kind: they are no more than lengths (or gaps) and cuts, not rows of the corpus.
+    """
+    most = F.ceil(F.sum("n").over(Window.partitionBy("kind")) / (8 * shards)).cast("long")
+    parts = runs.withColumn("_q", most).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("_q")).cast("long") - 1)))
+    parts = parts.select(
+        "kind", "size", (F.col("first") + F.col("_i") * F.col("_q")).alias("first"),
+        F.least(F.col("_q"), F.col("n") - F.col("_i") * F.col("_q")).alias("n"),
+    )
+    order = Window.partitionBy("kind").orderBy(F.desc("size"), "first")
+    return parts.withColumn("shard", F.pmod(F.row_number().over(order), F.lit(shards)))
+
+
+def match(counts: DataFrame, work: Workspace, capacity: int = CAPACITY) -> DataFrame:
+    """``counts(length, n)`` -> ``size, first, sequence, offset``: from that rank on, pieces of that length lie in step
+    in the sequences from that one on, at that offset. Lengths are at most ``capacity``; no rows give none."""
+    tokens = counts.agg(F.sum(F.col("length") * F.col("n"))).first()[0] or 0
+    shards = int(min(MAX_SHARDS, max(1, tokens // (capacity * SHARE))))
+    null = F.lit(None).cast("long")
+    pieces = counts.select(F.lit(_PIECE).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), "n")
+    runs, steps = None, []
+    for step, (over, top) in enumerate(_bands(capacity)):
+        band = pieces.where((F.col("size") > over) & (F.col("size") <= top))
+        both = band if runs is None else band.union(runs.where(F.col("kind") == _GAP).select("kind", "size", "first", "n"))
+        runs = work.cut(_dealt(both, shards).groupBy("shard").applyInArrow(_swept(step, capacity), _RUNS))
+        steps.append(runs.where(F.col("kind") == _PLACED).select("size", "first", "sequence", "offset"))
+    return functools.reduce(DataFrame.union, steps, pieces.select("size", "first", null.alias("sequence"), null.alias("offset")).where(F.lit(False)))
 
 
 _PLACE = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -189,26 +270,25 @@ def pack(
 ) -> DataFrame:
     """``docs(doc_id, text)`` -> pieces with ``sequence_id`` and ``offset``, in as few sequences as best fit finds.
 
-    Every document gives at least one piece; repeated rows are packed each for itself; a null doc_id is an id
-    like any other; other columns are ignored; an empty table gives none.
+    Every document gives at least one piece; null and empty texts give the end id alone; very long ones are cut,
+    never shortened; repeated rows are packed each for itself; ties of length are ranked by doc_id and piece; a null
+    doc_id is an id like any other; other columns are ignored; an empty table gives none.
     """
     spark = docs.sparkSession
     work = work or Workspace(spark, "packing")
     path = path or str(public_tokenizers.path(TOKENIZER))
     cut = work.cut(pieces(docs, path, capacity, end))
-    sorted_by_length = cut.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
-    placed = work.cut(sorted_by_length.withColumn("_row", F.monotonically_increasing_id()))
+    by_length = cut.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
+    placed = work.cut(by_length.withColumn("_row", F.monotonically_increasing_id()))
+    work.drop(cut)
     placed = placed.withColumn("_part", F.shiftright("_row", 33))
-    runs = placed.groupBy("length", "_part").agg(F.count("*").alias("n"), F.min("_row").alias("first")).collect()
-    runs.sort(key=lambda r: (r["length"], r["_part"]))  # at most one row per length and one more per partition
-    counts: dict[int, int] = {}
-    shift = []
-    for r in runs:
-        shift.append((r["length"], r["_part"], counts.get(r["length"], 0) - r["first"]))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
-    table = np.array(sorted(Sweep(counts, capacity).placed), np.int64).reshape(-1, 4)
+    runs = placed.groupBy("length", "_part").agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
+    runs = work.cut(runs)  # range-sorted: at most one row per length and one more per partition
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = runs.select("length", "_part", (before - F.col("_first")).alias("_shift"))
+    found = match(runs.groupBy("length").agg(F.sum("n").alias("n")), work, capacity)
+    table = np.array(sorted(map(tuple, found.collect())), np.int64).reshape(-1, 4)  # runs, not pieces
     shared = spark.sparkContext.broadcast(((table[:, 0] << 44) + table[:, 1], table[:, 1], table[:, 2], table[:, 3]))
-    starts = spark.createDataFrame(shift, "length long, _part long, _shift long")
     ranked = placed.join(F.broadcast(starts), ["length", "_part"]).withColumn("_rank", F.col("_row") + F.col("_shift"))
-    found = ranked.withColumn("_at", F.arrow_udf(_place(shared), _PLACE)("length", "_rank"))
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset")
+    at = ranked.withColumn("_at", F.arrow_udf(_place(shared), _PLACE)("length", "_rank"))
+    return at.select("doc_id", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset")

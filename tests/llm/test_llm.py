@@ -262,6 +262,38 @@ def test_sweep_places_every_rank_once_and_packs_like_best_fit():
     assert sum(used.values()) == sum(k * n for k, n in counts.items()) and max(used.values()) <= 1024
 
 
+def test_encoder_equals_the_tokenizer_on_every_character():
+    from tokenizers import Tokenizer
+
+    path = str(packing.public_tokenizers.path(packing.TOKENIZER))
+    model, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    assert encode.fast is not None
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000] + [*range(0x2A000, 0x110000, 251)]
+    for at in range(0, len(points), 64):  # each between letters, digits, marks and spaces, and beside others of its kind
+        text = " ".join(f"a{c}b 1{c}2 .{c} {c}{c}\n{c}  {c} 's{c}" for c in map(chr, points[at : at + 64]))
+        assert np.frombuffer(encode(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, points[at]
+    for text in ("x" * 30_000, " " * 30_000 + "a", "<|endoftext|>" * 3, " <|endoftext|> a", "ab1" * 9_000):
+        assert np.frombuffer(encode(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+
+
+def test_supersteps_over_several_tasks_place_every_rank_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARE", 20)
+    rng = random.Random(6)
+    counts = {rng.randrange(1, 1025): rng.randrange(1, 90) for _ in range(300)}
+    table = spark.createDataFrame(sorted(counts.items()), "length long, n long")
+    placed = sorted(map(tuple, packing.match(table, Workspace(spark, "t")).collect()))
+    spans = {}
+    for (length, rank, first, offset), after in zip(placed, [*placed[1:], (0, 0, 0, 0)]):
+        stop = after[1] if after[0] == length else counts[length]
+        for i in range(stop - rank):
+            spans.setdefault(first + i, []).append((offset, length))
+    assert sum(len(x) for x in spans.values()) == sum(counts.values()) and len({q >> 40 for q in spans}) > packing.BANDS
+    for x in map(sorted, spans.values()):
+        assert [a for a, _ in x] == [sum(n for _, n in x[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 1024
+    one = packing.Sweep(counts).sequences
+    assert len(spans) <= one + 4 * packing.MAX_SHARDS and packing.match(table.limit(0), Workspace(spark, "t")).count() == 0
+
+
 # ---------------------------------------------------------------- chat, search
 
 
