@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one is set only where there is none."""
+    """The folder the cluster names in spark.checkpoint.dir; a local session without one gets a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='taxaflow-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -58,6 +60,14 @@ class Workspace:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores before it as no column of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def raw(column: str = "text") -> Column:
     """A text column as UTF-8 bytes: free in the JVM, and Python gets bytes without decoding."""
     return F.col(column).cast("binary")
@@ -97,11 +107,12 @@ def quotas(counts: dict, n: int) -> dict:
     return {k: min(c, least + rest * c // total) for k, c in counts.items()}
 
 
-def sample_by_class(rows: DataFrame, by: str, n: int, salt: str = "") -> tuple[list[Row], dict]:
+def sample_by_class(rows: DataFrame, by: str, n: int, salt: str = "", carry: dict[str, Column] | None = None) -> tuple[list[Row], dict]:
     """A sample by hash of the whole row with the ``quotas`` of each value of ``by`` (no nulls), and the rows of each class.
 
     A histogram of the hash by class gives the counts and a threshold for each class, so that little more than
     the sample is fetched; copies of a row travel once with their number. Classes are interleaved evenly.
+    ``carry``: columns made of the sampled rows by the executors and fetched in place of the rows' own.
     """
     h = F.pmod(F.xxhash64(*rows.columns, F.lit(salt)), F.lit(1 << 40))
     top = F.shiftright(h, 40 - _BITS).cast("int")
@@ -121,7 +132,10 @@ def sample_by_class(rows: DataFrame, by: str, n: int, salt: str = "") -> tuple[l
     near = rows.withColumn("_h", h).join(F.broadcast(limits), by).where(F.shiftright("_h", 40 - _BITS) <= F.col("_last"))
     single = near.groupBy("_h", *rows.columns).agg(F.count("*").alias("_copies"))
     place = F.row_number().over(Window.partitionBy(by).orderBy("_h", *rows.columns))
-    found = single.withColumn("_place", place).where(F.col("_place") <= max(take.values())).collect()
+    found = single.withColumn("_place", place).where(F.col("_place") <= max(take.values()))
+    if carry is not None:
+        found = found.select(by, "_place", "_copies", *(c.alias(name) for name, c in carry.items()))
+    found = found.collect()
     out, taken = [], Counter()
     for r in sorted(found, key=lambda r: (r[by], r["_place"])):
         k = r[by]
