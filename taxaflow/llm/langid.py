@@ -3,9 +3,10 @@
 Features: one to three characters of the lower-cased text, hashed into ``BUCKETS``; term frequency is the
 share of a text's n-grams of that length, inverse document frequency comes from all training documents. The
 weights are learned by follow-the-regularised-leader with an elastic-net penalty on a bounded sample of the
-training documents (``MAX_TRAIN``, in which every language has its rows: ``common.quotas``), a fifth of each
-language kept apart to set the temperature of the scores. A text then costs one table look-up per n-gram: the weights are multiplied by the
-frequencies beforehand.
+training documents (``MAX_TRAIN``, in which every language has its rows: ``common.quotas``), a fifth of each language
+kept apart to set the temperature of the scores. Small samples are read in as many epochs as give ``UPDATES`` steps.
+The executors make the features of the sample, so no text goes to the driver. A text then costs one table look-up
+per n-gram: the weights are multiplied by the frequencies beforehand.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, sample_by_class, slices
+from .common import fresh, give_back, sample_by_class, slices
 
 BUCKETS = 1 << 16
 #: Documents from which weights are learned; document frequencies count all.
 MAX_TRAIN = 4_000
 EPOCHS = 2
+#: Steps of the learner at least: a small sample is read more often.
+UPDATES = 6_000
 UNDETERMINED = "und"
 #: Below this share of the calibrated probability a prediction is rejected.
 LEAST_SCORE = 0.5
@@ -81,6 +84,7 @@ class Model:
 
 
 def _sparse(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text in order, with their TF-IDF."""
     keys, values = [], []
     for g in grams(text):
         if len(g):
@@ -144,11 +148,14 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+_FEATURES = T.StructType([T.StructField("k", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+
 def fit(train: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Learn from ``train(doc_id, text, lang)``; rows with a null lang are ignored. No rows: no languages.
 
-    Every lang of ``train`` is learned, however rare. The driver holds about 1 MB of weights and 1 MB of
-    gradients a language.
+    Every lang of ``train`` is learned, however rare. Null texts count as empty. The driver holds about 1 MB of weights
+    and 1 MB of gradients a language, and ``max_train`` sparse rows of at most ``BUCKETS`` entries.
     """
     train = train.where("lang is not null").select("doc_id", "text", "lang")
     counts = train.select("text").mapInArrow(_frequency_rows, "bucket int, n long").groupBy("bucket").agg(F.sum("n"))
@@ -159,9 +166,19 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     df = np.zeros(BUCKETS)
     df[list(found)] = list(found.values())
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    sample, known = sample_by_class(train.select("doc_id", "lang", "text"), "lang", max_train, "langid")
+    shared = train.sparkSession.sparkContext.broadcast(idf)
+
+    def featured(text: pa.Array) -> pa.Array:
+        found = [_sparse(x.as_py() or "", shared.value) for x in text]
+        return pa.StructArray.from_arrays(
+            [pa.array([k.astype(np.int32) for k, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))],
+            names=["k", "v"],
+        )
+
+    made = {"x": F.arrow_udf(featured, _FEATURES)("text")}
+    sample, known = sample_by_class(train.select("doc_id", "lang", "text"), "lang", max_train, "langid", made)
     languages = sorted(known)
-    rows = [_sparse(r["text"] or "", idf) for r in sample]
+    rows = [(np.array(r["x"]["k"], np.int64), np.array(r["x"]["v"], np.float64)) for r in sample]
     labels = np.array([languages.index(r["lang"]) for r in sample])
     places, seen = np.zeros(len(rows), np.int64), Counter()
     for i, r in enumerate(sample):
@@ -169,7 +186,8 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN) -> Model:
         seen[r["lang"]] += 1
     apart = places % 5 == 4
     fitting = np.flatnonzero(~apart)
-    weights, bias = fit_ftrl([rows[i] for i in fitting], labels[fitting], len(languages))
+    epochs = max(EPOCHS, -(-UPDATES // max(len(fitting), 1)))
+    weights, bias = fit_ftrl([rows[i] for i in fitting], labels[fitting], len(languages), epochs=epochs)
     logits = np.array([v @ weights[k] + bias for (k, v), a in zip(rows, apart) if a]).reshape(-1, len(languages))
     t = temperature(logits, labels[apart])
     return Model(languages, (weights * idf[:, None] / t).astype(np.float32), bias / t)
@@ -204,6 +222,10 @@ def predict(docs: DataFrame, model: Model) -> Column:
 
 
 def accept(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows whose language is determined with a score of ``LEAST_SCORE`` or more, unchanged."""
-    found = docs.withColumn("_lang", predict(docs, model))
-    return found.where((F.col("_lang.lang") != UNDETERMINED) & (F.col("_lang.score") >= LEAST_SCORE)).select(docs.columns)
+    """The rows whose language is determined with a score of ``LEAST_SCORE`` or more, unchanged.
+
+    Rows with a null text, or one without a letter, go; repeated rows share one fate; columns of any name stay.
+    """
+    mark = fresh("_lang", docs)
+    found = docs.withColumn(mark, predict(docs, model))
+    return found.where((F.col(f"{mark}.lang") != UNDETERMINED) & (F.col(f"{mark}.score") >= LEAST_SCORE)).select(docs.columns)
