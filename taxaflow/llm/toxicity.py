@@ -108,17 +108,22 @@ class Voters:
                 self._add(f"induced {t}", [t])
         self.stems = {t.rstrip("2") for t in self.terms if t.endswith(("-", "-2"))}
 
-    def votes(self, text: str, said: set[str]) -> list[int]:
-        """Voters that fire, sorted. Every word and beginning is looked up; patterns see the whole text."""
+    def matched(self, text: str, said: set[str]) -> list[int]:
+        """Patterns that fire on the whole text."""
+        if said.isdisjoint(_OPENERS):
+            return []
+        low = text.lower()
+        return [k for k, p in self.patterns if p.search(low)]
+
+    def votes(self, said: set[str], matched: list[int]) -> list[int]:
+        """Voters that fire, sorted. Every word and beginning is looked up."""
         terms = self.terms
         fired = {terms[w] for w in said if w in terms}
         if self.stems:
             stems = Counter(t for w in said for k in _STEMS if k < len(w) and (t := w[:k] + "-") in self.stems)
             fired.update(terms[t] for t in stems if t in terms)
             fired.update(terms[t + "2"] for t, n in stems.items() if n > 1 and t + "2" in terms)
-        if not said.isdisjoint(_OPENERS):
-            low = text.lower()
-            fired.update(k for k, p in self.patterns if p.search(low))
+        fired.update(matched)
         return sorted(fired)
 
 
@@ -180,49 +185,63 @@ class Model:
 
     def score(self, text: str) -> float:
         said = words_of(text)
-        at, x = _row(self.voters, text, said)
+        at, x = _row(self.voters, said, self.voters.matched(text, said))
         return float(_softmax(x @ self.weights[at] + self.bias)[1])
 
 
-def _row(voters: Voters, text: str, said: set[str]) -> tuple[np.ndarray, np.ndarray]:
+def _row(voters: Voters, said: set[str], matched: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Sparse features: one per fired voter, one small one per hashed word."""
-    fired = voters.votes(text, said)
+    fired = voters.votes(said, matched)
     words = {zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_BUCKETS for w in said}
     at = np.array(fired + [len(voters.names) + h for h in sorted(words)], np.int64)
     x = np.concatenate((np.ones(len(fired)), np.full(len(words), 1 / np.sqrt(max(len(words), 1)))))
     return at, x
 
 
-def fit(texts: list[str], y: np.ndarray, odds: float = 1.0) -> Model:
+def fit(said: list[set[str]], matched: list[list[int]], y: np.ndarray, odds: float = 1.0) -> Model:
     """Induce voters, estimate posterior labels, train the classifier on them (not on ``y``).
 
-    ``odds``: rows that a clean text stands for, over those of a toxic one; voters' precisions and the label
-    model count by them. The classifier's targets depend on the text alone and need no such weight.
+    Each training text is its distinct words and the patterns that fire on it. ``odds``: rows that a clean text stands
+    for, over those of a toxic one; voters' precisions and the label model count by them. The classifier's targets
+    depend on the text alone and need no such weight.
     """
     voters = Voters()
-    if not texts:
+    if not said:
         return Model(voters, np.zeros((len(voters.names) + WORD_BUCKETS, 2), np.float32), np.array([4.0, 0.0]))
-    said = [words_of(t) for t in texts]
     voters.induce(said, y, odds)
-    votes = np.zeros((len(texts), len(voters.names)))
-    for i, (t, w) in enumerate(zip(texts, said)):
-        votes[i, voters.votes(t, w)] = 1
+    votes = np.zeros((len(said), len(voters.names)))
+    for i, (w, m) in enumerate(zip(said, matched)):
+        votes[i, voters.votes(w, m)] = 1
     hits, misses = votes[y == 1].sum(axis=0), votes[y == 0].sum(axis=0)
     right = (hits + 0.5) / (hits + odds * misses + 1.0)
     stands = np.where(y == 1, 1.0, odds)
     posterior = fit_labels(votes, np.minimum(right, 0.99), stands / stands.min()).posterior(votes)
-    rows = [_row(voters, t, w) for t, w in zip(texts, said)]
+    rows = [_row(voters, w, m) for w, m in zip(said, matched)]
     size = len(voters.names) + WORD_BUCKETS
     targets = np.stack([1 - posterior, posterior], axis=1)
     weights, bias = fit_ftrl(rows, targets, 2, size=size, alpha=2.0, beta=0.1, l1=0.05, l2=0.001, epochs=6)
     return Model(voters, weights.astype(np.float32), bias)
 
 
+_SEEN = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("patterns", T.ArrayType(T.IntegerType()))])
+
+
+def _seen(text: pa.Array) -> pa.Array:
+    """What training needs of a text: its distinct words in order, and the patterns that fire on the whole of it."""
+    voters, words, patterns = Voters(), [], []
+    for x in text:
+        x = x.as_py() or ""
+        said = words_of(x)
+        words.append(sorted(said))
+        patterns.append(voters.matched(x, said))
+    return pa.StructArray.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(patterns, pa.list_(pa.int32()))], names=["words", "patterns"])
+
+
 def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """``doc_id, held_out, score, predicted``, one row per row of ``docs(doc_id, text)``.
 
     Voters are induced from ``labels.toxic`` of ids that are not held out, at most ``max_train`` rows by hash
-    order within each label. Null texts are scored as empty ones; repeated rows each get their row; without labels nothing is
+    order within each label; the driver gets their distinct words, not their texts. Null texts are scored as empty ones; repeated rows each get their row; without labels nothing is
     trained and no text is called toxic (every score is 0.018). Other columns are ignored.
     """
     known = labelled(docs.where(~held_out()).select("doc_id"), labels, "toxic").distinct()
@@ -230,11 +249,12 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
     ids, all_of = sample_by_class(known, "y", max_train, "toxicity")
     wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in ids], known.schema)
     train = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
-    rows, _ = sample_by_class(train, "y", max_train, "texts")  # of ids in many rows
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    made = {"doc_id": F.col("doc_id"), "seen": F.arrow_udf(_seen, _SEEN)("text")}
+    rows, _ = sample_by_class(train, "y", max_train, "texts", made)  # of ids in many rows
+    rows.sort(key=lambda r: (r["doc_id"], r["seen"]["words"]))
     taken = Counter(r["y"] for r in rows)
     odds = all_of[0] / taken[0] / (all_of[1] / taken[1]) if len(taken) == 2 else 1.0
-    model = fit([r["text"] or "" for r in rows], np.array([r["y"] for r in rows], np.int64), odds)
+    model = fit([set(r["seen"]["words"]) for r in rows], [r["seen"]["patterns"] for r in rows], np.array([r["y"] for r in rows], np.int64), odds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(text: pa.Array) -> pa.Array:
