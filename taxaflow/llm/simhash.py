@@ -27,13 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, give_back, raw
+from .common import Workspace, fresh, give_back, raw
 from .components import components
 
 SHINGLE = 4
 SEED = 42
 THRESHOLD = 4
 _STEP = 1 << 17
+#: Fingerprints of one anchor beyond which they are parted once more, and the (first bit, bits) of the parts' blocks.
+_MANY = 4096
+_BLOCKS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
+#: A component of more fingerprints than this, and than 1/65,536 of all, gets its name by a broadcast.
+HOT = 10_000
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -134,6 +139,25 @@ def _forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
+def _links_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one anchor that connect what all its links connect.
+
+    Beyond ``_MANY`` fingerprints they are first parted by each of five blocks of the half in which they differ more:
+    two that link differ in four bits at most, so one block is equal in both.
+    """
+    if len(prints) <= _MANY:
+        return _forest(prints)
+    halves = [(prints >> np.uint64(32 * h)) & np.uint64(0xFFFFFFFF) for h in (0, 1)]
+    other = max(halves, key=lambda x: len(np.unique(x)))
+    found = []
+    for first, width in _BLOCKS:
+        block = (other >> np.uint64(first)) & np.uint64((1 << width) - 1)
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        found += [_forest(part) for part in np.split(prints[order], cuts)]
+    return tuple(np.concatenate([x[k] for x in found]) for k in (0, 1))
+
+
 def _link_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each anchor of a partition sorted by anchor; a run may span batches."""
 
@@ -143,7 +167,7 @@ def _link_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = first[size == 2]
         near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= THRESHOLD]
         found = [(prints[near], prints[near + 1])]
-        found += [_forest(prints[a : a + n]) for a, n in zip(first[size > 2], size[size > 2])]
+        found += [_links_of(prints[a : a + n]) for a, n in zip(first[size > 2], size[size > 2])]
         u, v = (np.concatenate([x[k] for x in found]).view(np.int64) for k in (0, 1))
         return pa.record_batch([u, v], names=["u", "v"])
 
@@ -164,16 +188,13 @@ def _link_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, fingerprint, component_id``, one row per row of ``docs``.
+def _named(prints: DataFrame, first: Column, work: Workspace) -> DataFrame:
+    """``prints(fp, ...)`` -> ``fp, first`` for every distinct fingerprint: the least ``first`` of its component.
 
-    ``component_id`` is the smallest doc_id reachable over links, the row's own included. Rows with a null
-    doc_id take part; a component of such rows only has a null id. Repeated rows are kept; other columns are
-    ignored; an empty table gives an empty table.
+    Sizes and least values are summed before the shuffle. Roots of very many fingerprints, fewer than 65,536 by their
+    size, are then broadcast, so that their members do not meet in one task.
     """
-    work = work or Workspace(docs.sparkSession, "simhash")
-    prints = work.cut(docs.select("doc_id", fingerprints().alias("fp")))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = work.cut(prints.groupBy("fp").agg(first.alias("first")))
     near = (
         nodes.select("fp")
         .mapInArrow(_anchor_rows, "anchor long, fp long")
@@ -181,26 +202,54 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame
         .sortWithinPartitions("anchor", "fp")
     )
     stars = components(near.mapInArrow(_link_rows, "u long, v long"), work)
-    member = nodes.join(stars, nodes.fp == stars.u, "left").select("fp", "first_id", F.coalesce("v", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
+    member = nodes.join(stars, nodes.fp == stars.u, "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
+    member = work.cut(member)
+    sizes = member.groupBy("root").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    least_hot = max(HOT, member.count() >> 16)
+    hot = work.cut(sizes.where(F.col("n") > least_hot).select("root", "first"))
+    cold = member.drop("first").join(F.broadcast(hot.select("root")), "root", "left_anti").join(sizes.select("root", "first"), "root")
+    rest = member.drop("first").join(F.broadcast(hot), "root")
+    return cold.select("fp", "first").union(rest.select("fp", "first"))
+
+
+def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id, fingerprint, component_id``, one row per row of ``docs``.
+
+    ``component_id`` is the smallest doc_id reachable over links, the row's own included. Rows with a null
+    doc_id take part; a component of such rows only has a null id. Null and empty texts have fingerprint zero; very
+    long ones are read whole; repeated rows are kept; other columns are ignored; an empty table gives an empty table.
+    """
+    work = work or Workspace(docs.sparkSession, "simhash")
+    prints = work.cut(docs.select("doc_id", fingerprints().alias("fp")))
+    named = _named(prints, F.min("doc_id"), work).withColumnRenamed("first", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def _row_key(docs: DataFrame) -> list[Column]:
+    """Two hashes over all columns of a row: equal for repeated rows, different for all others."""
+    maps = {f.name for f in docs.schema.fields if isinstance(f.dataType, T.MapType)}
+    columns = [F.array_sort(F.map_entries(F.col(f"`{c}`"))) if c in maps else F.col(f"`{c}`") for c in docs.columns]
+    # a null adds nothing to a hash: which columns are null is hashed as well
+    nulls = F.concat(*(F.when(c.isNull(), "1").otherwise("0") for c in columns))
+    return [F.xxhash64(nulls, *columns), F.xxhash64(F.lit("second"), nulls, *columns)]
+
+
 def keep_first(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the row with the smallest doc_id stays.
+    """The rows of ``docs`` without near duplicates: exactly one row of each group stays, unchanged.
 
-    Of several rows with that same id one stays (the texts being equal or near). Rows with a null doc_id stay
-    only where their whole group has none.
+    It is the row with the smallest doc_id (null ids last); of several rows with that id, whose texts may well differ,
+    the one with the smallest hash over all columns, so the choice depends neither on partitions nor on order.
+    Rows of one id in different groups are judged each for itself. Repeated rows are one; columns of any name stay;
+    an empty table gives an empty table.
     """
     work = work or Workspace(docs.sparkSession, "simhash")
-    groups = near_duplicates(docs, work).where("component_id is null or doc_id = component_id")
-    named = groups.where("doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = groups.where("component_id is null").select("fingerprint").distinct()
-    mark = F.lower(F.lpad(F.hex(fingerprints()), 16, "0"))
-    nameless = docs.where("doc_id is null").withColumn("_mark", mark)
-    nameless = nameless.join(unnamed, nameless["_mark"] == unnamed["fingerprint"], "left_semi").drop("_mark")
-    return kept.select(docs.columns).union(nameless.select(docs.columns))
+    one, two = (fresh(name, docs) for name in ("_one", "_two"))
+    first, second = _row_key(docs)
+    keyed = docs.withColumns({one: first, two: second})
+    prints = work.cut(docs.select("doc_id", first.alias("one"), second.alias("two"), fingerprints().alias("fp")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "one", "two"))
+    chosen = _named(prints, best, work).select(F.col("first.one").alias(one), F.col("first.two").alias(two)).distinct()
+    single = keyed.dropDuplicates([one, two])  # repeated rows meet in map-side aggregates before they are shuffled
+    return single.join(chosen, [one, two], "left_semi").select(docs.columns)
