@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, raw, slices
+from .common import Workspace, fresh, raw, slices
 
 WINDOW = 13
 #: Hit words times this reach the words of the document: contaminated.
@@ -240,21 +240,21 @@ def _matcher(automaton: Automaton, spark: SparkSession) -> Callable[[pa.Array, p
     return found
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """``docs`` with a column ``_found``: n_words, spans (first, stop, first, stop... in words) and items.
+def matches(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, into: str = "_found") -> DataFrame:
+    """``docs`` with a column ``into``: n_words, spans (first, stop, first, stop... in words) and items.
 
     A null or empty text has no words and no hits. Items without words or with null id or text have no
     windows; item ids that repeat count once. An empty benchmark hits nothing. Rows and other columns stay.
     Beyond one shard each pass is written to the shared folder, so one automaton is in memory at a time.
     """
-    spark, work = docs.sparkSession, None
+    spark, work, kept = docs.sparkSession, None, docs.columns
     for automaton in _automata(benchmark, max_words):
         found = _matcher(automaton, spark)
-        if "_found" not in docs.columns:
-            docs = docs.withColumn("_found", F.arrow_udf(_unary(found), _FOUND)(raw()))
+        if docs.columns == kept:
+            docs = docs.withColumn(into, F.arrow_udf(_unary(found), _FOUND)(raw()))
             continue
         work = work or Workspace(spark, "decontam")
-        docs = work.cut(docs).withColumn("_found", F.arrow_udf(_binary(found), _FOUND)(raw(), "_found"))
+        docs = work.cut(docs).withColumn(into, F.arrow_udf(_binary(found), _FOUND)(raw(), into))
     return docs
 
 
@@ -309,16 +309,17 @@ def _cut_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
 def clean(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` without contaminated rows, and without the hit spans of the others; clean rows are untouched.
 
+    Null and empty texts stay; very long ones are read whole; repeated rows share one fate; columns of any name stay.
     ``n_chars``, where there is such a column, is counted anew for texts that lost a span.
     """
-    found = matches(docs, benchmark, max_words)
-    n_hit = _n_hit(F.col("_found.spans"))
-    found = found.withColumn("_n_hit", n_hit).where(f"_n_hit = 0 or _n_hit * {COVERAGE} < _found.n_words")
+    mark, hits = fresh("_found", docs), fresh("_n_hit", docs)
+    found = matches(docs, benchmark, max_words, mark).withColumn(hits, _n_hit(F.col(f"{mark}.spans")))
+    found = found.where((F.col(hits) == 0) | (F.col(hits) * COVERAGE < F.col(f"{mark}.n_words")))
     cut = F.arrow_udf(_cut_spans, T.StringType())
-    found = found.withColumn("text", F.when(F.col("_n_hit") > 0, cut("text", "_found.spans")).otherwise(F.col("text")))
+    found = found.withColumn("text", F.when(F.col(hits) > 0, cut("text", f"{mark}.spans")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.col("_n_hit") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.col(hits) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return found.select(docs.columns)
 
 
