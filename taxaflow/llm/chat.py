@@ -28,17 +28,20 @@ def _header(who: Column, speaker: Column) -> Column:
     )
 
 
-def rotate(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
+def rotate(
+    turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", part_turns: int | None = PART
+) -> DataFrame:
     """``conv_id, speaker, part, n_turns, text, mask`` with mask an array of ``start, end`` (code points).
 
-    A part holds the turns of one 512-turn stretch of turn numbers, in the order of (turn, speaker, text);
-    repeated rows are turns of their own. Null texts are empty; null speakers are users named ``unknown`` and
+    A part holds the turns of one stretch of ``part_turns`` turn numbers (None: the whole dialogue is part 0, whatever
+    its length), in the order of (turn, speaker, text); repeated rows are turns of their own. Null texts are empty; null speakers are users named ``unknown`` and
     no perspective; null turns come first, in part 0; a null conversation id is one conversation. Dialogues of
     system turns only, and empty tables, give no rows. Other columns are ignored.
     """
+    part = F.coalesce(F.floor(F.col(turn) / part_turns), F.lit(0)) if part_turns else F.lit(0)
     said = turns.select(
         F.col(conv).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn) / PART), F.lit(0)).cast("long").alias("part"),
+        part.cast("long").alias("part"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(speaker), F.lit(UNKNOWN)).alias("who"),
         F.coalesce(F.col(text), F.lit("")).alias("body"),
