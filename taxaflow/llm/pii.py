@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, give_back, slices
+from .common import Workspace, fresh, give_back, slices
 
 KINDS = ("email", "ip", "card", "phone")
 RELIABLE = 0.8
@@ -145,18 +145,24 @@ def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+def _passes(patterns: DataFrame, columns: list[str]) -> Iterator[list]:
+    """The patterns in sets of about ``MAX_PATTERNS``, one in the driver at a time; none: one empty set."""
+    n = max(1, -(-patterns.count() // MAX_PATTERNS))
+    for k in range(n):
+        yield patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == k).select(*columns).collect()
+
+
+def _totals(docs: DataFrame, patterns: DataFrame, work: Workspace) -> DataFrame:
     """``pattern, total``: how often each pattern's words occur in all texts, whatever stands beside them."""
-    spark = docs.sparkSession
-    n = patterns.count()
-    passes = max(1, -(-n // MAX_PATTERNS))
     out = None
-    for k in range(passes):
-        part = [r[0] for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k).collect()]
-        words = {p[2:] for p in part if p[0] != "2"}
-        pairs = {tuple(p[2:].split(" ")) for p in part if p[0] == "2"}
-        shared = spark.sparkContext.broadcast((words, pairs, {b for _, b in pairs}))
+    for part in _passes(patterns, ["pattern"]):
+        names = [r[0] for r in part]
+        words = {p[2:] for p in names if p[0] != "2"}
+        pairs = {tuple(p[2:].split(" ")) for p in names if p[0] == "2"}
+        shared = docs.sparkSession.sparkContext.broadcast((words, pairs, {b for _, b in pairs}))
         counted = docs.select("text").mapInArrow(_occurrences(shared), "pattern string, total long")
+        counted = work.cut(counted.groupBy("pattern").agg(F.sum("total").alias("total")))
+        shared.unpersist()
         out = counted if out is None else out.union(counted)
     return out.groupBy("pattern").agg(F.sum("total").alias("total"))
 
@@ -190,7 +196,7 @@ def bootstrap(docs: DataFrame, work: Workspace | None = None, rounds: int = ROUN
     graph = work.cut(found.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")))
     wide = graph.groupBy("kind", "pattern").agg(F.count("*").alias("values")).where(F.col("values") >= SUPPORT)
     wide = work.cut(wide.select("kind", "pattern"))
-    total = work.cut(_totals(docs, wide.select("pattern").distinct()))
+    total = work.cut(_totals(docs, wide.select("pattern").distinct(), work))
     graph = work.cut(graph.join(wide, ["kind", "pattern"]).join(total, "pattern"))
     trust = work.cut(graph.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("trust")))
     for _ in range(rounds):
@@ -234,14 +240,29 @@ def all_spans(text: str, patterns: frozenset[tuple[str, str]]) -> tuple[list[Spa
     return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def spans(docs: DataFrame, patterns: DataFrame) -> Column:
-    """A column ``base, all`` of ``kind:start:end`` lists for ``docs.text``; null and empty texts have none."""
-    n = patterns.count()
-    if n > MAX_PATTERNS:
-        raise ValueError(f"{n} reliable patterns; raise SUPPORT or RELIABLE")
-    known = frozenset((r["kind"], r["pattern"]) for r in patterns.select("kind", "pattern").collect())
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def extract(docs: DataFrame, work: Workspace | None = None, into: str = "_pii") -> DataFrame:
+    """``docs`` with a column ``into(base, all)``: seeds, and seeds with discoveries, as ``kind:start:end``.
+
+    Null and empty texts have none; rows and other columns stay. Patterns beyond ``MAX_PATTERNS`` are looked for in
+    further passes over the texts, each of which adds its discoveries.
+    """
+    work = work or Workspace(docs.sparkSession, "pii")
+    patterns, kept = work.cut(bootstrap(docs, work)), docs.columns
+    for part in _passes(patterns, ["kind", "pattern"]):
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(map(tuple, part)))
+        if docs.columns == kept:
+            docs = docs.withColumn(into, F.arrow_udf(_found(shared), _SPANS)("text"))
+        else:
+            docs = work.cut(docs).withColumn(into, F.arrow_udf(_added(shared), _SPANS)("text", into))
+    return docs
+
+
+def _order(span: str) -> tuple[int, int]:
+    kind, first, _ = span.split(":")
+    return KINDS.index(kind), int(first)
 
+
+def _found(shared):
     def found(text: pa.Array) -> pa.Array:
         rows = []
         for x in text:
@@ -249,13 +270,17 @@ def spans(docs: DataFrame, patterns: DataFrame) -> Column:
             rows.append(dict(zip(("base", "all"), ([f"{k}:{a}:{b}" for k, a, b in part] for part in both))))
         return pa.array(rows, _ARROW)
 
-    return F.arrow_udf(found, _SPANS)("text")
+    return found
 
 
-def extract(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """``docs`` with a column ``_pii(base, all)``: seeds, and seeds with discoveries. Rows and columns stay."""
-    work = work or Workspace(docs.sparkSession, "pii")
-    return docs.withColumn("_pii", spans(docs, work.cut(bootstrap(docs, work))))
+def _added(shared):
+    new = _found(shared)
+
+    def added(text: pa.Array, before: pa.Array) -> pa.Array:
+        rows = [{"base": x["base"], "all": sorted({*x["all"], *y["all"]}, key=_order)} for x, y in zip(new(text).to_pylist(), before.to_pylist())]
+        return pa.array(rows, _ARROW)
+
+    return added
 
 
 def _redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -274,10 +299,14 @@ def _redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def redact(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """Every row of ``docs``; each span is replaced by its kind in brackets and ``n_chars`` counted anew there."""
-    found = extract(docs, work)
-    hit = F.size("_pii.all") > 0
-    text = F.when(hit, F.arrow_udf(_redacted, T.StringType())("text", "_pii.all")).otherwise(F.col("text"))
+    """Every row of ``docs``; each span is replaced by its kind in brackets and ``n_chars`` counted anew there.
+
+    Null and empty texts, and those without spans, stay as they are; columns of any name stay.
+    """
+    mark = fresh("_pii", docs)
+    found = extract(docs, work, mark)
+    hit = F.size(f"{mark}.all") > 0
+    text = F.when(hit, F.arrow_udf(_redacted, T.StringType())("text", f"{mark}.all")).otherwise(F.col("text"))
     found = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
