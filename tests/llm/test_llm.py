@@ -451,6 +451,79 @@ def test_language_model_on_odd_rows(spark, odd):
     assert lm.score(odd, odd.limit(0)).count() == len(ODD) and lm.score(empty(spark), empty(spark)).count() == 0
 
 
+def test_near_duplicates_keep_rows_not_ids(spark):
+    one, two = "alpha beta gamma delta epsilon zeta eta theta", "nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(1, one, 7), (4, one, 8), (4, two, 9), (4, two, 9), (None, "no id at all here in this text", 1), (None, "no id at all here in this text", 2)]
+    for parts in (1, 3, 7):
+        kept = simhash.keep_first(spark.createDataFrame(rows, f"{DOCS}, one long").repartition(parts)).collect()
+        assert sorted(map(tuple, kept), key=repr)[:2] == [(1, one, 7), (4, two, 9)] and len(kept) == 3
+        assert {r["one"] for r in kept if r["doc_id"] is None} == {min((1, 2), key=lambda n: _chosen(spark, n))}
+
+
+def _chosen(spark, n):
+    row = spark.createDataFrame([(None, "no id at all here in this text", n)], f"{DOCS}, one long")
+    return row.select(simhash._row_key(row)[0]).first()[0]
+
+
+def test_links_of_a_crowded_anchor_connect_what_all_pairs_link(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 32, 60, np.uint64)) << np.uint64(32)  # one half in common, the other far apart
+    prints = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(32, 64, 40, np.uint64)) for b in base]))
+    u, v = simhash._forest(prints)
+    monkeypatch.setattr(simhash, "_MANY", 50)
+    a, b = simhash._links_of(prints)
+    assert (np.bitwise_count(a ^ b) <= 4).all() and _groups(prints, u, v) == _groups(prints, a, b)
+
+
+def _groups(prints, u, v):
+    top = {int(p): int(p) for p in prints}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for x, y in zip(u.tolist(), v.tolist()):
+        top[max(find(x), find(y))] = min(find(x), find(y))
+    return [find(int(p)) for p in prints]
+
+
+def test_hot_components_are_named_alike(spark, docs, monkeypatch):
+    want = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash, "HOT", 1)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == want
+
+
+CLASHES = "_lang _pii _found _mark _n_hit _one _two one two fp first root u v _row _part _h h p".split()
+
+
+def test_stages_keep_columns_of_any_name_nulls_repeats_and_empty_tables(spark):
+    schema = f"{DOCS}, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    more = [(20 + i, "the house and the garden of them and a word " * 9 + f"number {i} and mail a{i}@b.org", "en", "s", 1) for i in range(5)]
+    rows = [(*r, "en", None, None) for r in ODD] + more + [(77, "und das haus ist hier und nicht dort " * 5, "de", "s", 1)]
+    made = spark.createDataFrame([(*r, *(f"{c}!" for c in CLASHES)) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (made, made.limit(0)):
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            if docs is not made:
+                assert got == []
+            elif name == "pack":
+                assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(r[0] for r in rows)
+            else:
+                assert out.columns == made.columns and got
+                assert all(r[c] == f"{c}!" for r in got for c in CLASHES)
+                assert {r["doc_id"] for r in got} >= {r[0] for r in more} or name == "near_duplicates"
+            if name == "near_duplicates" and docs is made:
+                assert len(got) == len(_classes(rows))
+
+
+def _classes(rows):
+    """The groups of near copies of rows, by brute force."""
+    named = [(i, r[1]) for i, r in enumerate(rows)]
+    return {c for _, _, c in _linked(named)}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
