@@ -25,27 +25,49 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is determined with a score of ``langid.LEAST_SCORE`` or more, unchanged.
+
+    Null, empty and letterless texts go (undetermined); null ids and null langs are judged by their text; repeated rows
+    share one fate; no learnable lang, or an empty table: no rows. Columns of any name stay.
+    """
     ship(spark)
     held_out = F.coalesce(id_mod("doc_id", 4) == 2, F.lit(False))
     return langid.accept(docs, langid.fit(docs.where(~held_out)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, unchanged: the smallest doc_id (null last), then the smallest row hash.
+
+    Null and empty texts are one group; repeated rows are one row; rows of one id in different groups each have their
+    own group; an empty table gives none. Columns of any name stay.
+    """
     ship(spark)
     return simhash.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that are not contaminated by ``benchmark``, without the spans they share with it; others are untouched.
+
+    Null and empty texts stay; repeated rows share one fate; an empty table or benchmark changes nothing.
+    """
     ship(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row; spans of personal data are replaced by their kind in brackets, and ``n_chars`` counted anew there.
+
+    Null and empty texts, and all others without such spans, stay as they are; an empty table gives none.
+    """
     ship(spark)
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their places in sequences: at least one piece a row, also for null and empty texts.
+
+    Repeated rows are packed each for itself; ties of length go by doc_id and piece; an empty table gives none.
+    """
     ship(spark)
     return packing.pack(docs)
 
