@@ -3,9 +3,13 @@
 Vectors are projected onto ``DIMS`` Gaussian (2-stable) directions: the squared projected distance over the
 squared true distance then follows a chi-square law with ``DIMS`` degrees of freedom. The projections are
 indexed by a kd-tree whose upper levels split the data into cells (cut positions come from a bounded sample,
-every row is indexed) and whose lower levels are built inside each cell. A query visits leaves in the order of
-their projected distance and verifies true distances until the chi-square test says that a nearer neighbour
-would have shown up with probability ``STOP``; the same test decides which other cells it visits at all.
+every row is indexed) and whose lower levels are built inside each cell. A query takes the rows of the leaves it
+can reach in the order of their projected distance and verifies true distances until the chi-square test says that
+a nearer neighbour would have shown up with probability ``STOP``. It starts in its own cell; the bound found there
+decides by the same test which other cells, and which of their leaves and rows, it sees at all.
+
+``STOP`` and ``DIMS`` trade recall for work: on unit vectors without any clusters (64 components, 10,256 rows) 45 % of
+all rows are verified at a recall of 0.97; with 8 directions and 0.999 it was 99 %. With clusters it is a few per cent.
 
 Equal vectors are indexed once, with the ids a result can need, so copies cost nothing twice.
 """
@@ -21,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, first_by_hash
+from .common import Workspace, first_by_hash, give_back
 
-DIMS = 8
-STOP = 0.999
+DIMS = 24
+STOP = 0.95
 SEED = 7
-LEAF = 64
+LEAF = 128
+#: Rows verified before the test is asked again, at first; then twice as many each time.
+CHUNK = 128
 #: Rows of a cell at least, and cells at most: the boxes of all cells are broadcast.
 CELL_ROWS = 20_000
 MAX_CELLS = 1 << 16
@@ -99,33 +105,56 @@ class Tree:
         order = np.concatenate(parts) if parts else np.empty(0, np.int64)
         self.first = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         self.vectors, self.projected, self.keys = vectors[order], projected[order], keys[order]
+        self.square = (self.projected * self.projected).sum(axis=1)
         self.low = np.array([projected[p].min(axis=0) for p in parts])
         self.high = np.array([projected[p].max(axis=0) for p in parts])
+        #: rows whose true distance was taken
+        self.verified = 0
+
+    def _rows(self, leaves: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(self.first[i], self.first[i + 1]) for i in leaves])
 
     def search(self, query: np.ndarray, at: np.ndarray, k: int, ratio: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest (distance, key), nearest first, ties to the smaller key; ``bound`` is a known kth distance."""
         gap = np.maximum(np.maximum(self.low - at, at - self.high), 0.0)
         reach = (gap * gap).sum(axis=1)
-        order = np.argsort(reach, kind="stable")
-        found, names, at_leaf, step = np.empty(0), np.empty(0, np.int64), 0, 4
-        while at_leaf < len(order):
-            limit = ratio * bound * bound
-            batch = order[at_leaf : at_leaf + step]
-            batch = batch[reach[batch] <= limit]
-            if not len(batch):
-                break
-            rows = np.concatenate([np.arange(self.first[i], self.first[i + 1]) for i in batch])
-            near = self.projected[rows] - at
-            rows = rows[(near * near).sum(axis=1) <= limit]
+        found, names = np.empty(0), np.empty(0, np.int64)
+
+        def verify(rows: np.ndarray) -> None:
+            nonlocal found, names, bound
+            self.verified += len(rows)
             true = self.vectors[rows] - query
-            found = np.concatenate((found, np.sqrt((true * true).sum(axis=1))))
-            names = np.concatenate((names, self.keys[rows]))
+            near = np.einsum("ij,ij->i", true, true)
+            if len(found) == k:
+                close = near <= found[-1] * found[-1]
+                rows, near = rows[close], near[close]
+            found, names = np.concatenate((found, np.sqrt(near))), np.concatenate((names, self.keys[rows]))
             best = np.lexsort((names, found))[:k]
             found, names = found[best], names[best]
             if len(found) == k:
                 bound = min(bound, found[-1])
-            at_leaf += step
-            step = min(64, step * 2)
+
+        seen = np.empty(0, np.int64)
+        if bound == np.inf:  # the nearest leaf gives a first bound
+            seen = reach.argsort(kind="stable")[: -(-k // LEAF)]
+            verify(self._rows(seen))
+            reach[seen] = np.inf
+        limit = ratio * bound * bound
+        leaves = np.flatnonzero((reach <= limit) & (reach < np.inf))
+        if not len(leaves):
+            return found, names
+        rows = self._rows(leaves)
+        near = self.square[rows] + at @ at - 2 * (self.projected[rows] @ at)
+        close = near <= limit * (1 + 1e-9) + 1e-12
+        rows, near = rows[close], near[close]
+        order = np.argsort(near, kind="stable")
+        rows, near, done, step = rows[order], near[order], 0, CHUNK
+        while done < len(rows):
+            stop = min(done + step, int(np.searchsorted(near, ratio * bound * bound * (1 + 1e-9) + 1e-12, side="right")))
+            if stop <= done:
+                break
+            verify(rows[done:stop])
+            done, step = stop, step * 2
         return found, names
 
 
@@ -160,6 +189,7 @@ def _answers(k: int, ratio: float):
             if out:
                 q, r, s = (np.concatenate(x) for x in zip(*out))
                 yield pa.record_batch([q, r, s], names=["query", "rep", "score"])
+        give_back()
 
     return rows
 
@@ -178,55 +208,58 @@ def search(
     """``query_id, rank, vec_id, score``: the k nearest rows other than the query's own, nearest first.
 
     ``vectors(vec_id, embedding)``; ``is_query`` is a condition on vec_id. Rows that ``usable`` refuses take no
-    part, nor do vectors of another length than the most frequent (ties: the shorter). Repeated ids are rows
-    of their own; an id is never its own neighbour. Fewer candidates than k: all of them. Empty: empty.
+    part. Vectors of different lengths have no distance: those of each length are searched among themselves, one
+    length after the other. Repeated ids are rows of their own; an id is never its own neighbour; ties go to the
+    smaller vec_id. Fewer candidates than k: all of them. Other columns are ignored. Empty: empty.
     """
-    spark = vectors.sparkSession
-    work = work or Workspace(spark, "ann")
+    work = work or Workspace(vectors.sparkSession, "ann")
     good = usable(vectors)
-    sizes = good.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if sizes is None:
-        return empty
-    size = sizes["size"]
-    good = good.where(F.size("embedding") == size)
-    matrix = directions(size)
+    found = good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in sorted(good.groupBy(F.size("embedding").alias("size")).count().collect()):
+        part = good.where(F.size("embedding") == r["size"])
+        found = found.union(_search(part, is_query, r["size"], r["count"], k, stop, work))
+    return found
 
-    ranked = good.withColumn("_r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id")))
-    reps = ranked.where(F.col("_r") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+
+def _search(good: DataFrame, is_query, size: int, n: int, k: int, stop: float, work: Workspace) -> DataFrame:
+    """The search among ``n`` usable vectors of one length."""
+    dims = max(2, min(DIMS, size) // 2 * 2)
+    matrix, ratio = directions(size, dims), stop_ratio(stop, dims)
 
     def project(v: pa.Array) -> pa.Array:
         flat = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-        return pa.FixedSizeListArray.from_arrays(pa.array((flat @ matrix).ravel()), DIMS).cast(pa.list_(pa.float64()))
+        return pa.FixedSizeListArray.from_arrays(pa.array((flat @ matrix).ravel()), dims).cast(pa.list_(pa.float64()))
 
-    doubles = T.ArrayType(T.DoubleType())
-    reps = work.cut(
-        reps.select(F.get("ids", F.lit(0)).alias("rep"), "ids", "embedding", F.arrow_udf(project, doubles)("embedding").alias("point"))
-    )
-    n = reps.count()
     depth = max(0, math.ceil(math.log2(min(MAX_CELLS, max(1, n / CELL_ROWS)))))
-    picked = first_by_hash(reps.select("rep", "point"), "rep", SAMPLE, n, "ann").collect()
-    cuts = Cuts(np.array([r["point"] for r in picked]).reshape(-1, DIMS), depth)
+    picked = first_by_hash(good, "vec_id", SAMPLE, n, "ann").collect() if depth else []
+    cuts = Cuts(np.array([r["embedding"] for r in picked], np.float64).reshape(-1, size) @ matrix, depth)
 
     def cell_of(p: pa.Array) -> pa.Array:
         return pa.array(cuts.cells(p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1)))
 
+    doubles = T.ArrayType(T.DoubleType())
+    ranked = good.withColumn("_r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id")))
+    reps = ranked.where(F.col("_r") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    reps = reps.select(F.get("ids", F.lit(0)).alias("rep"), "ids", "embedding", F.arrow_udf(project, doubles)("embedding").alias("point"))
     indexed = work.cut(reps.withColumn("cell", F.arrow_udf(cell_of, T.LongType())("point")))
-    edges = [f(F.get("point", F.lit(i))).alias(f"{name}{i}") for i in range(DIMS) for name, f in (("low", F.min), ("high", F.max))]
+    edges = [f(F.get("point", F.lit(i))).alias(f"{name}{i}") for i in range(dims) for name, f in (("low", F.min), ("high", F.max))]
     boxes = sorted(indexed.groupBy("cell").agg(*edges).collect())  # at most MAX_CELLS rows
     cells = np.array([b["cell"] for b in boxes])
-    low, high = (np.array([[b[f"{name}{i}"] for i in range(DIMS)] for b in boxes]) for name in ("low", "high"))
-    ratio = stop_ratio(stop)
+    low, high = (np.array([[b[f"{name}{i}"] for i in range(dims)] for b in boxes]) for name in ("low", "high"))
 
-    asked = work.cut(good.where(is_query).join(reps.select("rep", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "rep"))
+    asked = good.where(is_query).join(indexed.select("rep", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "rep")
+    asked = work.cut(asked)
     queries = indexed.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "embedding", "point", "cell")
+    queries = work.cut(queries)
     answers = _answers(k + 1, ratio)
 
     def visit(to: DataFrame) -> DataFrame:
-        """``to(rep, embedding, point, cell, bound)`` -> found (query, rep, score) in those cells."""
+        """``to(rep, cell, bound)``, written -> found (query, rep, score) in those cells."""
         copies = to.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("copies"))
+        copies = F.broadcast(copies)  # at most MAX_CELLS rows
         own = indexed.join(copies, "cell").withColumn("salt", F.explode(F.sequence(F.lit(1), "copies")))
-        ask = to.join(copies, "cell").withColumn("salt", 1 + F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int"))
+        ask = to.join(queries.drop("cell"), "rep").join(copies, "cell")
+        ask = ask.withColumn("salt", 1 + F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int"))
         columns = lambda q, bound: (
             (F.col("cell") * (1 << 20) + F.col("salt")).alias("key"), F.lit(q).alias("is_query"), F.col("rep").alias("name"), bound.alias("bound"), "embedding", "point",
         )
@@ -235,21 +268,23 @@ def search(
             answers, "query long, rep long, score double"
         )
 
-    first = work.cut(visit(queries.withColumn("bound", F.lit(float("inf")))))
-    kth = first.groupBy("query").agg(F.when(F.count("*") > k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
-
-    def reachable(p: pa.Array, home: pa.Array, bound: pa.Array) -> pa.Array:
-        points, out = p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1), []
-        for at, own, b in zip(points, home.to_pylist(), bound.to_pylist()):
-            gap = np.maximum(np.maximum(low - at, at - high), 0.0)
-            out.append(cells[((gap * gap).sum(axis=1) <= ratio * b * b) & (cells != own)].tolist())
-        return pa.array(out, pa.list_(pa.int64()))
-
-    other = F.explode(F.arrow_udf(reachable, T.ArrayType(T.LongType()))("point", "cell", "bound"))
-    more = queries.join(kth, queries.rep == kth["query"]).drop("query").withColumn("cell", other)
-    found = first.union(visit(more))
+    first = work.cut(visit(queries.select("rep", "cell", F.lit(float("inf")).alias("bound"))))
+    found = first
+    if len(cells) > 1:
+        kth = first.groupBy("query").agg(F.when(F.count("*") > k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
+
+        def reachable(p: pa.Array, home: pa.Array, bound: pa.Array) -> pa.Array:
+            points, out = p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1), []
+            for at, own, b in zip(points, home.to_pylist(), bound.to_pylist()):
+                gap = np.maximum(np.maximum(low - at, at - high), 0.0)
+                out.append(cells[((gap * gap).sum(axis=1) <= ratio * b * b) & (cells != own)].tolist())
+            return pa.array(out, pa.list_(pa.int64()))
+
+        other = F.explode(F.arrow_udf(reachable, T.ArrayType(T.LongType()))("point", "cell", "bound"))
+        more = work.cut(queries.join(kth, queries.rep == kth["query"]).select("rep", other.alias("cell"), "bound"))
+        found = first.union(visit(more))
     best = found.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("score", "rep"))).where(F.col("_r") <= k + 1)
-    named = best.join(reps.select("rep", "ids"), "rep").select(F.col("query").alias("_q"), "score", F.explode("ids").alias("vec_id"))
+    named = best.join(indexed.select("rep", "ids"), "rep").select(F.col("query").alias("_q"), "score", F.explode("ids").alias("vec_id"))
     hits = asked.join(named, asked.rep == named["_q"]).where("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
