@@ -1,12 +1,13 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base spans (the seeds) are found by exact patterns per kind: email, ip, card (Luhn) and phone. Their contexts
-(the word before, the two words before, the word after) become lexical patterns. Everything that merely looks
-like an identifier is a further instance. Spark scores the pattern-instance graph in a few rounds: a pattern's
-score is the trusted share of *all* its occurrences in the corpus, identifiers or not; an instance's trust is
-the noisy-or of the reliable patterns around it. Patterns that end with a score of ``RELIABLE`` and
-``SUPPORT`` different trusted instances discover identifiers that the seeds missed. Common words score near
-zero, as they mostly stand before ordinary words, so clean text is left alone.
+(the word before, the two and the three words before, the word after) become lexical patterns; labels' marks
+(``MARKS``) are words of their own, so ``mail:x``, ``<x>`` and ``ip = x`` have contexts as well. Everything that
+merely looks like an identifier is a further instance. Spark scores the pattern-instance graph in a few rounds: a
+pattern's score is the trusted share of *all* its occurrences in the corpus, identifiers or not; an instance's trust
+is the noisy-or of the reliable patterns around it. Patterns that end with a score of ``RELIABLE`` and ``SUPPORT``
+different trusted instances discover identifiers that the seeds missed. Common words score near zero, as they
+mostly stand before ordinary words, so clean text is left alone.
 
 Offsets are code points, end exclusive.
 """
@@ -30,7 +31,10 @@ SUPPORT = 5
 ROUNDS = 3
 #: Patterns in one broadcast; more are counted in several passes over the texts.
 MAX_PATTERNS = 200_000
-_CONTEXT = 64
+#: Marks that stand as words of their own in contexts.
+MARKS = ":=<>\""
+#: Characters around a span in which its context is sought; a word that reaches beyond them is left out.
+_CONTEXT = 128
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -51,6 +55,8 @@ _LOOSE = {
 }
 
 Span = tuple[str, int, int]
+#: Words before a span -> the first letter of such patterns; ``3`` stands for the word after.
+_BEFORE = {1: "1", 2: "2", 3: "4"}
 
 
 def _luhn(digits: str) -> bool:
@@ -95,15 +101,24 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _may_hold(kind: str, text: str, digits: bool) -> bool:
+    """What every text with a loose span of the kind has."""
+    if kind == "email":
+        return "@" in text or "[" in text or "(" in text
+    return digits or (kind == "ip" and ":" in text)
+
+
 def loose_spans(text: str, base: list[Span]) -> list[Span]:
     """What looks like an identifier and touches no seed; earlier kinds and leftmost spans go first."""
     out: list[Span] = []
-    if not base and not _DIGIT.search(text) and "@" not in text and "at]" not in text and "at)" not in text:
+    digits = _DIGIT.search(text) is not None
+    kinds = [k for k in KINDS if _may_hold(k, text, digits)]
+    if not kinds:
         return out
     taken = bytearray(len(text))
     for _, a, b in base:
         taken[a:b] = b"\1" * (b - a)
-    for kind in KINDS:
+    for kind in kinds:
         for m in _LOOSE[kind].finditer(text):
             a, b = m.span()
             if taken.find(1, a, b) < 0:
@@ -112,18 +127,25 @@ def loose_spans(text: str, base: list[Span]) -> list[Span]:
     return out
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case words, each mark a word of its own."""
+    text = text.lower()
+    for mark in MARKS:
+        if mark in text:
+            text = text.replace(mark, f" {mark} ")
+    return text.split()
+
+
 def contexts(text: str, a: int, b: int) -> list[str]:
-    """The patterns around a span: word before, two words before, word after."""
-    before = text[max(0, a - _CONTEXT) : a].lower().split()
-    after = text[b : b + _CONTEXT].lower().split()
-    out = []
-    if before:
-        out.append(f"1 {before[-1]}")
-    if len(before) > 1:
-        out.append(f"2 {before[-2]} {before[-1]}")
-    if after:
-        out.append(f"3 {after[0]}")
-    return out
+    """The patterns around a span: the word, two words and three words before, and the word after."""
+    first, stop = max(0, a - _CONTEXT), min(len(text), b + _CONTEXT)
+    before, after = words_of(text[first:a]), words_of(text[b:stop])
+    if first and not text[first - 1].isspace():
+        before = before[1:]
+    if stop < len(text) and not text[stop].isspace():
+        after = after[:-1]
+    out = [f"{_BEFORE[n]} {' '.join(before[-n:])}" for n in _BEFORE if len(before) >= n]
+    return [*out, f"3 {after[0]}"] if after else out
 
 
 def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +179,9 @@ def _totals(docs: DataFrame, patterns: DataFrame, work: Workspace) -> DataFrame:
     out = None
     for part in _passes(patterns, ["pattern"]):
         names = [r[0] for r in part]
-        words = {p[2:] for p in names if p[0] != "2"}
-        pairs = {tuple(p[2:].split(" ")) for p in names if p[0] == "2"}
-        shared = docs.sparkSession.sparkContext.broadcast((words, pairs, {b for _, b in pairs}))
+        words = {p[2:] for p in names if p[0] in "13"}
+        pairs, triples = ({tuple(p[2:].split(" ")) for p in names if p[0] == c} for c in "24")
+        shared = docs.sparkSession.sparkContext.broadcast((words, pairs, triples, {p[-1] for p in pairs | triples}))
         counted = docs.select("text").mapInArrow(_occurrences(shared), "pattern string, total long")
         counted = work.cut(counted.groupBy("pattern").agg(F.sum("total").alias("total")))
         shared.unpersist()
@@ -169,17 +191,19 @@ def _totals(docs: DataFrame, patterns: DataFrame, work: Workspace) -> DataFrame:
 
 def _occurrences(shared):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, second = shared.value
+        words, pairs, triples, last = shared.value
         one: Counter = Counter()
-        two: Counter = Counter()
+        more: Counter = Counter()
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                said = text.lower().split() if text else []
+                said = words_of(text) if text else []
                 one.update(filter(words.__contains__, said))
-                if pairs:
-                    two.update(p for p in zip(said, said[1:]) if p[1] in second and p in pairs)
-        names = [f"{k} {w}" for w in one for k in (1, 3)] + [f"2 {a} {b}" for a, b in two]
-        values = [c for c in one.values() for _ in (1, 3)] + list(two.values())
+                if last and not last.isdisjoint(said):
+                    for k in [k for k, w in enumerate(said) if w in last]:
+                        more.update(p for p in (tuple(said[max(0, k - 1) : k + 1]),) if p in pairs)
+                        more.update(p for p in (tuple(said[max(0, k - 2) : k + 1]),) if p in triples)
+        names = [f"{k} {w}" for w in one for k in (1, 3)] + [f"{_BEFORE[len(p)]} {' '.join(p)}" for p in more]
+        values = [c for c in one.values() for _ in (1, 3)] + list(more.values())
         yield pa.record_batch([pa.array(names, pa.string()), pa.array(values, pa.int64())], names=["pattern", "total"])
 
     return rows
