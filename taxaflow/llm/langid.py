@@ -148,7 +148,8 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-_FEATURES = T.StructType([T.StructField("k", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
+#: Buckets as 16-bit and values as 32-bit numbers, packed: lists of numbers would take the driver ten times the memory.
+_FEATURES = T.StructType([T.StructField("k", T.BinaryType()), T.StructField("v", T.BinaryType())])
 
 
 def fit(train: DataFrame, max_train: int = MAX_TRAIN) -> Model:
@@ -170,15 +171,13 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN) -> Model:
 
     def featured(text: pa.Array) -> pa.Array:
         found = [_sparse(x.as_py() or "", shared.value) for x in text]
-        return pa.StructArray.from_arrays(
-            [pa.array([k.astype(np.int32) for k, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))],
-            names=["k", "v"],
-        )
+        parts = [pa.array([x.astype(kind).tobytes() for x in part], pa.binary()) for part, kind in zip(zip(*found), (np.uint16, np.float32))]
+        return pa.StructArray.from_arrays(parts or [pa.array([], pa.binary())] * 2, names=["k", "v"])
 
     made = {"x": F.arrow_udf(featured, _FEATURES)("text")}
     sample, known = sample_by_class(train.select("doc_id", "lang", "text"), "lang", max_train, "langid", made)
     languages = sorted(known)
-    rows = [(np.array(r["x"]["k"], np.int64), np.array(r["x"]["v"], np.float64)) for r in sample]
+    rows = [(np.frombuffer(r["x"]["k"], np.uint16).astype(np.int32), np.frombuffer(r["x"]["v"], np.float32)) for r in sample]
     labels = np.array([languages.index(r["lang"]) for r in sample])
     places, seen = np.zeros(len(rows), np.int64), Counter()
     for i, r in enumerate(sample):

@@ -223,7 +223,8 @@ def fit(said: list[set[str]], matched: list[list[int]], y: np.ndarray, odds: flo
     return Model(voters, weights.astype(np.float32), bias)
 
 
-_SEEN = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("patterns", T.ArrayType(T.IntegerType()))])
+#: Words joined by spaces (none holds one).
+_SEEN = T.StructType([T.StructField("words", T.StringType()), T.StructField("patterns", T.ArrayType(T.IntegerType()))])
 
 
 def _seen(text: pa.Array) -> pa.Array:
@@ -232,9 +233,9 @@ def _seen(text: pa.Array) -> pa.Array:
     for x in text:
         x = x.as_py() or ""
         said = words_of(x)
-        words.append(sorted(said))
+        words.append(" ".join(sorted(said)))
         patterns.append(voters.matched(x, said))
-    return pa.StructArray.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(patterns, pa.list_(pa.int32()))], names=["words", "patterns"])
+    return pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(patterns, pa.list_(pa.int32()))], names=["words", "patterns"])
 
 
 def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -254,7 +255,9 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
     rows.sort(key=lambda r: (r["doc_id"], r["seen"]["words"]))
     taken = Counter(r["y"] for r in rows)
     odds = all_of[0] / taken[0] / (all_of[1] / taken[1]) if len(taken) == 2 else 1.0
-    model = fit([set(r["seen"]["words"]) for r in rows], [r["seen"]["patterns"] for r in rows], np.array([r["y"] for r in rows], np.int64), odds)
+    names: dict[str, str] = {}  # one object for each different word
+    said = [{names.setdefault(w, w) for w in r["seen"]["words"].split()} for r in rows]
+    model = fit(said, [r["seen"]["patterns"] for r in rows], np.array([r["y"] for r in rows], np.int64), odds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(text: pa.Array) -> pa.Array:
