@@ -204,6 +204,53 @@ def test_contexts_discover_what_seeds_miss_and_leave_clean_text_alone(spark):
     assert said[0] == "line 0 then contact: [EMAIL] and so on" and said[51] == rows[21][1] and said[52] is None
 
 
+def test_discoveries_of_planted_identifiers(spark, docs):
+    """Identifiers that no seed pattern matches, under labels that stand before seeds as well, among real texts."""
+    rng = random.Random(8)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    forms = {
+        "email": ("mail:", lambda i: f"user{i}@mail{i % 9}.example.org", lambda i: f"user{i} [at] host{i % 9} (dot) org"),
+        "ip": ("server ip =", lambda i: f"10.{i % 250}.7.{i % 91}", lambda i: f"fe80:12:ab{i % 90 + 10}:{i % 90 + 10}"),
+        "card": ("paid by card", lambda i: "4111111111111111" if i % 7 == 0 else _card(rng), lambda i: "4" + num(11)),
+        "phone": ("phone number is", lambda i: f"+49 30 {num(7)}", lambda i: f"(030) {num(3)}-{num(4)}"),
+    }
+    texts = [r["text"] for r in docs.select("text").collect()]
+    rows, planted = [], {}
+    for i, text in enumerate(texts):
+        words = text.split(" ")
+        at = rng.randrange(len(words))
+        if i % 2 == 0:
+            kind = list(forms)[i // 2 % 4]
+            label, seed, unseen = forms[kind]
+            value = unseen(i) if i // 8 % 5 == 0 else seed(i)
+            head = " ".join([*words[:at], label])
+            gap = "" if label.endswith(":") else " "
+            rows.append((i, f"{head}{gap}{value} " + " ".join(words[at:])))
+            if i // 8 % 5 == 0:
+                planted[i] = (kind, len(head + gap))
+        else:
+            rows.append((i, f"{' '.join(words[:at])} item {num(12)} {' '.join(words[at:])}"))
+    got = {r["doc_id"]: r for r in pii.digest(spark.createDataFrame(rows, DOCS)).collect()}
+    added = {k: set(r["spans"].split(",")) - set(_base(dict(rows)[k])) - {""} for k, r in got.items()}
+    caught = sum(any(x.startswith(f"{kind}:{at}:") for x in added[k]) for k, (kind, at) in planted.items())
+    print(f"planted unseen {len(planted)}, caught {caught}; texts with additions elsewhere", sum(bool(v) for k, v in added.items() if k not in planted))
+    assert len(planted) >= 20 and caught >= 0.9 * len(planted)
+    assert not any(v for k, v in added.items() if k not in planted)
+
+
+def _card(rng):
+    digits = "5" + "".join(rng.choice("0123456789") for _ in range(14))
+    return next(f"{digits}{c}" for c in range(10) if _base(f"{digits}{c}"))
+
+
+def test_every_loose_span_passes_the_guard():
+    rng = random.Random(11)
+    for _ in range(4000):
+        text = "".join(rng.choice(["1", "a", "f", ":", ".", "-", " ", "@", "[at]", "(at)", " (dot) ", "[", "4111 1111 2222"]) for _ in range(rng.randrange(24)))
+        digits = pii._DIGIT.search(text) is not None
+        assert all(pii._may_hold(k, text, digits) for k in pii.KINDS if pii._LOOSE[k].search(text)), text
+
+
 def test_personal_data_in_odd_rows(spark, odd):
     assert sorted(r["spans"] for r in pii.digest(odd).collect()) == [""] * len(ODD)
     assert pii.redact(odd).exceptAll(odd).count() == 0 and pii.digest(empty(spark)).count() == 0
@@ -362,6 +409,35 @@ def test_neighbours_of_copies_and_odd_vectors(spark):
     assert abs(ann.chi_square_cdf(ann.stop_ratio(0.999)) - 0.999) < 1e-9
 
 
+def _verified(points, k=11, dims=ann.DIMS):
+    """Share of rows whose true distance is taken, and recall of the k nearest, over a hundredth of the points as queries."""
+    projected = points @ ann.directions(points.shape[1], dims)
+    tree = ann.Tree(points, projected, np.arange(len(points)))
+    asked, right = range(0, len(points), 100), 0
+    for q in asked:
+        _, names = tree.search(points[q], projected[q], k, ann.stop_ratio(), np.inf)
+        right += len(set(names.tolist()) & set(np.argsort(((points - points[q]) ** 2).sum(1), kind="stable")[:k].tolist()))
+    return tree.verified / (len(asked) * len(points)), right / (len(asked) * k)
+
+
+def test_search_verifies_few_rows_of_clusters_and_under_half_without_any():
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((60, 64))
+    clustered = centres[rng.integers(0, 60, 12_000)] + 0.25 * rng.standard_normal((12_000, 64))
+    share, recall = _verified(clustered)
+    assert share < 0.05 and recall >= 0.95, (share, recall)
+    round_ = rng.standard_normal((8_000, 64))
+    share, recall = _verified(round_ / np.linalg.norm(round_, axis=1, keepdims=True))
+    assert share < 0.55 and recall >= 0.92, (share, recall)
+
+
+def test_each_length_of_vectors_is_searched_among_its_own(spark):
+    rows = [(i, [float(i), 0.0]) for i in range(1, 6)] + [(100 + i, [float(i), 1.0, 2.0]) for i in range(5)] + [(200, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("vec_id").isin(2, 100, 200), k=2).collect()}
+    assert got == {(2, 1), (2, 3), (100, 101), (100, 102)}
+
+
 # ---------------------------------------------------------------- classifiers and language models
 
 
