@@ -3,6 +3,7 @@
 # Names and hosts.
 BINOMIAL = r"^([A-Za-z]+ [a-z][a-z-]*)(?: \(?[A-Z].*)?$"
 INAT_HOST = "inaturalist-open-data.s3.amazonaws.com"
+INAT_PHOTO = r"^(https?://{host}/photos/[0-9]+)/({sizes})(\.[^/]*)$"
 INAT_VARIANTS = ["original", "large", "medium", "small", "thumb", "square"]
 EXCLUDED_HOSTS = ["content.eol.org"]
 MISSING = "not provided"
@@ -26,6 +27,18 @@ BASIS_TYPES = {
 CATEGORIES = ["reference genome", "representative genome"]
 LEVELS = ["Complete Genome", "Chromosome", "Scaffold", "Contig"]
 FTP_HOST = "ftp.ncbi.nlm.nih.gov"
+GENOME_FILES = {"sequence": "_genomic.fna.gz", "assembly_report": "_assembly_report.txt"}
+CHECKSUMS = "md5checksums.txt"
+ASSEMBLY_TEXT = (
+    "assembly_accession bioproject biosample wgs_master refseq_category organism_name infraspecific_name isolate"
+    " version_status assembly_level release_type genome_rep asm_name asm_submitter gbrs_paired_asm paired_asm_comp"
+    " ftp_path excluded_from_refseq relation_to_type_material assembly_type group annotation_provider annotation_name"
+)
+ASSEMBLY_NUMBERS = (
+    "taxid species_taxid genome_size genome_size_ungapped replicon_count scaffold_count contig_count total_gene_count"
+    " protein_coding_gene_count non_coding_gene_count"
+)
+ASSEMBLY_DATES = "seq_rel_date asm_not_live_date annotation_date"
 INFRASPECIFIC = ["strain", "breed", "cultivar", "ecotype"]
 ORGANELLES = ["Mitochondrion", "Chloroplast", "Plastid", "Apicoplast"]
 NON_PRIMARY_ROLES = ["alt-scaffold", "fix-patch", "novel-patch"]

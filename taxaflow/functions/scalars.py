@@ -24,7 +24,7 @@ def filled(value: Column) -> Column:
 
 def match_key(name: Column) -> Column:
     """Join key of a species name: the trimmed binomial without authorship, else the whole name; lower case."""
-    name = F.trim(name)
+    name = F.regexp_replace(name, r"^\s+|\s+$", "")
     found = F.regexp_extract(name, fixed.BINOMIAL, 1)
     return F.lower(F.when(found != "", found).otherwise(name))
 
@@ -63,7 +63,7 @@ def url_host(url: Column) -> Column:
 def inat_variant(url: Column, variant: str) -> Column:
     """The same photo in another size, its suffix kept; null for any other URL."""
     host, sizes = fixed.INAT_HOST.replace(".", r"\."), "|".join(fixed.INAT_VARIANTS)
-    pattern = rf"^(https?://{host}/photos/[0-9]+)/({sizes})(\.[^/]*)$"
+    pattern = fixed.INAT_PHOTO.format(host=host, sizes=sizes)
     return F.when(url.rlike(pattern), F.regexp_replace(url, pattern, f"$1/{variant}$3"))
 
 
@@ -96,11 +96,8 @@ def genome_urls(path: Column) -> Column:
     base = ftp_https(path)
     name = F.regexp_extract(base, "([^/]+)$", 1)
     stem = F.concat(base, F.lit("/"), name)
-    return F.struct(
-        F.concat(stem, F.lit("_genomic.fna.gz")).alias("sequence"),
-        F.concat(stem, F.lit("_assembly_report.txt")).alias("assembly_report"),
-        F.concat(base, F.lit("/md5checksums.txt")).alias("md5checksums"),
-    )
+    files = [F.concat(stem, F.lit(end)).alias(name) for name, end in fixed.GENOME_FILES.items()]
+    return F.struct(*files, F.concat(base, F.lit(f"/{fixed.CHECKSUMS}")).alias("md5checksums"))
 
 
 def safe_path(path: Column) -> Column:
@@ -184,6 +181,11 @@ def ancestor(lineage: Column, rank: str) -> Column:
     return F.get(F.filter(lineage, lambda t: t["rank"] == rank), F.lit(0))
 
 
+def lineage_taxids(lineage: Column) -> Column:
+    """The taxids of a lineage of ``taxid, name, rank``, in its order."""
+    return F.transform(lineage, lambda t: t["taxid"])
+
+
 def caption_ranks(kingdom: Column, phylum: Column, class_: Column, lineage: Column) -> Column:
     """``kingdom, phylum, class`` in the vocabulary of captions; nulls become empty."""
     kingdom, phylum, class_ = (F.coalesce(c, F.lit("")) for c in (kingdom, phylum, class_))
@@ -215,6 +217,19 @@ def caption(order: Column, family: Column, genus: Column, species: Column, highe
     return F.concat_ws(" ", F.lit("a photo of"), *(F.when(F.trim(h) != "", F.trim(h)) for h in higher), *names)
 
 
+def caption_at(rank: str, order: Column, family: Column, genus: Column, species: Column, higher: list[Column] | None = None) -> Column:
+    """The caption down to ``rank``: the names below it are left out (``class``: only the higher ranks)."""
+    kept = ["class", *fixed.CAPTION_RANKS].index(rank)
+    names = [c if k < kept else F.lit("") for k, c in enumerate((order, family, genus, species))]
+    return caption(*names, higher)
+
+
+def rank_columns(class_: Column, order: Column, family: Column, genus: Column, species: Column) -> Column:
+    """``species, genus, family, order, class`` of a record: the finest label, and a blank class where none is known."""
+    named = {"species": finest_label(genus, species), "genus": genus, "family": family, "order": order, "class": F.coalesce(class_, F.lit(""))}
+    return F.struct(*(c.alias(k) for k, c in named.items()))
+
+
 def finest_label(genus: Column, species: Column) -> Column:
     return F.coalesce(F.when(species != "", species), F.concat(genus, F.lit(" sp.")))
 
@@ -227,3 +242,18 @@ def log_years(years: Column) -> Column:
 def coverage(start: Column, end: Column, length: Column) -> Column:
     """Aligned share of a protein."""
     return F.try_divide((end - start + 1).cast("double"), length.cast("double"))
+
+
+def scaled(value: Column, mean: Column, sd: Column) -> Column:
+    """z-score; null where sd is zero."""
+    return F.try_divide(value - mean, sd)
+
+
+def unscaled(z: Column, mean: Column, sd: Column) -> Column:
+    return z * sd + mean
+
+
+def protein_query(query: Column) -> Column:
+    """``id, symbol`` of a query ``id|symbol``; no symbol: null."""
+    parts = F.split(query, r"\|")
+    return F.struct(F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(1)).alias("symbol"))

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import fnmatch
 import gzip
+import io
 import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -71,18 +73,26 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         path = partition.value
-        opener = gzip.open if path.endswith(".gz") else open
-        with opener(path, "rt") as lines:
+        files, at = _store(path)
+        with files.open_input_stream(at, compression=None) as raw, io.TextIOWrapper(gzip.open(raw) if path.endswith(".gz") else raw) as lines:
             for record, header, start, seq in fasta_blocks(lines, self.size):
                 yield path, record, header, header.split(" ")[0], start, seq
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address (local, or any store that Arrow opens by its address), and the path in it."""
+    return pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
 def _listed(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    if os.path.isfile(path):
+    files, at = _store(path)
+    head = path[: len(path) - len(at)] if path.endswith(at) else ""
+    if files.get_file_info(at).type == pafs.FileType.File:
         return [path]
-    folder, pattern = (path, "*") if os.path.isdir(path) else os.path.split(path)
-    return sorted(os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if fnmatch.fnmatch(f, pattern))
+    whole = files.get_file_info(at).type == pafs.FileType.Directory
+    folder, pattern = (at, "*") if whole else at.rsplit("/", 1)
+    found = files.get_file_info(pafs.FileSelector(folder, recursive=True))
+    return sorted(head + f.path for f in found if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, pattern))
 
 
 class FastaSource(DataSource):
@@ -121,9 +131,9 @@ def from_text(lines: DataFrame, key: str, text: str, block: int) -> DataFrame:
 
 
 def record_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Header lines per file."""
-    lines = spark.read.text(path).where(F.col("value").startswith(">"))
-    return lines.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n_sequences"))
+    """Header lines per file; 0 for a file without any (files of no lines at all are not listed)."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").startswith(">").alias("_head"))
+    return lines.groupBy("file").agg(F.count_if("_head").alias("n_sequences"))
 
 
 def packed_index(blocks: DataFrame, excluded: DataFrame, unit: str = "file") -> DataFrame:
@@ -133,6 +143,18 @@ def packed_index(blocks: DataFrame, excluded: DataFrame, unit: str = "file") ->
     return offsets(kept, unit, "record", "length")
 
 
+def pack_summary(blocks: DataFrame, excluded: DataFrame, unit: str = "file") -> DataFrame:
+    """``unit, n_kept, total_bp, excluded``: what ``packed_index`` keeps of each genome, and the contigs it leaves out."""
+    size = blocks.groupBy(unit, "record", "header", "contig").agg(F.sum(F.length("seq")).alias("length"))
+    named = size.join(excluded.select(F.col("accession").alias("contig"), F.lit(True).alias("_x")).distinct(), "contig", "left")
+    out = F.coalesce("_x", F.lit(False)) | F.lower("header").contains("mitochondrion")
+    return named.groupBy(unit).agg(
+        F.count_if(~out).alias("n_kept"),
+        F.coalesce(F.sum(F.when(~out, F.col("length"))), F.lit(0)).alias("total_bp"),
+        F.sort_array(F.collect_list(F.when(out, F.col("contig")))).alias("excluded"),
+    )
+
+
 def normal_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("seq", normal_bases(F.col("seq")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scalars
@@ -43,20 +43,43 @@ def parse_listing(lines: DataFrame, header: list[str], kinds: Mapping[str, str],
         fault = (text.isNotNull() & value.isNull()) | (F.lit(name in required) & text.isNull())
         faults.append(F.when(fault, F.lit(name)))
     parsed = body.select(*[c for c in body.columns if c != "value"], "value", *out, F.array_compact(F.array(*faults)).alias("_faults"))
-    bad = parsed.where(F.size("_faults") > 0).select("value", F.array_join("_faults", ", ").alias("columns"))
+    known = [c for c in body.columns if c != "value"]
+    bad = parsed.where(F.size("_faults") > 0).select(*known, "value", F.array_join("_faults", ", ").alias("columns"))
     return parsed.where(F.size("_faults") == 0).drop("value", "_faults"), bad
 
 
-ASSEMBLY_KINDS = {
-    "assembly_accession": "string", "refseq_category": "string", "taxid": "long", "species_taxid": "long",
-    "organism_name": "string", "assembly_level": "string", "seq_rel_date": "date", "asm_name": "string",
-    "ftp_path": "string", "genome_size": "long", "gc_percent": "double", "relation_to_type_material": "list",
-}
+ASSEMBLY_KINDS = (
+    dict.fromkeys(fixed.ASSEMBLY_TEXT.split(), "string") | dict.fromkeys(fixed.ASSEMBLY_NUMBERS.split(), "long")
+    | dict.fromkeys(fixed.ASSEMBLY_DATES.split(), "date") | {"gc_percent": "double", "pubmed_id": "list"}
+)
 ASSEMBLY_REQUIRED = ["assembly_accession", "taxid", "species_taxid", "organism_name", "assembly_level"]
 
 
 def read_assembly_summary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_listing(spark.read.text(path), listing_header(spark, path), ASSEMBLY_KINDS, ASSEMBLY_REQUIRED)
+    """Assemblies of a summary, and its bad lines with their file and line number."""
+    good, bad = parse_listing(numbered_lines(spark, path), listing_header(spark, path), ASSEMBLY_KINDS, ASSEMBLY_REQUIRED)
+    return good.drop("file", "line"), bad
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value, file, line`` of text files, lines from 1.
+
+    Each split of a file counts its own lines; the counts of the splits before it (one small row each) are added.
+    """
+    at = F.col("_metadata")
+    lines = spark.read.text(path).select("value", at["file_path"].alias("file"), at["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
+    starts = blocks.select("file", "_block", (before - F.col("_first") + 1).alias("_shift"))
+    return lines.join(F.broadcast(starts), ["file", "_block"]).select("value", "file", (F.col("_id") + F.col("_shift")).alias("line"))
+
+
+def _last_values(pairs: Column) -> Column:
+    """A map of pairs ``k, v``; of a key that repeats, the last value stands."""
+    later = F.reverse(pairs)
+    keys = F.transform(later, lambda p: p["k"])
+    first = F.filter(later, lambda p, i: F.array_position(keys, p["k"]) == i + 1)
+    return F.map_from_entries(first)
 
 
 # ---------------------------------------------------------------- alignments
@@ -67,9 +90,11 @@ def parse_gff(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
     f = F.split("value", "\t")
     c = lambda i: F.get(f, F.lit(i))
+    named = F.filter(F.split(c(8), ";"), lambda x: x.contains("="))
+    attributes = F.transform(named, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substr(x, F.instr(x, "=") + 1).alias("v")))
     rows = lines.where(~F.col("value").startswith("#") & (F.size(f) == 9)).select(
         *keys, c(0).alias("contig"), c(2).alias("kind"), c(3).try_cast("long").alias("start"), c(4).try_cast("long").alias("end"),
-        c(6).alias("strand"), F.str_to_map(c(8), F.lit(";"), F.lit("=")).alias("a"),
+        c(6).alias("strand"), _last_values(attributes).alias("a"),
     )
     a = lambda name: F.try_element_at("a", F.lit(name))
     target = F.split(a("Target"), " ")
@@ -192,5 +217,5 @@ def parse_log(lines: DataFrame) -> DataFrame:
         *[c for c in lines.columns if c != "value"],
         epoch.cast("int").alias("epoch"),
         loss.try_cast("double").alias("loss"),
-        F.map_from_arrays(*pairs).alias("values"),
+        _last_values(F.arrays_zip(pairs[0].alias("k"), pairs[1].alias("v"))).alias("values"),
     )

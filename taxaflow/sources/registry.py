@@ -20,6 +20,7 @@ def register(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., Da
 
 def candidates(spark: SparkSession, name: str, **options) -> DataFrame:
     """The candidates of a registered source; unknown names and options are errors, unset options keep defaults."""
+    from . import catalog  # noqa: F401  registers the catalog
     if name not in _sources:
         raise ValueError(f"unknown source {name!r}; there are {sorted(_sources)}")
     known = list(inspect.signature(_sources[name]).parameters)[1:]
