@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, scalars
 
-#: A side is broadcast explicitly only below so many rows (counted first).
-BROADCAST_ROWS = 100_000
+#: A side is broadcast explicitly only if the optimiser puts its whole plan below so many bytes.
+BROADCAST_BYTES = 16 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its estimated size is at most ``limit`` bytes; else as it is, for a shuffled join
+    that adaptive execution may still turn into a broadcast by measured sizes. No job is run."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= limit else df
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -158,6 +160,11 @@ def species_summary(
     return out.withColumn("image_types", F.coalesce("image_types", empty))
 
 
+def in_order(candidates: DataFrame) -> DataFrame:
+    """Candidates by query and rank, as they are handed over."""
+    return candidates.orderBy("species_query", "rank")
+
+
 def merge_candidates(candidates: DataFrame, names: DataFrame, per_group: int | None) -> DataFrame:
     """Candidates found under several names of a species: the first name's row stands; ``names(species, species_query, name_rank)``."""
     joined = candidates.join(small(names), "species_query")
