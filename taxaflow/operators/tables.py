@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import scalars
+from ..functions import fixed, scalars
 from .selection import small
 
 
@@ -39,6 +40,67 @@ def gene_traits(hits: DataFrame, proteins: DataFrame, genomes: DataFrame, traits
     return min_rows(good.withColumn("log10_longevity", scalars.log_years(F.col("max_longevity_yrs"))), "ncbi_taxid", min_genes)
 
 
+def genome_scope(genomes: DataFrame, species: DataFrame, *, listed: DataFrame | None = None, without_classes: Sequence[str] = (), max_bases: int | None = None) -> DataFrame:
+    """Genomes that are listed (``assembly_accession``; None: all), of no class to leave out, and not too large.
+
+    Genomes of unknown species, class or size stay.
+    """
+    out = genomes
+    if listed is not None:
+        out = out.join(small(listed.select("assembly_accession").distinct()), "assembly_accession", "left_semi")
+    if without_classes:
+        gone = species.where(F.col("class").isin(list(without_classes))).select(F.col("ncbi_taxid").alias("species_taxid"))
+        out = out.join(small(gone.distinct()), "species_taxid", "left_anti")
+    return out if max_bases is None else out.where(F.col("genome_size").isNull() | (F.col("genome_size") <= max_bases))
+
+
+def without(df: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among the excluded ones; null keys stay."""
+    return df.join(small(excluded.select(key).distinct()), key, "left_anti")
+
+
+def united(parts: Mapping[str, DataFrame], tag: str) -> DataFrame:
+    """All rows of several frames under the name of their own in ``tag``; columns that a frame lacks are null."""
+    named = [df.withColumn(tag, F.lit(name)) for name, df in parts.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def decoder_rows(records: DataFrame, known: DataFrame, include_unseen: bool = False) -> DataFrame:
+    """Records with an embedding (``known(processid)``); those of unseen species only if asked for."""
+    seen = records if include_unseen else records.where(~F.col("split").eqNullSafe("val_unseen"))
+    return seen.join(known.select("processid").distinct(), "processid", "left_semi")
+
+
+def pairs_report(pairs: DataFrame, species: str, tokens: str, bases: str, limit: int = fixed.BODY_TOKENS) -> DataFrame:
+    """One row: pairs, species, the share of pairs over ``limit`` tokens, and bases for each token."""
+    return pairs.agg(
+        F.count("*").alias("n_pairs"),
+        F.count_distinct(species).alias("n_species"),
+        F.avg((F.col(tokens) > limit).cast("double")).alias("share_over_limit"),
+        F.try_divide(F.sum(bases).cast("double"), F.sum(tokens).cast("double")).alias("bases_per_token"),
+    )
+
+
+def split_table(pairs: DataFrame, split: str, species: str, family: str, label: str, k: int = 3) -> DataFrame:
+    """Per split: species, pairs, families, the ``k`` families with most species, and least, median and greatest label."""
+    one = pairs.groupBy(split, species).agg(F.min(family).alias("_f"), F.min(label).alias("_y"), F.count("*").alias("_n"))
+    out = one.groupBy(split).agg(
+        F.count("*").alias("n_species"), F.sum("_n").alias("n_pairs"), F.count_distinct("_f").alias("n_families"),
+        F.min("_y").alias("min_label"), F.median("_y").alias("median_label"), F.max("_y").alias("max_label"),
+    )
+    return out.join(small(top_listed(one, [split], "_f", k).withColumnRenamed("top", "top_families")), split, "left")
+
+
+def ordered(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows in the order of the keys, nulls last: range-partitioned, so files follow each other."""
+    return df.orderBy(*(F.col(k).asc_nulls_last() for k in keys))
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report of few rows as one text file with a header."""
+    csv_cells(df).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
 def min_rows(df: DataFrame, group: str, n: int) -> DataFrame:
     """Rows of groups with at least ``n`` rows: counted on the group only, then joined back."""
     enough = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= n)
@@ -97,8 +159,8 @@ def csv_cells(df: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, path: str, csv: bool = True) -> None:
     """Zstandard Parquet at ``path.parquet`` and its text twin at ``path.csv``; an empty table keeps its schema.
 
-    Both are written whole beside their places first and only then renamed, so a job that fails leaves the
-    former table as it was.
+    Both are written whole beside their places first, and only then renamed, one after the other; a job that fails
+    before that leaves the former table as it was, and a crash between renames leaves it beside as ``.former``.
     """
     names = [f"{path}.parquet"] + [f"{path}.csv"] * csv
     staged = {n: f"{n}.staged" for n in names}
@@ -111,11 +173,21 @@ def write_table(df: DataFrame, path: str, csv: bool = True) -> None:
 
 
 def _rename(spark: SparkSession, source: str, target: str) -> None:
-    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    """The former target is set aside first and deleted last; a failed rename puts it back."""
+    a, b, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target, f"{target}.former"))
     files = a.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(b, True)
-    if not files.rename(a, b):
+    files.delete(old, True)
+    if not files.exists(a):
+        raise OSError(f"{source} is not there")
+    held, moved = files.exists(b) and files.rename(b, old), False
+    try:
+        moved = files.rename(a, b)
+    finally:
+        if held and not moved:
+            files.rename(old, b)
+    if not moved:
         raise OSError(f"cannot rename {source} to {target}")
+    files.delete(old, True)
 
 
 def write_units(df: DataFrame, path: str, unit: str = "assembly_accession") -> None:
@@ -123,6 +195,26 @@ def write_units(df: DataFrame, path: str, unit: str = "assembly_accession") -> N
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(unit).parquet(path)
 
 
+#: What every unit of a chunk table must have.
+CHUNK_COLUMNS = {"chunk_id": "int", "input_ids": "array<int>", "log10_longevity": "double", "max_longevity_yrs": "double", "ncbi_taxid": "bigint"}
+
+
+def read_units(spark: SparkSession, path: str, unit: str = "assembly_accession", wanted: DataFrame | None = None) -> DataFrame:
+    """The chunk table of all units, or of the ``wanted`` ones; raises if a column is missing or of another type.
+
+    Token arrays stay on disk until they are asked for. ``validation.chunks`` checks the rows.
+    """
+    rows = spark.read.parquet(path)
+    have = dict(rows.dtypes)
+    wrong = [f"{c} is {have.get(c, 'missing')}, not {kind}" for c, kind in CHUNK_COLUMNS.items() if have.get(c) != kind]
+    if unit not in have:
+        wrong.append(f"{unit} is missing")
+    if wrong:
+        raise ValueError("not a chunk table: " + "; ".join(wrong))
+    rows = rows.withColumn(unit, F.col(unit).cast("string"))
+    return rows if wanted is None else rows.join(small(wanted.select(unit).distinct()), unit, "left_semi")
+
+
 def unfinished(units: DataFrame, done: DataFrame, unit: str = "assembly_accession") -> DataFrame:
     """Units still to do."""
     return units.join(done.select(unit), unit, "left_anti")
@@ -185,6 +277,38 @@ def read_manifest(spark: SparkSession, root: str) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(f"{root}/dataset.json").collect()))
 
 
+def audit_matrix(rows: DataFrame, group: str, category: str, categories: Sequence[str], living: Sequence[str]) -> DataFrame:
+    """Per group the rows of each category (0 where there are none), and the share of those that are ``living``."""
+    counts = rows.groupBy(group).agg(
+        *(F.count_if(F.col(category) == c).alias(c) for c in categories),
+        F.avg(F.coalesce(F.col(category).isin(list(living)), F.lit(False)).cast("double")).alias("living_share"),
+    )
+    return counts
+
+
+def dataset_overlap(images: DataFrame, reference: DataFrame, *, source: str, name: str, many: Sequence[int] = (100, 1000)) -> DataFrame:
+    """Per source: species (by their species-level names), images, species and images that the reference has too, and
+    species with at least each number of images. ``reference(name)``; names that are no species are left out."""
+    named = images.select(source, scalars.species_level(F.col(name)).alias("_s")).where("_s is not null")
+    n = named.groupBy(source, "_s").agg(F.count("*").alias("_n"))
+    known = reference.select(scalars.species_level(F.col(name)).alias("_s"), F.lit(True).alias("_k")).where("_s is not null").distinct()
+    both = n.join(known, "_s", "left").withColumn("_k", F.coalesce("_k", F.lit(False)))
+    return both.groupBy(source).agg(
+        F.count("*").alias("n_species"), F.sum("_n").alias("n_images"), F.count_if("_k").alias("n_shared"),
+        F.coalesce(F.sum(F.when(F.col("_k"), F.col("_n"))), F.lit(0)).alias("n_shared_images"),
+        *(F.count_if(F.col("_n") >= k).alias(f"n_{k}") for k in many),
+    )
+
+
+def chunk_rows(windows: DataFrame, traits: DataFrame, *, unit: str = "assembly_accession", seed: int = 0, block_bases: int | None = None) -> DataFrame:
+    """Token windows as rows of a chunk table: with the labels of their unit, and the seed and block size they came from.
+
+    ``traits(unit, ncbi_taxid, max_longevity_yrs, ...)``; units without a positive label are left out.
+    """
+    labelled = traits.withColumn("log10_longevity", scalars.log_years(F.col("max_longevity_yrs"))).where("log10_longevity is not null")
+    return windows.join(small(labelled), unit).withColumns({"seed": F.lit(seed), "block_bases": F.lit(block_bases).cast("int")})
+
+
 def licence_shares(rows: DataFrame, group: str, licence: str) -> DataFrame:
     """Per group the rows and the shares of open licences: CC0 or public domain, BY, BY-SA, any other CC, none."""
     slug = F.lower(F.coalesce(licence, F.lit("")))

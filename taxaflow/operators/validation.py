@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import fixed, scalars
+from .tables import dataset_counts
 
 
 def problems(df: DataFrame, table: str, check: str, key: Column, message: Column) -> DataFrame:
@@ -104,7 +105,8 @@ def leftovers(inventory: DataFrame) -> DataFrame:
 
 
 def manifest(document: Mapping, counts: DataFrame) -> DataFrame:
-    """Schema version, tables and counts of the manifest against ``dataset_counts``; keys it lacks are problems."""
+    """Schema version, tables (listed, at their paths, with their rows) and counts of the manifest against
+    ``dataset_counts``; keys it lacks are problems."""
     spark = counts.sparkSession
     said = document.get("counts") or {}
     rows = [(k, said.get(k)) for k in counts.columns]
@@ -114,6 +116,14 @@ def manifest(document: Mapping, counts: DataFrame) -> DataFrame:
     joined = table.join(actual, "name").where(~F.col("recorded").eqNullSafe(F.col("actual")))
     message = F.concat(F.lit("recorded "), F.coalesce(F.col("recorded").cast("string"), F.lit("nothing")), F.lit(", actual "), F.col("actual").cast("string"))
     out = problems(joined, "manifest", "counts", F.col("name"), message)
+    listed = document.get("tables") or {}
+    wrong = [(name, "is not listed") for name in schemas.TABLES if f"n_{name}" in counts.columns and name not in listed]
+    wrong += [(name, f"path is {info.get('path')}") for name, info in listed.items() if info.get("path") != f"{name}.parquet"]
+    out = out.unionByName(spark.createDataFrame([("manifest", "tables", n, m) for n, m in wrong], out.schema))
+    told = spark.createDataFrame([(f"n_{name}", info.get("n_rows")) for name, info in listed.items()], "name string, said long")
+    off = told.join(actual, "name").where(~F.col("said").eqNullSafe(F.col("actual")))
+    rows_message = F.concat(F.lit("n_rows is "), F.coalesce(F.col("said").cast("string"), F.lit("nothing")), F.lit(", the table has "), F.col("actual").cast("string"))
+    out = out.unionByName(problems(off, "manifest", "rows", F.col("name"), rows_message))
     if version != schemas.VERSION:
         out = out.unionByName(spark.createDataFrame([("manifest", "version", str(version), f"schema version is not {schemas.VERSION}")], out.schema))
     return out
@@ -122,15 +132,24 @@ def manifest(document: Mapping, counts: DataFrame) -> DataFrame:
 def capped(found: DataFrame, n: int = fixed.MESSAGES) -> DataFrame:
     """The first ``n`` messages of each (table, check), and one that counts the rest."""
     group = ["table", "check"]
-    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("key", "message")))
-    shown = ranked.where(F.col("_r") <= n).drop("_r")
-    more = found.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > n)
-    rest = more.select(*group, F.lit(None).cast("string").alias("key"), F.concat(F.lit("... and "), (F.col("_n") - n).cast("string"), F.lit(" more like this")).alias("message"))
-    return shown.unionByName(rest)
+    w = Window.partitionBy(*group)
+    ranked = found.withColumns({"_r": F.row_number().over(w.orderBy("key", "message")), "_n": F.count("*").over(w)})
+    # one pass: the row after the last one shown becomes the one that counts the rest
+    last = F.col("_r") == n + 1
+    rest = F.concat(F.lit("... and "), (F.col("_n") - n).cast("string"), F.lit(" more like this"))
+    return ranked.where(F.col("_r") <= n + 1).select(
+        *group, F.when(~last, F.col("key")).alias("key"), F.when(last, rest).otherwise(F.col("message")).alias("message")
+    )
+
+
+def dataset(tables: Mapping[str, DataFrame | None], inventory: DataFrame | None = None, document: Mapping | None = None) -> DataFrame:
+    """All checks of the dataset tables that are there; a missing table is a problem and its checks are left out, and so
+    are those that need a column that is missing or of another type (itself a problem)."""
 
+    def whole(name: str, *columns: str) -> bool:
+        kinds = dict(have[name].dtypes) if name in have else {}
+        return all(kinds.get(c) == schemas.TABLES[name][c].dataType.simpleString() for c in columns)
 
-def dataset(tables: Mapping[str, DataFrame | None], inventory: DataFrame | None = None) -> DataFrame:
-    """All checks of the dataset tables that are there; a missing table is a problem and its checks are left out."""
     have = {k: v for k, v in tables.items() if v is not None}
     spark = next(iter(have.values())).sparkSession
     missing = [(k, "table", None, "missing table") for k in schemas.TABLES if k not in have]
@@ -138,22 +157,24 @@ def dataset(tables: Mapping[str, DataFrame | None], inventory: DataFrame | None
     for name, df in have.items():
         first = schemas.KEYS[name][0]
         parts.append(conforming(df, name, schemas.TABLES[name], first, schemas.ALLOWED[name]))
-        parts += [unique(df, name, key) for key in schemas.KEYS[name]]
+        parts += [unique(df, name, key) for key in schemas.KEYS[name] if whole(name, *key)]
     for child, column, parent, parent_column in schemas.REFERENCES:
-        if child in have and parent in have:
+        if whole(child, column, *schemas.KEYS[child][0]) and whole(parent, parent_column):
             parts.append(references(have[child], child, column, have[parent], parent, parent_column, schemas.KEYS[child][0]))
     for child, column, value, parent, parent_value in schemas.AGREEMENTS:
-        if child in have and parent in have:
+        if whole(child, column, value, *schemas.KEYS[child][0]) and whole(parent, column, parent_value):
             parts.append(agreement(have[child], child, column, value, have[parent], parent, parent_value, schemas.KEYS[child][0]))
-    if "species" in have:
+    if whole("species", "ncbi_taxid"):
         for rows, key, recorded in (("images", "ncbi_taxid", "n_images"), ("genomes", "species_taxid", "n_genomes")):
-            if rows in have:
+            if whole("species", recorded) and whole(rows, key):
                 parts.append(counts_agree(have["species"], "species", "ncbi_taxid", recorded, have[rows], key))
+    if document is not None and all(whole(n, c) for n, c in (("genomes", "sequence_bytes"), ("images", "bytes")) if n in have):
+        parts.append(manifest(document, dataset_counts(dict(tables))))
     if inventory is not None:
         parts.append(leftovers(inventory))
-        if "images" in have:
+        if whole("images", "image_id", "file", "bytes", "sha256"):
             parts.append(files(have["images"], "images", "image_id", "file", "bytes", inventory, "sha256"))
-        if "genomes" in have:
+        if whole("genomes", "assembly_accession", "sequence_file", "sequence_bytes", "sequence_md5"):
             parts.append(files(have["genomes"], "genomes", "assembly_accession", "sequence_file", "sequence_bytes", inventory, "sequence_md5", "md5"))
     return capped(reduce(DataFrame.unionByName, parts))
 
@@ -175,13 +196,20 @@ def split_overlap(rows: DataFrame, key: str, split: str) -> DataFrame:
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    """Token chunks of another length, first or last token, or tokens outside the vocabulary; repeated chunks."""
+    """Token chunks of another length, first or last token, or tokens outside the vocabulary; labels (where there are
+    such columns) that are not finite or not the logarithm of the years; repeated chunks."""
     ids = F.col("input_ids")
     message = (
         F.when(F.size(ids) != fixed.CHUNK_TOKENS, "length")
         .when((F.get(ids, F.lit(0)) != fixed.FIRST_TOKEN) | (F.element_at(ids, -1) != fixed.LAST_TOKEN), "special tokens")
         .when((F.array_min(ids) < 0) | (F.array_max(ids) >= fixed.VOCABULARY), "token outside the vocabulary")
     )
+    if {"log10_longevity", "max_longevity_yrs"} <= set(rows.columns):
+        label, years = F.col("log10_longevity"), F.col("max_longevity_yrs")
+        unknown = label.isNull() | F.isnan(label) | (F.abs(label) == float("inf")) | years.isNull() | ~(years > 0)
+        message = F.coalesce(
+            message, F.when(unknown, "label is not finite").when(F.abs(label - F.log10(F.when(years > 0, years))) > 1e-7, "label is not log10 of the years")
+        )
     key = ["assembly_accession", "chunk_id"]
     bad = problems(rows.withColumn("_m", message).where("_m is not null"), "chunks", "tokens", _key(key), F.col("_m"))
     return bad.unionByName(unique(rows, "chunks", key))
