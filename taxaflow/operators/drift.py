@@ -90,9 +90,39 @@ def prediction_drift(saved: DataFrame, again: DataFrame, keys: Sequence[str], la
     return out.withColumn("holds", (F.col("n_unmatched") == 0) & (F.col("n_labels") == 0) & (F.col("max_change") <= limit))
 
 
-def cohort(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Distinct ``columns``; a key with several rows is an error for the caller to find with ``ambiguous``."""
-    return rows.select(key, *columns).distinct()
+def positional_drift(saved: DataFrame, again: DataFrame, at: str, keys: Sequence[str], label: str, pred: str, limit: float = 0.002) -> DataFrame:
+    """``prediction_drift`` of two runs in the same order: rows are matched by their number ``at``, and rows whose keys
+    differ at that number count as unmatched."""
+    same = F.lit(True)
+    renamed = again.select(F.col(at), *(F.col(k).alias(f"_{k}") for k in keys), F.col(label).alias("_m"), F.col(pred).alias("_q"))
+    both = saved.select(at, *keys, F.col(label).alias("_l"), F.col(pred).alias("_p")).join(renamed, at, "full_outer")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    change = F.when(same, F.abs(F.col("_p") - F.col("_q")))
+    out = both.agg(
+        F.count("_p").alias("n_saved"), F.count("_q").alias("n_again"),
+        F.count_if(~same | F.col("_p").isNull() | F.col("_q").isNull()).alias("n_unmatched"),
+        F.count_if(same & (F.abs(F.col("_l") - F.col("_m")) > 1e-10)).alias("n_labels"),
+        F.avg(change).alias("mean_change"), F.max(change).alias("max_change"),
+    )
+    return out.withColumn("holds", (F.col("n_unmatched") == 0) & (F.col("n_labels") == 0) & (F.col("max_change") <= limit))
+
+
+def cohort(rows: DataFrame, key: str, columns: Sequence[str], single: bool = False) -> DataFrame:
+    """Distinct ``columns``; with ``single`` a key with several rows is an error (else ``ambiguous`` finds it)."""
+    out = rows.select(key, *columns).distinct()
+    if single and (several := ambiguous(out, key).limit(1).collect()):
+        raise ValueError(f"{key} {several[0][key]!r} has {several[0]['n']} different rows")
+    return out
+
+
+def snapshot(genomes: DataFrame, traits: DataFrame, species: DataFrame, former: DataFrame, ranks: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """What is frozen of verified genomes: their rows with labels and taxonomy, and the drift of that taxonomy from the
+    former one. ``genomes(assembly_accession, ncbi_taxid, ...)``, ``traits`` and ``species`` by ncbi_taxid."""
+    rows = genomes.join(traits, "ncbi_taxid").join(species.select("ncbi_taxid", *ranks), "ncbi_taxid")
+    kept = species.join(rows.select("ncbi_taxid").distinct(), "ncbi_taxid", "left_semi")
+    before = former.join(rows.select("ncbi_taxid").distinct(), "ncbi_taxid", "left_semi")
+    return rows, row_drift(before, kept, "ncbi_taxid", ranks)
 
 
 def ambiguous(rows: DataFrame, key: str) -> DataFrame:
@@ -138,3 +168,12 @@ def set_difference(expected: DataFrame, actual: DataFrame, key: str) -> DataFram
 def reduced(pool: DataFrame, n: int) -> DataFrame:
     """The first ``n`` chunks of each unit of a verified pool."""
     return pool.where(F.col("chunk_id") < n)
+
+
+def disagreeing(reused: DataFrame, fresh: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Keys of chunks that are in one of two shards only, or whose values differ: a reused pool must agree with a fresh one."""
+    a = reused.select(*keys, F.xxhash64(value).alias("_a"), F.lit(True).alias("_in_a"))
+    b = fresh.select(*keys, F.xxhash64(value).alias("_b"), F.lit(True).alias("_in_b"))
+    both = a.join(b, list(keys), "full_outer")
+    message = F.when(F.col("_in_b").isNull(), "missing").when(F.col("_in_a").isNull(), "extra").when(~F.col("_a").eqNullSafe(F.col("_b")), "differs")
+    return both.select(*keys, message.alias("message")).where("message is not null")

@@ -61,6 +61,40 @@ def species_metrics(species: DataFrame, label: str, pred: str = "pred", group: S
     return out.drop("_all")
 
 
+def class_breakdown(species: DataFrame, class_: str, label: str, pred: str, bases: Sequence[str]) -> DataFrame:
+    """``species_metrics`` of each class, and the mean absolute error of every baseline column as ``<column>_mae``.
+
+    Spearman is null for classes of at most two species.
+    """
+    out = species_metrics(species, label, pred, [class_])
+    out = out.withColumn("spearman", F.when(F.col("n_species") > 2, F.col("spearman")))
+    errors = [F.avg(F.abs(F.col(b) - F.col(label))).alias(f"{b}_mae") for b in bases]
+    by = species.groupBy(F.col(class_).alias("_c")).agg(*errors)
+    return out.join(small(by), out[class_].eqNullSafe(by["_c"]), "left").drop("_c")
+
+
+def retrieval_metrics(hits: DataFrame, own: DataFrame, *, query: str = "query", key: str = "key") -> DataFrame:
+    """One row: share of queries that find themselves first, or at all, and whose first hit is of their species or genus.
+
+    ``hits(query, key, rank, species, genus)`` with the hit's names, ``own(query, species, genus)`` with the query's.
+    Over a gallery that pools several splits the last two are the pooled scores.
+    """
+    names = own.select(query, F.col("species").alias("_s"), F.col("genus").alias("_g"))
+    each = hits.join(names, query).groupBy(query).agg(
+        *(
+            F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(n)
+            for n, c in {
+                "specimen_top1": (F.col("rank") == 1) & (F.col(key) == F.col(query)),
+                "specimen_topk": F.col(key) == F.col(query),
+                "species_top1": (F.col("rank") == 1) & (F.col("species") == F.col("_s")),
+                "genus_top1": (F.col("rank") == 1) & (F.col("genus") == F.col("_g")),
+            }.items()
+        )
+    )
+    scores = ("specimen_top1", "specimen_topk", "species_top1", "genus_top1")
+    return each.agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in scores))
+
+
 def pair_metrics(rows: DataFrame, label: str, pred: str, mean: float, sd: float) -> DataFrame:
     """Mean squared error of normalised labels and mean absolute error over all rows."""
     return rows.agg(
@@ -144,6 +178,26 @@ def run_summary(log: DataFrame, run: str, step: str, loss: str, speed: str) -> D
     )
 
 
+def loss_at(log: DataFrame, run: str, step: str, loss: str, marks: DataFrame, elapsed: str | None = None) -> DataFrame:
+    """Per run of ``marks(run, at)`` the loss of the record whose step is nearest to ``at`` (the earlier of two) and,
+    if there is such a column, the time elapsed at the last record."""
+    joined = log.join(small(marks.select(run, F.col("at").alias("_at"))), run)
+    near = F.min_by(F.struct(F.col(step).alias("step"), F.col(loss).alias("loss")), F.struct(F.abs(F.col(step) - F.col("_at")), F.col(step)))
+    more = [F.max_by(elapsed, step).alias("elapsed")] if elapsed else []
+    out = joined.groupBy(run).agg(near.alias("_n"), *more)
+    return out.select(run, F.col("_n.step").alias("nearest_step"), F.col("_n.loss").alias("loss_at"), *(["elapsed"] if elapsed else []))
+
+
+def differing_runs(settings: DataFrame, run: str, pairs: DataFrame) -> DataFrame:
+    """Settings in which two runs that are compared differ: ``pairs(left, right)``, ``settings(run, path, value)``."""
+    a = settings.select(F.col(run).alias("left"), "path", F.col("value").alias("a"))
+    b = settings.select(F.col(run).alias("right"), "path", F.col("value").alias("b"))
+    left = pairs.select("left", "right").join(a, "left")
+    right = pairs.select("left", "right").join(b, "right")
+    both = left.join(right, ["left", "right", "path"], "full_outer")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("left", "right", "path", "a", "b")
+
+
 def incomplete_runs(log: DataFrame, run: str, planned: DataFrame) -> DataFrame:
     """Runs of ``planned(run, step)`` without exactly one ``done`` record at the planned step."""
     done = log.where("kind = 'done'").groupBy(run).agg(F.count("*").alias("n_done"), F.max("step").alias("done_step"))
@@ -180,3 +234,8 @@ def evaluation_rows(documents: DataFrame, run: str, column: str) -> DataFrame:
     a = documents.select(run, F.explode(nested).alias("method", "_g"))
     b = a.select(run, "method", F.explode("_g").alias("group", "_r"))
     return b.select(run, "method", "group", F.explode("_r").alias("rank", "top1"))
+
+
+def evaluation_matrix(rows: DataFrame, run: str, ranks: Sequence[str]) -> DataFrame:
+    """``run, method, group`` with one column of top-1 scores for each rank (null where there is none)."""
+    return rows.groupBy(run, "method", "group").pivot("rank", list(ranks)).agg(F.first("top1"))

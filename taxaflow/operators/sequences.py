@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +58,26 @@ def spliced(pieces: DataFrame, keys: Sequence[str], strand: str) -> DataFrame:
     return out.select(*keys, strand, F.when(F.col(strand) == "-", reverse_complement(F.col("_s"))).otherwise(F.col("_s")).alias("cds"))
 
 
+def cut_segments(segments: DataFrame, texts: DataFrame, keys: Sequence[str], on: str, text: str, strand: str, size: int) -> DataFrame:
+    """``keys, strand, cds``: segments ``(keys, on, start, end, strand)`` cut out of whole texts and spliced, by strand.
+
+    Texts become blocks of ``size`` where they lie, and only blocks that some segment touches are shuffled: a join of
+    the touched block numbers (distinct, so a block asked for often is fetched once) keeps them.
+    """
+    first, last = F.floor(F.col("start") / size) * size, F.floor((F.col("end") - 1) / size) * size
+    touched = segments.where(F.col("end") > F.col("start"))
+    touched = touched.select(on, F.explode(F.sequence(first, last, F.lit(size).cast("long"))).alias("block_start")).distinct()
+    wanted = blocks(texts.join(touched.select(on).distinct(), on, "left_semi"), [on], text, size)
+    wanted = wanted.withColumn("block_start", F.col("block_start").cast("long")).join(touched, [on, "block_start"], "left_semi")
+    return spliced(segment_pieces(segments, wanted, size, [on]), keys, strand)
+
+
 def gene_locus(start: Column, end: Column, strand: Column, limit: int) -> Column:
-    """``start, end`` of the first ``limit`` bases of a gene in its own direction."""
+    """``start, end, span`` of the first ``limit`` bases of a gene in its own direction; ``span`` is its whole length."""
     return F.struct(
         F.when(strand == "-", F.greatest(start, end - limit)).otherwise(start).alias("start"),
         F.when(strand == "-", end).otherwise(F.least(end, start + limit)).alias("end"),
+        (end - start).alias("span"),
     )
 
 
@@ -90,9 +106,28 @@ def place_draws(draws: DataFrame, spans: DataFrame, unit: str) -> DataFrame:
     return placed.select(unit, "_draw.*", "_span.*").withColumn("start", F.col("position") - F.col("cum_lo"))
 
 
-def good_windows(candidates: DataFrame, unit: str, sequence: str, n: int) -> DataFrame:
-    """The first ``n`` drawn windows of each unit with few unknown bases."""
-    few = candidates.where(n_share(F.col(sequence)) <= fixed.MAX_N_SHARE)
+def token_windows(blocks: DataFrame, unit: str, order: Sequence[str], ids: str, n: int, body: int = fixed.BODY_TOKENS, seed: int = 0) -> DataFrame:
+    """``unit, chunk_id, order..., start, input_ids``: ``n`` uniform windows of ``body`` tokens for each unit, with specials.
+
+    ``blocks(unit, order..., ids)``: every valid start inside a block is equally likely; windows never cross blocks, are
+    drawn with replacement and fixed by the seed. Units without a block of ``body`` tokens have none. Only the sizes of
+    blocks are sorted; tokens are fetched by a join on the drawn blocks.
+    """
+    sizes = blocks.select(unit, F.struct(*order).alias("_block"), F.size(ids).alias("_n"))
+    spans = valid_starts(sizes, unit, "_block", "_n", body)
+    totals = spans.groupBy(unit).agg(F.max("cum_hi").alias("_total"))
+    draws = totals.withColumn("chunk_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    position = F.floor(seeded_unit(seed, F.col(unit), F.col("chunk_id")) * F.col("_total"))
+    placed = place_draws(draws.select(unit, "chunk_id", position.alias("position")), spans, unit)
+    placed = placed.select(unit, "chunk_id", "_block", F.col("start").cast("int").alias("start"))
+    tokens = blocks.select(unit, F.struct(*order).alias("_block"), F.col(ids).alias("_ids"))
+    out = placed.join(tokens, [unit, "_block"])
+    return out.select(unit, "chunk_id", "_block.*", "start", with_specials(F.slice("_ids", F.col("start") + 1, F.lit(body))).alias("input_ids"))
+
+
+def good_windows(candidates: DataFrame, unit: str, sequence: str, n: int, most: float = fixed.MAX_N_SHARE) -> DataFrame:
+    """The first ``n`` drawn windows of each unit with a share of unknown bases of at most ``most``."""
+    few = candidates.where(n_share(F.col(sequence)) <= most)
     return few.withColumn("_r", F.row_number().over(Window.partitionBy(unit).orderBy("draw"))).where(F.col("_r") <= n).drop("_r")
 
 
@@ -142,32 +177,29 @@ def shuffled(ids: Column, seed: int, key: Column) -> Column:
     return F.concat(F.slice(ids, 1, first), mixed, F.slice(ids, F.size(ids) - last + 1, last))
 
 
-def budget_batches(df: DataFrame, key: str, length: str, budget: int, bucket: int = 8192, seed: int = 0) -> DataFrame:
-    """``key, bucket, batch``: batches of similar lengths whose longest times rows stays within a token budget.
+def budget_batches(df: DataFrame, key: str, length: str, budget: int, bucket: int = 8192, seed: int = 0, windows: str | None = None) -> DataFrame:
+    """``key, bucket, batch``: batches of similar lengths whose longest times windows stays within a token budget.
 
     Rows are dealt into buckets of about ``bucket`` rows by hash, so a bucket is bounded; inside one they are
-    taken by falling length and a batch closes when one more row would not fit. A row alone may exceed the budget.
+    taken by falling length (ties by key) and a batch closes when one more row would not fit. A row counts as its
+    ``windows`` (1 where not given), and alone may exceed the budget.
     """
     n = max(1, -(-df.count() // bucket))
-    dealt = df.select(key, F.col(length).cast("long").alias("_l"), F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)).alias("bucket"))
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("_l")).alias("l"), F.col(key).alias("k"))))
-    grouped = dealt.groupBy("bucket").agg(rows.alias("_rows"))
-    state = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("longest"), F.lit(0).alias("size"), F.expr("cast(array() as array<int>)").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        fits = (acc["size"] == 0) | (acc["longest"] * (acc["size"] + 1) <= budget)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        return F.struct(
-            batch.alias("batch"),
-            F.when(fits & (acc["size"] > 0), acc["longest"]).otherwise(-row["l"]).alias("longest"),
-            F.when(fits, acc["size"] + 1).otherwise(1).alias("size"),
-            F.concat(acc["out"], F.array(batch)).alias("out"),
-        )
-
-    filled = grouped.withColumn("_b", F.aggregate("_rows", state, step)["out"])
-    return filled.select("bucket", F.explode(F.arrays_zip("_rows", "_b")).alias("_z")).select(
-        F.col("_z._rows.k").alias(key), "bucket", F.col("_z._b").alias("batch")
-    )
+    wins = F.col(windows) if windows else F.lit(1)
+    dealt = df.select(key, F.col(length).cast("long").alias("_l"), wins.cast("long").alias("_w"), F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)).alias("bucket"))
+
+    def close(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_l", key], ascending=[False, True])
+        batch, longest, held, out = 0, 0, 0, []
+        for size, count in zip(rows["_l"].tolist(), rows["_w"].tolist()):
+            if held and longest * (held + count) > budget:
+                batch, held = batch + 1, 0
+            longest = longest if held else size
+            held += count
+            out.append(batch)
+        return rows[[key, "bucket"]].assign(batch=out)
+
+    return dealt.groupBy("bucket").applyInPandas(close, f"{key} {dict(df.dtypes)[key]}, bucket long, batch int")
 
 
 def chunk_budget(rows: DataFrame, unit: str, tokens: str, body: int = fixed.BODY_TOKENS) -> DataFrame:

@@ -12,6 +12,12 @@ from ..functions.scalars import seeded_key, seeded_unit
 from .selection import small
 
 
+def group_split(species: DataFrame, *, group: str, test: float, val: float, unknown: str = "NA", seed: int = 0) -> DataFrame:
+    """``species`` with ``split``: whole groups held out over all species; those without a group are one of their own."""
+    filled = species.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit(unknown)))
+    return family_split(filled, family="_group", strata=[], test=test, val=val, min_species=0, seed=seed).drop("_group")
+
+
 def family_split(species: DataFrame, *, family: str, strata: list[str], test: float, val: float, min_species: int = 10, seed: int = 0) -> DataFrame:
     """``species`` with ``split``: whole families held out, in each stratum by itself.
 
@@ -73,6 +79,16 @@ def apply_split(rows: DataFrame, splits: DataFrame, key: str) -> DataFrame:
     return rows.join(small(listed), key, "left").withColumn("split", F.coalesce(own, F.col("_listed"))).drop("_listed")
 
 
+def epoch_draws(records: DataFrame, genomes: DataFrame, *, record: str, genome: str, total: str, epoch: int, seed: int = 0) -> DataFrame:
+    """A fresh uniform position in ``[0, total)`` of its genome for every record, fixed by seed, epoch and record.
+
+    ``records(record, genome)``, ``genomes(genome, total)``; genomes without a valid start have none.
+    """
+    known = records.select(record, genome).join(small(genomes.where(F.col(total) > 0).select(genome, total)), genome)
+    unit = seeded_unit(seed, F.lit(epoch), F.col(record))
+    return known.withColumn("position", F.floor(unit * F.col(total)))
+
+
 def uniform_draws(genomes: DataFrame, key: str, total: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` seeded uniform positions in ``[0, total)`` of each genome, with replacement: ``key, draw, position``."""
     draws = genomes.where(F.col(total) > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -47,6 +47,29 @@ def best_assembly(assemblies: DataFrame, group: str = "species_taxid") -> DataFr
     return one_per_key(assemblies, [group], order)
 
 
+def plausible_assembly(assemblies: DataFrame, sizes: DataFrame, group: str = "species_taxid") -> DataFrame:
+    """One assembly per species by the stricter policy: a plausible size for its class, RefSeq before GenBank, no alternate
+    haplotype, no reason for exclusion, the very taxon that was named; then as ``best_assembly``.
+
+    ``assemblies`` has ``source, asm_name, excluded_from_refseq, taxid, named_taxid, class, genome_size`` besides;
+    ``sizes(class, least, most)``. An unknown class or size is not plausible.
+    """
+    known = assemblies.join(small(sizes.select("class", "least", "most")), "class", "left")
+    plausible = F.coalesce(F.col("genome_size").between(F.col("least"), F.col("most")), F.lit(False))
+    order = [
+        plausible.desc(),
+        (F.col("source") == "ncbi_refseq").desc_nulls_last(),
+        F.coalesce(F.lower("asm_name").contains("alternate"), F.lit(False)),
+        F.coalesce(scalars.present(F.col("excluded_from_refseq")), F.lit(False)),
+        F.col("taxid").eqNullSafe(F.col("named_taxid")).desc(),
+        position(F.col("refseq_category"), fixed.CATEGORIES),
+        position(F.col("assembly_level"), fixed.LEVELS),
+        F.col("seq_rel_date").desc_nulls_last(),
+        F.col("assembly_accession"),
+    ]
+    return one_per_key(known, [group], order).drop("least", "most")
+
+
 def snapshot_differences(live: DataFrame, snapshot: DataFrame) -> DataFrame:
     """The best assembly now against that of a snapshot, per species of ``live``, with a message."""
     now, then = (best_assembly(d).select("species_taxid", F.col("assembly_accession").alias(n)) for d, n in ((live, "live"), (snapshot, "snapshot")))
