@@ -86,7 +86,7 @@ def candidate_select_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("species_query"))
     uuid = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", uuid.alias("uuid"))
-    matched = lines.join(brands, "l_partkey").select("species_query", "l_orderkey", "uuid").distinct()
+    matched = lines.join(brands, "l_partkey").select("species_query", "l_orderkey", "uuid")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
     joined = matched.join(orders, "l_orderkey", "left").where("coalesce(o_orderpriority, '') <> '5-LOW'")
     single = S.one_per_key(joined, ["species_query", "uuid"], [F.col("o_orderpriority").asc_nulls_last(), F.col("l_orderkey")])

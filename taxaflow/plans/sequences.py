@@ -115,23 +115,26 @@ def input_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.query(f"""
 WITH d AS (SELECT doc_id, upper({_DNA}) AS s FROM documents),
-e AS (SELECT event_id, user_id % 1000 AS doc_id, CAST(floor(value * 37) AS BIGINT) % 1500 AS start, event_id % 3 = 0 AS minus FROM events),
-p AS (SELECT event_id, minus, substring(s, start + 1, 60 + event_id % 500) AS piece FROM e JOIN d USING (doc_id) WHERE start < length(s))
+c AS (SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE length(text) > 0),
+e AS (SELECT event_id, event_id * 7919 % (SELECT count(*) FROM documents) AS doc_id, event_id % 3 = 0 AS minus FROM events),
+p AS (SELECT event_id, minus, substring(s, CAST(event_id * 104729 % n AS BIGINT) + 1, 60 + event_id % 500) AS piece FROM e JOIN c USING (doc_id) JOIN d USING (doc_id))
 SELECT event_id, CASE WHEN minus THEN reverse(translate(piece, 'ACGTN', 'TGCAN')) ELSE piece END AS cds FROM p""")
 def interval_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments cut out of blocked texts and spliced, by strand."""
-    blocks = Q.blocks(_dna(spark, sf_dir), ["doc_id"], "seq", 200).withColumn("block_start", F.col("block_start").cast("long"))
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    start = F.floor(F.col("value") * 37) % 1500
+    """Segments anywhere in all texts, cut out of the blocks they touch and spliced, by strand."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.select("doc_id", F.length("text").cast("long").alias("n")).where("n > 0")
+    doc = F.col("event_id") * 7919 % docs.count()
+    events = table(spark, sf_dir, "events").select("event_id", doc.alias("doc_id")).join(sizes, "doc_id")
+    start = F.col("event_id") * 104729 % F.col("n")
     segments = events.select(
         "event_id",
-        (F.col("user_id") % 1000).alias("doc_id"),
+        "doc_id",
         start.alias("start"),
         (start + 60 + F.col("event_id") % 500).alias("end"),
         F.when(F.col("event_id") % 3 == 0, "-").otherwise("+").alias("strand"),
     )
-    pieces = Q.segment_pieces(segments, blocks, 200, ["doc_id"])
-    return Q.spliced(pieces, ["event_id"], "strand").select("event_id", "cds")
+    texts = _dna(spark, sf_dir).select("doc_id", F.col("seq").alias("text"))
+    return Q.cut_segments(segments, texts, ["event_id"], "doc_id", "text", "strand", 1024).select("event_id", "cds")
 
 
 @_r.query("""
