@@ -385,3 +385,129 @@ def test_checksums_and_registry(spark):
         registry.candidates(spark, "no")
     with pytest.raises(ValueError, match="no option"):
         registry.candidates(spark, "toy", m=1)
+
+
+# ---------------------------------------------------------------- broken input, files and reports
+
+
+def test_a_dataset_with_broken_columns_is_reported_and_never_raises(spark):
+    good = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
+    images = good["images"].drop("ncbi_taxid").withColumn("bytes", F.col("bytes").cast("string"))
+    found = {(r["table"], r["message"]) for r in validation.dataset(good | {"images": images}, None, {}).collect()}
+    assert ("images", "no column ncbi_taxid") in found and ("images", "bytes is string, not bigint") in found
+    manifest = {(r["check"], r["key"]) for r in validation.dataset(good, None, {"schema_version": "0"}).collect() if r["table"] == "manifest"}
+    assert ("version", "0") in manifest and ("tables", "pairs") in manifest and ("counts", "n_images") in manifest
+
+
+def test_manifest_tables_and_rows(spark):
+    counts = tables.dataset_counts({name: spark.createDataFrame([], schema) for name, schema in TABLES.items()})
+    listed = {name: {"path": f"{name}.parquet", "n_rows": 0} for name in TABLES}
+    whole = {"schema_version": __import__("taxaflow.schemas").schemas.VERSION, "counts": counts.first().asDict(), "tables": listed}
+    assert validation.manifest(whole, counts).count() == 0
+    broken = whole | {"tables": {**listed, "pairs": {"path": "x.parquet", "n_rows": 3}}}
+    assert {(r["check"], r["key"]) for r in validation.manifest(broken, counts).collect()} == {("tables", "pairs"), ("rows", "n_pairs")}
+
+
+def test_a_failed_rename_puts_the_former_table_back(spark, tmp_path):
+    old = tmp_path / "t.parquet"
+    tables.write_table(spark.range(3), str(tmp_path / "t"), csv=False)
+    with pytest.raises(OSError):
+        tables._rename(spark, str(tmp_path / "nothing"), str(old))
+    assert spark.read.parquet(str(old)).count() == 3 and not (tmp_path / "t.parquet.former").exists()
+    tables.write_table(spark.range(5), str(tmp_path / "t"), csv=False)
+    assert spark.read.parquet(str(old)).count() == 5 and not (tmp_path / "t.parquet.former").exists()
+
+
+def test_units_are_written_read_and_checked(spark, tmp_path):
+    ids = [1, *[7] * 1022, 2]
+    rows = [("A", i, ids, 1.0, 10.0, 5) for i in range(3)] + [("B", 0, ids[:-1], 1.0, 10.0, 6), ("B", 1, ids, 2.0, 10.0, 6)]
+    schema = "assembly_accession string, chunk_id int, input_ids array<int>, log10_longevity double, max_longevity_yrs double, ncbi_taxid long"
+    path = str(tmp_path / "chunks")
+    tables.write_units(spark.createDataFrame(rows, schema), path)
+    tables.write_units(spark.createDataFrame(rows[:2], schema), path)  # unit A again, with two chunks
+    back = tables.read_units(spark, path)
+    assert sorted((r["assembly_accession"], r["chunk_id"]) for r in back.collect()) == [("A", 0), ("A", 1), ("B", 0), ("B", 1)]
+    assert tables.read_units(spark, path, wanted=spark.createDataFrame([("A",)], "assembly_accession string")).count() == 2
+    assert {r["message"] for r in validation.chunks(back).collect()} == {"length", "label is not log10 of the years"}
+    assert [r[0] for r in tables.unfinished(spark.createDataFrame([("A",), ("C",)], "assembly_accession string"), back).collect()] == ["C"]
+    spark.range(2).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="chunk_id is missing"):
+        tables.read_units(spark, str(tmp_path / "other"))
+
+
+def test_reports_logs_and_records_on_disk(spark, tmp_path):
+    tables.write_report(spark.createDataFrame([(1, ["a", "b"]), (2, None)], "n int, x array<string>"), str(tmp_path / "r"))
+    part = next((tmp_path / "r").glob("*.csv"))
+    assert part.read_text().splitlines() == ["n,x", "1,a|b", "2,"]
+    assert [(r["n"], r["x"]) for r in inventory.read_records(spark, str(tmp_path / "r"), "n int, x string").collect()] == [(1, "a|b"), (2, None)]
+    outcomes = spark.createDataFrame([(1, True), (2, False)], "id int, ok boolean")
+    for _ in range(2):
+        tables.failures(outcomes, str(tmp_path / "f"))
+    assert [r["id"] for r in spark.read.json(str(tmp_path / "f")).collect()] == [2, 2]
+    (tmp_path / "m.jsonl").write_text('{"kind": "train", "step": 1, "loss": 2.5}\n{"kind": "done", "step": 9}\n')
+    assert [r["loss"] for r in listings.read_metric_log(spark, str(tmp_path / "m.jsonl"), "train").collect()] == [2.5]
+    assert metrics.incomplete_runs(listings.read_metric_log(spark, str(tmp_path / "m.jsonl")).withColumn("run", F.lit("a")), "run", spark.createDataFrame([("a", 9), ("b", 9)], "run string, step long")).count() == 1
+
+
+def test_lines_that_repeat_a_key_keep_the_last(spark):
+    log = listings.parse_log(spark.createDataFrame([("epoch 3 loss=0.5 lr=1 lr=2",)], "value string")).first()
+    assert (log["epoch"], log["values"]["lr"], log["values"]["loss"]) == (3, "2", "0.5")
+    lines = ["c\tx\tmRNA\t1\t9\t.\t+\t.\tID=a;ID=m;Rank=1;Target=p 1 3;Identity=0.5", "c\tx\tCDS\t1\t9\t.\t+\t.\tParent=m;Parent=m"]
+    hit = listings.parse_gff(spark.createDataFrame([(x,) for x in lines], "value string")).first()
+    assert (hit["id"], hit["protein"], hit["identity"]) == ("m", "p", 0.5)
+
+
+def test_bad_lines_have_their_numbers(spark, tmp_path):
+    path = tmp_path / "s.txt"
+    row = "GCF_1\t9606\t9606\tHomo\tContig"
+    path.write_text("##x\n#assembly_accession\ttaxid\tspecies_taxid\torganism_name\tassembly_level\n" + f"{row}\n" * 500 + "GCF_2\tnone\t1\tx\tContig\n" + f"{row}\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        good, bad = listings.read_assembly_summary(spark, str(path))
+        assert good.count() == 501 and [(r["line"], r["columns"]) for r in bad.collect()] == [(503, "taxid")]
+        assert "pubmed_id" in good.columns and "line" not in good.columns
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.bin").write_bytes(b"x" * 100)
+    (tmp_path / "b.bin").write_bytes(b"y" * 3)
+    whole = sorted(map(tuple, inventory.inventory(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(inventory, "CELL_BYTES", 10)
+    assert sorted(map(tuple, inventory.inventory(spark, str(tmp_path)).collect())) == whole and len(whole) == 2
+
+
+def test_fasta_by_address_and_pack_summary(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "g.fna.gz", "wt") as f:
+        f.write(">a one\nACGT\n>b Mitochondrion x\nAC\n>c\nGG\n")
+    (tmp_path / "plain.fna").write_text("no header here\n")
+    got = fasta.read_fasta(spark, f"file://{tmp_path}/*.gz", 3)
+    gone = spark.createDataFrame([("c",)], "accession string")
+    row = fasta.pack_summary(got, gone).first()
+    assert (row["n_kept"], row["total_bp"], row["excluded"]) == (1, 4, ["b", "c"])
+    counts = {r["file"].rsplit("/", 1)[1]: r["n_sequences"] for r in fasta.record_counts(spark, str(tmp_path)).collect()}
+    assert counts == {"g.fna.gz": 3, "plain.fna": 0}
+
+
+def test_cohorts_batches_and_counts_by_windows(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, v int")
+    assert drift.cohort(rows, "k", ["v"], single=True).count() == 2
+    with pytest.raises(ValueError, match="2 different rows"):
+        drift.cohort(rows.union(spark.createDataFrame([("a", 3)], "k string, v int")), "k", ["v"], single=True)
+    df = spark.createDataFrame([(i, 10 + i % 5, 1 + i % 3) for i in range(300)], "k long, n int, w int")
+    got = sequences.budget_batches(df, "k", "n", 100, bucket=64, windows="w").join(df, "k")
+    sizes = got.groupBy("bucket", "batch").agg((F.max("n") * F.sum("w")).alias("t"), F.count("*").alias("c")).collect()
+    assert sum(r["c"] for r in sizes) == 300 and all(r["t"] <= 100 or r["c"] == 1 for r in sizes)
+
+
+def test_retrieval_and_unknown_groups(spark):
+    own = spark.createDataFrame([(1, "a", "g"), (2, "b", "g"), (3, "c", "h")], "query int, species string, genus string")
+    hits = spark.createDataFrame([(1, 1, 1, "a", "g"), (1, 2, 2, "b", "g"), (2, 1, 1, "a", "g"), (2, 2, 2, "b", "g"), (3, 1, 1, "a", "g")], "query int, key int, rank int, species string, genus string")
+    m = metrics.retrieval_metrics(hits, own).first()
+    assert [round(m[c], 3) for c in ("specimen_top1", "specimen_topk", "species_top1", "genus_top1")] == [0.333, 0.667, 0.333, 0.667]
+    rows = spark.createDataFrame([(i, None if i % 2 else f"f{i % 6}") for i in range(40)], "id int, family string")
+    split = {r["id"]: r["split"] for r in splits.group_split(rows, group="family", test=0.1, val=0.1).collect()}
+    assert len({split[i] for i in range(1, 40, 2)}) == 1 and set(split.values()) == {"train", "val", "test"}
