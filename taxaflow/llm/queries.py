@@ -10,34 +10,41 @@ from .common import id_mod, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: one row per row; a null text is scored as an empty one; without labels every score is 0.5."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and scores of every document under the model of all training ones; a null text is empty (its end token alone)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(id_mod("doc_id", 7) == 2, F.lit(False))
     return lm.score(docs, docs.where(~held_out)).withColumn("held_out", held_out)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans by kind, their digest, and all spans; null and empty texts have none."""
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every view of every dialogue, in parts of ``chat.PART`` turn numbers; null texts are empty, null roles no view."""
     views = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.transform("mask", lambda m: F.concat_ws(":", m.start.cast("string"), m.end.cast("string")))
     return views.withColumn("mask", F.array_join(spans, ","))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector among all; unusable vectors take no part; ties go to the smaller id."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: one row per row; a null text is scored as an empty one; without labels none is toxic."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document: ``und`` with score 0 for null texts and texts without a letter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(id_mod("doc_id", 4) == 2, F.lit(False))
     model = langid.fit(docs.where(~held_out))
@@ -46,14 +53,17 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences: one at least for each row, also for null and empty texts."""
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words, null ones among them, have fingerprint zero."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hits and items of every document against all benchmark items; a null text has no words."""
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

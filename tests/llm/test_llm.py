@@ -473,6 +473,119 @@ def test_language_on_held_out_rows_and_odd_ones(spark, odd):
     assert langid.accept(odd, langid.fit(empty(spark, f"{DOCS}, lang string"))).count() == 0
 
 
+def test_trees_and_tables_equal_exhaustive_search():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        g, h = rng.standard_normal(9), rng.random(9) + 0.1
+        part = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 2.0)
+        gains = {m: part(0, m) + part(m, 9) - part(0, 9) for m in range(1, 9)}
+        m = max(gains, key=gains.get)
+        values, gain = quality._step(g, h, 2.0, leaves=2)
+        assert np.isclose(gain, gains[m]) and np.allclose(values, [-g[:m].sum() / (h[:m].sum() + 2)] * m + [-g[m:].sum() / (h[m:].sum() + 2)] * (9 - m))
+        a, b = rng.standard_normal((5, 5)), rng.random((5, 5)) + 0.1
+        score = lambda x, y: x.sum() ** 2 / (y.sum() + 2.0)
+        best = max(sum(score(x[r][:, c], y[r][:, c]) for x, y in [(a, b)] for r in (slice(0, i), slice(i, 5)) for c in (slice(0, j), slice(j, 5))) for i in range(1, 5) for j in range(1, 5))
+        values, gain = quality._cross(a, b, 2.0)
+        assert np.isclose(gain, max(best - score(a, b), 0.0)) and len(np.unique(values)) <= 4
+
+
+def test_quality_equals_a_fit_by_hand(spark, docs):
+    labels = table(spark, SF, "labels")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()] + [(900, None)]
+    got = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(rows, DOCS), labels).collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 0 for k, _ in rows}
+    x = {k: np.array(np.float32(quality.features((t or "").encode())), np.float64) for k, t in rows}
+    train = [k for k, _ in rows if k in known and not held[k] and known[k] is not None]
+    model = quality.fit_gam(np.array([x[k] for k in train]), np.array([known[k] for k in train], np.float64))
+    for k, _ in rows:
+        total = model.bias
+        bins = [int(np.searchsorted(e, v, side="right")) for e, v in zip(model.edges, x[k])]
+        total += sum(t[b] for t, b in zip(model.tables, bins)) + sum(t[bins[i] * 8 // 32, bins[j] * 8 // 32] for (i, j), t in zip(model.pairs, model.pair_tables))
+        assert abs(got[k]["score"] - 1 / (1 + math.exp(-total))) < 1e-6 and got[k]["held_out"] == held[k]
+        assert got[k]["predicted"] == int(got[k]["score"] >= 0.3)
+
+
+def test_regularised_leader_equals_its_formulas_one_weight_at_a_time():
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(6, 3, replace=False)), rng.random(3)) for _ in range(40)]
+    labels = rng.integers(0, 3, 40)
+    weights, bias = langid.fit_ftrl(rows, labels, 3, size=6, alpha=0.5, beta=1.0, l1=0.05, l2=0.01, epochs=2)
+    z, n = Counter(), Counter()
+
+    def weight(i, c):
+        s = z[i, c]
+        return 0.0 if abs(s) <= 0.05 else (math.copysign(0.05, s) - s) / ((1.0 + math.sqrt(n[i, c])) / 0.5 + 0.01)
+
+    for _ in range(2):
+        for (k, v), y in zip(rows, labels.tolist()):
+            x = dict(zip(k.tolist(), v.tolist())) | {6: 1.0}
+            w = {(i, c): weight(i, c) for i in x for c in range(3)}
+            e = [math.exp(sum(x[i] * w[i, c] for i in x)) for c in range(3)]
+            for i in x:
+                for c in range(3):
+                    g = x[i] * (e[c] / sum(e) - (c == y))
+                    z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / 0.5 * w[i, c]
+                    n[i, c] += g * g
+    assert np.allclose(weights, [[weight(i, c) for c in range(3)] for i in range(6)]) and np.allclose(bias, [weight(6, c) for c in range(3)])
+    logits = rng.standard_normal((50, 3)) * 4
+    right = np.array([rng.choice(3, p=langid._softmax(row / 2.5)) for row in logits])
+    loss = lambda t: -np.log(langid._softmax(logits / t)[np.arange(50), right]).mean()
+    assert loss(langid.temperature(logits, right)) <= min(loss(t) for t in np.geomspace(0.05, 20, 400)) + 1e-6
+
+
+def test_language_scores_equal_naive_sums(spark, docs):
+    train = docs.where(id_mod("doc_id", 4) != 2)
+    texts = [r["text"] for r in train.where("lang is not null").select("text").collect()]
+    model = langid.fit(train)
+    seen = Counter(b for t in texts for b in {int(b) for g in langid.grams(t) for b in g})
+    total = train.where("lang is not null").select("text").mapInArrow(langid._frequency_rows, "bucket int, n long").groupBy("bucket").agg(F.sum("n"))
+    found = dict(map(tuple, total.collect()))
+    assert found.pop(-1) == len(texts) and found == seen
+    for r in docs.select("text", langid.predict(docs, model).alias("p")).limit(20).collect():
+        logits = model.bias + sum(np.mean([model.weights[b] for b in g.tolist()], axis=0, dtype=np.float64) for g in langid.grams(r["text"]) if len(g))
+        p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert (r["p"]["lang"], round(r["p"]["score"], 6)) == (model.languages[int(p.argmax())], round(float(p.max()), 6))
+
+
+def test_label_model_equals_expectation_maximisation_by_hand():
+    rng = np.random.default_rng(6)
+    toxic = rng.random(300) < 0.2
+    votes = np.stack([np.where(toxic, rng.random(300) < a, rng.random(300) < b) for a, b in ((0.8, 0.02), (0.6, 0.05), (0.7, 0.01))], axis=1).astype(float)
+    accuracy = np.array([0.9, 0.8, 0.95])
+    model = toxicity.fit_labels(votes, accuracy, rounds=3)
+    p = [0.02 if not any(v) else 1 - math.prod(1 - a for x, a in zip(v, accuracy) if x) for v in votes]
+    for _ in range(3):
+        mass, n = sum(p), len(votes)
+        t = [min(max((sum(q * v[k] for q, v in zip(p, votes)) + 0.1) / (mass + 1), 1e-6), 1 - 1e-3) for k in range(3)]
+        c = [min(max((sum((1 - q) * v[k] for q, v in zip(p, votes)) + 0.1) / (n - mass + 1), 1e-7), 1 - 1e-3) for k in range(3)]
+        quiet = [not any(v) for v in votes]
+        silent = math.log((sum(q for q, s in zip(p, quiet) if s) + 0.1) / (mass + 1)) - math.log((sum(1 - q for q, s in zip(p, quiet) if s) + 0.1) / (n - mass + 1))
+        rest = [[v[k] - q * t[k] - (1 - q) * c[k] for k in range(3)] for q, v in zip(p, votes)]
+        cov = [[sum(r[i] * r[j] for r in rest) / n for j in range(3)] for i in range(3)]
+        rho = lambda i, j: max(0.0, cov[i][j] / math.sqrt(cov[i][i] * cov[j][j]))
+        weight = [1 / (1 + sum(rho(i, j) ** 2 for j in range(3) if j != i and rho(i, j) >= 0.3)) for i in range(3)]
+        prior = min(max(mass / n, 1e-3), 0.5)
+        z = [math.log(prior / (1 - prior)) + sum(v[k] * weight[k] * math.log(t[k] / c[k]) for k in range(3)) + (silent if s else 0) for v, s in zip(votes, quiet)]
+        p = [1 / (1 + math.exp(-x)) for x in z]
+    assert np.allclose(model.posterior(votes), p, atol=1e-6)
+    assert ((np.array(p) > 0.5) == toxic).mean() > 0.9
+
+
+def test_toxicity_score_equals_the_classifier_by_hand(spark, docs):
+    labels = table(spark, SF, "labels")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.where("toxic is not null").collect()}
+    train = [k for k in rows if k in known and zlib.crc32(str(k).encode()) % 5]
+    said = [toxicity.words_of(rows[k]) for k in train]
+    order = sorted(range(len(train)), key=lambda i: (train[i], " ".join(sorted(said[i]))))
+    matched = [toxicity.Voters().matched(rows[k], w) for k, w in zip(train, said)]
+    model = toxicity.fit([said[i] for i in order], [matched[i] for i in order], np.array([known[train[i]] for i in order]))
+    for k, text in rows.items():
+        assert abs(got[k]["score"] - model.score(text)) < 1e-6 and got[k]["predicted"] == int(got[k]["score"] >= 0.5)
+
+
 def test_rare_classes_have_their_rows_in_bounded_samples(spark):
     say = {"en": "the house and the garden of them", "fr": "une maison et le jardin des voisins", "xx": "zqu wkrz qzz wqk zkw"}
     rows = [(i, say["xx" if i % 500 == 7 else "fr" if i % 3 else "en"] + f" {i % 10}", "xx" if i % 500 == 7 else "fr" if i % 3 else "en") for i in range(4000)]
