@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,8 @@ from .selection import small
 
 #: Rows of a gallery that are broadcast as one matrix; a larger one is searched in blocks of this many.
 GALLERY_ROWS = 20_000
+#: Queries that meet one block of a larger gallery in one task.
+QUERY_ROWS = 50_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,51 +40,59 @@ def centroids(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
     return mean_vectors(df, keys, vector).withColumn(vector, normalised(F.col(vector)))
 
 
-def _blocks(gallery: DataFrame, key: str, vector: str) -> Iterable[tuple[np.ndarray, np.ndarray]]:
-    """The gallery in bounded blocks of (keys, matrix), one at a time; blocks are dealt by hash of the key."""
-    n = gallery.count()
-    parts = max(1, -(-n // GALLERY_ROWS))
-    for k in range(parts):
-        part = gallery if parts == 1 else gallery.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)
-        rows = part.select(key, vector).collect()
-        if rows:
-            yield np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
-
-
 def top_k(queries: DataFrame, gallery: DataFrame, *, query: str, key: str, vector: str, k: int, exclude_self: bool = False) -> DataFrame:
     """``query, key, sim, rank``: the ``k`` most similar gallery rows by dot product, ties by key.
 
-    Each block of the gallery is broadcast as a matrix; products run in numpy over Arrow batches, only the k
-    best of a block leave a task, and a window merges blocks.
+    A gallery counted as small is broadcast as one matrix. A larger one is dealt to blocks by hash of its keys and the
+    queries to blocks of their own; every pair of blocks is one task, so neither side passes through the driver. Products
+    run in numpy, only the k best of a block leave a task, and a window merges blocks.
     """
     kinds = dict(queries.dtypes)[query], dict(gallery.dtypes)[key]
     schema = f"{query} {kinds[0]}, {key} {kinds[1]}, sim double"
-    found = None
-    for keys, matrix in _blocks(gallery, key, vector):
-        shared = queries.sparkSession.sparkContext.broadcast((keys, matrix))
-        part = queries.select(query, vector).mapInPandas(_search(shared, query, key, vector, k, exclude_self), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+    asked, held = queries.select(query, vector), gallery.select(key, vector)
+    blocks = -(-gallery.count() // GALLERY_ROWS)
+    best = _search(query, key, vector, k, exclude_self)
+    if blocks <= 1:
+        rows = held.collect()  # at most GALLERY_ROWS rows
+        shared = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
+
+        def against_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield from best(batch, *shared.value)
+
+        found = asked.mapInPandas(against_all, schema)
+    else:
+        groups = max(1, -(-queries.count() // QUERY_ROWS))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        left = asked.select("*", deal(query, groups).alias("_q")).withColumn("_g", every(blocks))
+        right = held.select("*", deal(key, blocks).alias("_g")).withColumn("_q", every(groups))
+
+        def against_block(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+            matrix = np.array(block[vector].tolist(), np.float64)
+            none = pd.DataFrame({query: part[query].iloc[:0].to_numpy(), key: block[key].iloc[:0].to_numpy(), "sim": np.empty(0)})
+            return pd.concat([none, *best(part, block[key].to_numpy(), matrix)])
+
+        found = left.groupBy("_q", "_g").cogroup(right.groupBy("_q", "_g")).applyInPandas(against_block, schema)
     order = Window.partitionBy(query).orderBy(F.desc("sim"), key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _search(shared, query: str, key: str, vector: str, k: int, exclude_self: bool) -> Callable:
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, matrix = shared.value
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                sims = np.array(part[vector].tolist(), np.float64).reshape(len(part), -1) @ matrix.T
-                if exclude_self:
-                    sims[part[query].to_numpy()[:, None] == keys[None, :]] = -np.inf
-                n = min(k, len(keys))
-                kth = -np.partition(-sims, n - 1, axis=1)[:, n - 1 : n]
-                q, g = np.nonzero((sims >= kth) & (sims > -np.inf))  # all ties of the kth; the window breaks them
-                yield pd.DataFrame({query: part[query].to_numpy()[q], key: keys[g], "sim": sims[q, g]})
-
-    return rows
+def _search(query: str, key: str, vector: str, k: int, exclude_self: bool) -> Callable:
+    """The k best rows (and all ties of the kth, which the window breaks) of a matrix for each query of a frame."""
+
+    def best(batch: pd.DataFrame, keys: np.ndarray, matrix: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(batch) if len(keys) else 0, 1024):
+            part = batch.iloc[at : at + 1024]
+            sims = np.array(part[vector].tolist(), np.float64).reshape(len(part), -1) @ matrix.T
+            if exclude_self:
+                sims[part[query].to_numpy()[:, None] == keys[None, :]] = -np.inf
+            n = min(k, len(keys))
+            kth = -np.partition(-sims, n - 1, axis=1)[:, n - 1 : n]
+            q, g = np.nonzero((sims >= kth) & (sims > -np.inf))
+            yield pd.DataFrame({query: part[query].to_numpy()[q], key: keys[g], "sim": sims[q, g]})
+
+    return best
 
 
 def rank_scores(hits: DataFrame, ranks: DataFrame, *, query: str, key: str, levels: Sequence[str]) -> DataFrame:
