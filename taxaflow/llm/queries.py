@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, decontam, langid, lm, packing, pii, quality, simhash, toxicity
-from .common import id_mod, table
+from .common import id_mod, spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document: one row per row; a null text is scored as an empty one; without labels every score is 0.5."""
-    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +27,7 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans by kind, their digest, and all spans; null and empty texts have none."""
-    return pii.digest(table(spark, sf_dir, "documents"))
+    return pii.digest(_documents(spark, sf_dir))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +44,12 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document: one row per row; a null text is scored as an empty one; without labels none is toxic."""
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document: ``und`` with score 0 for null texts and texts without a letter."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _documents(spark, sf_dir, "lang")
     held_out = F.coalesce(id_mod("doc_id", 4) == 2, F.lit(False))
     model = langid.fit(docs.where(~held_out))
     found = docs.select("doc_id", held_out.alias("held_out"), langid.predict(docs, model).alias("p"))
@@ -54,17 +58,17 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document in sequences: one at least for each row, also for null and empty texts."""
-    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.pack(_documents(spark, sf_dir))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; texts without words, null ones among them, have fingerprint zero."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, hits and items of every document against all benchmark items; a null text has no words."""
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.report(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
