@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxaflow.llm import decontam, langid, packing, pii, simhash
-from taxaflow.llm.common import Workspace, id_mod, table
+from taxaflow.llm.common import Workspace, id_mod, spread, table
 from taxaflow.session import ship
 
 ORACLE_SQL = None
@@ -85,7 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     ship(spark)
     work = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for _, stage in STAGES[:-1]:
         docs = work.cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
