@@ -131,6 +131,12 @@ def good_windows(candidates: DataFrame, unit: str, sequence: str, n: int, most:
     return few.withColumn("_r", F.row_number().over(Window.partitionBy(unit).orderBy("draw"))).where(F.col("_r") <= n).drop("_r")
 
 
+def lacking(windows: DataFrame, units: DataFrame, unit: str, n: int) -> DataFrame:
+    """``unit, n_windows``: units with fewer than ``n`` good windows after all draws; must be empty."""
+    got = windows.groupBy(unit).agg(F.count("*").alias("n_windows"))
+    return units.select(unit).distinct().join(got, unit, "left").fillna({"n_windows": 0}).where(F.col("n_windows") < n)
+
+
 # ---------------------------------------------------------------- tokens
 
 
@@ -208,6 +214,11 @@ def chunk_budget(rows: DataFrame, unit: str, tokens: str, body: int = fixed.BODY
     return out.withColumn("chunks", F.greatest(F.lit(1), F.floor(F.col("tokens") / body + 0.5)).cast("long"))
 
 
+def over_budget(budget: DataFrame, most: int = 1000) -> DataFrame:
+    """Units whose budget is more chunks than a pool holds; must be empty."""
+    return budget.where(F.col("chunks") > most)
+
+
 def input_statistics(rows: DataFrame, split: str, species: str, tokens: str, body: int = fixed.BODY_TOKENS) -> DataFrame:
     """Per split: species, pairs, windows and tokens with two specials for each window."""
     w = window_count(F.col(tokens), body)

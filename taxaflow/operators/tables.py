@@ -309,6 +309,13 @@ def chunk_rows(windows: DataFrame, traits: DataFrame, *, unit: str = "assembly_a
     return windows.join(small(labelled), unit).withColumns({"seed": F.lit(seed), "block_bases": F.lit(block_bases).cast("int")})
 
 
+def coverage(sets: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """One row: different keys of each set as ``n_<name>``, those in all of them (``n_all``), and in any (``n_any``)."""
+    tagged = united({name: df.select(key).where(F.col(key).isNotNull()).distinct() for name, df in sets.items()}, "_set")
+    each = tagged.groupBy(key).agg(F.count("*").alias("_n"), *(F.count_if(F.col("_set") == name).alias(f"_{name}") for name in sets))
+    return each.agg(*(F.coalesce(F.sum(f"_{name}"), F.lit(0)).alias(f"n_{name}") for name in sets), F.count_if(F.col("_n") == len(sets)).alias("n_all"), F.count("*").alias("n_any"))
+
+
 def licence_shares(rows: DataFrame, group: str, licence: str) -> DataFrame:
     """Per group the rows and the shares of open licences: CC0 or public domain, BY, BY-SA, any other CC, none."""
     slug = F.lower(F.coalesce(licence, F.lit("")))

@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,6 +181,29 @@ def dataset(tables: Mapping[str, DataFrame | None], inventory: DataFrame | None
     return capped(reduce(DataFrame.unionByName, parts))
 
 
+def on_disk(spark: SparkSession, root: str, inventory: DataFrame | None = None, document: Mapping | None = None) -> DataFrame:
+    """``dataset`` of the tables under ``root``: those that are not there are missing, those that cannot be read are
+    reported as unreadable, and nothing raises."""
+    found: dict[str, DataFrame | None] = {}
+    unreadable = []
+    for name, schema in schemas.TABLES.items():
+        try:
+            found[name] = spark.read.parquet(f"{root}/{name}.parquet")
+        except AnalysisException as e:
+            found[name] = None
+            if e.getCondition() != "PATH_NOT_FOUND":
+                unreadable.append(name)
+        except (PySparkException, Py4JJavaError):
+            found[name] = None
+            unreadable.append(name)
+    empty = spark.createDataFrame([], "table string, check string, key string, message string")
+    have = any(df is not None for df in found.values())
+    checked = dataset(found, inventory, document) if have else empty.union(spark.createDataFrame([(n, "table", None, "missing table") for n in schemas.TABLES], empty.schema))
+    # a table that is there but cannot be read is not a missing one
+    checked = checked.where(~((F.col("check") == "table") & F.col("table").isin(unreadable))) if unreadable else checked
+    return checked.unionByName(spark.createDataFrame([(n, "table", None, "unreadable table") for n in unreadable], empty.schema))
+
+
 def labels(rows: DataFrame, species: str = "ncbi_taxid", years: str = "max_longevity_yrs", log: str = "log10_longevity") -> DataFrame:
     """Labels that are not finite and positive or not the logarithm of the years; species with several labels."""
     c, y = F.col(log), F.col(years)

@@ -68,6 +68,35 @@ def dataset_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.dataset_overlap(images, reference, source="source", name="name", many=(2, 50))
 
 
+@_r.query("""
+SELECT (SELECT count(DISTINCT doc_id) FROM labels) AS n_labels, (SELECT count(DISTINCT doc_id) FROM documents WHERE lang = 'en') AS n_english,
+       (SELECT count(*) FROM (SELECT doc_id FROM labels INTERSECT SELECT doc_id FROM documents WHERE lang = 'en')) AS n_all,
+       (SELECT count(*) FROM (SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE lang = 'en')) AS n_any""")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are labelled, English, both and either."""
+    return B.coverage({"labels": table(spark, sf_dir, "labels"), "english": table(spark, sf_dir, "documents").where("lang = 'en'")}, "doc_id")
+
+
+@_r.query("""
+WITH n AS (SELECT source, count(*) AS examples, sum(least(n_chars, 400))::BIGINT AS tokens FROM documents GROUP BY 1),
+b AS (SELECT *, greatest(1, CAST(floor(tokens / 400.0 + 0.5) AS BIGINT)) AS chunks FROM n)
+SELECT source, chunks, examples FROM b WHERE chunks > 9""")
+def over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources worth more than nine chunks of 400 characters."""
+    budget = Q.chunk_budget(table(spark, sf_dir, "documents"), "source", "n_chars", 400)
+    return Q.over_budget(budget, 9).select("source", "chunks", "examples")
+
+
+@_r.query("""
+WITH g AS (SELECT doc_id, count(*) AS n FROM documents, range(4) r(i) WHERE n_chars >= (i + 1) * 500 GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_windows FROM documents LEFT JOIN g USING (doc_id) WHERE coalesce(n, 0) < 3""")
+def lacking_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without three windows of 500 characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    windows = docs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(3)))).where(F.col("n_chars") >= (F.col("draw") + 1) * 500)
+    return Q.lacking(windows, docs, "doc_id", 3)
+
+
 @_r.query("""
 WITH e AS (SELECT user_id, event_type AS method, 'g' || (event_id % 3) AS "group", CASE WHEN event_id % 2 = 0 THEN 'genus' ELSE 'species' END AS rank, round(max(value), 6) AS top1 FROM events GROUP BY ALL)
 SELECT user_id, method, "group", max(CASE WHEN rank = 'species' THEN top1 END) AS species, max(CASE WHEN rank = 'genus' THEN top1 END) AS genus FROM e GROUP BY ALL""")

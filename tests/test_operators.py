@@ -511,3 +511,12 @@ def test_retrieval_and_unknown_groups(spark):
     rows = spark.createDataFrame([(i, None if i % 2 else f"f{i % 6}") for i in range(40)], "id int, family string")
     split = {r["id"]: r["split"] for r in splits.group_split(rows, group="family", test=0.1, val=0.1).collect()}
     assert len({split[i] for i in range(1, 40, 2)}) == 1 and set(split.values()) == {"train", "val", "test"}
+
+
+def test_tables_on_disk_that_are_missing_or_unreadable(spark, tmp_path):
+    spark.createDataFrame([], TABLES["pairs"]).write.parquet(str(tmp_path / "pairs.parquet"))
+    (tmp_path / "images.parquet").write_text("not a table")
+    found = {(r["table"], r["message"]) for r in validation.on_disk(spark, str(tmp_path)).where("check = 'table'").collect()}
+    assert found == {("species", "missing table"), ("genomes", "missing table"), ("images", "unreadable table")}
+    nothing = validation.on_disk(spark, str(tmp_path / "nowhere")).collect()
+    assert {r["table"] for r in nothing} == set(TABLES) and {r["message"] for r in nothing} == {"missing table"}
