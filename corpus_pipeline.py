@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxaflow.llm import decontam, langid, packing, pii, simhash
-from taxaflow.llm.common import Workspace, id_mod, spread, table
-from taxaflow.session import ship
+from taxaflow.llm.common import Workspace, id_mod, table
+from taxaflow.session import ship, spread
 
 ORACLE_SQL = None
 

@@ -12,50 +12,65 @@ from pyspark.sql import functions as F
 from .embeddings import normalised, top_k
 
 
-def _codes(text: str, k: int) -> np.ndarray:
-    """Canonical codes of the k-mers of a sequence (A < C < G < T), those with another letter left out."""
-    digit = _DIGITS[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+def _codes(digit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Canonical codes of the k-mers of a row of digits (A < C < G < T) and their places; those with another letter are left out."""
     n = len(digit) - k + 1
     if n < 1:
-        return np.empty(0, np.int64)
-    forward, backward, bad = (np.zeros(n, np.int64) for _ in range(3))
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    forward, backward, bad = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
     for i in range(k):
         part = digit[i : i + n]
         forward = forward * 4 + part
         backward += (3 - part) << (2 * i)
         bad |= part > 3
-    return np.minimum(forward, backward)[bad == 0]
-
-
-def _spelled(codes: np.ndarray, k: int) -> list[str]:
-    places = (codes[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3
-    return ["".join(x) for x in np.array(list("ACGT"))[places]]
+    at = np.flatnonzero(~bad)
+    return np.minimum(forward, backward)[at], at
 
 
 _DIGITS = np.full(256, 4, np.int64)
 _DIGITS[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 
 
+#: Letters whose k-mers are counted at once; longer texts are still counted whole.
+_LETTERS = 1 << 19
+
+
+def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``_LETTERS`` letters together."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= _LETTERS or i == len(texts) - 1:
+            yield first, i + 1
+            first, size = i + 1, 0
+
+
 def kmer_counts(df: DataFrame, keys: Sequence[str], text: str, k: int = 6) -> DataFrame:
     """``keys, kmer, n``: each k-mer with its reverse complement counted as the smaller; those with N are left out.
 
-    Rolling codes in numpy over Arrow batches, summed for each key of a batch before the shuffle. Long
-    sequences come in blocks that overlap by ``k - 1``.
+    Rolling codes in numpy over the joined texts of Arrow batches (an N stands between two), counted for each key before
+    the shuffle as integers and spelled after the sum. Long sequences come in blocks that overlap by ``k - 1``.
     """
     kinds = dict(df.dtypes)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, part in batch.groupby(list(keys), dropna=False, sort=False):
-                counts = np.bincount(np.concatenate([_codes(t or "", k) for t in part[text]]), minlength=1)
-                found = np.flatnonzero(counts)
-                if len(found):
-                    out = {c: [v] * len(found) for c, v in zip(keys, key)}
-                    yield pd.DataFrame(out | {"kmer": _spelled(found, k), "n": counts[found]})
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", kmer string, n long"
-    counted = df.select(*keys, text).mapInPandas(rows, schema)
-    return counted.groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
+            texts = [t or "" for t in batch[text]]
+            groups = batch.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+            for a, b in _runs(texts):
+                letters = np.frombuffer("N".join(texts[a:b]).encode("ascii", "replace"), np.uint8)
+                codes, at = _codes(_DIGITS[letters], k)
+                ends = np.cumsum([len(t) + 1 for t in texts[a:b]])
+                owner = groups[a:b][np.searchsorted(ends, at, side="right")]
+                both, n = np.unique((owner.astype(np.int64) << (2 * k)) | codes, return_counts=True)
+                first = pd.Series(np.arange(len(groups))).groupby(groups).first()
+                own = batch.iloc[first.loc[both >> (2 * k)].to_numpy()][list(keys)].reset_index(drop=True)
+                yield own.assign(code=both & ((1 << (2 * k)) - 1), n=n)
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", code long, n long"
+    counted = df.select(*keys, text).mapInPandas(rows, schema).groupBy(*keys, "code").agg(F.sum("n").alias("n"))
+    letter = lambda i: F.substring(F.lit("ACGT"), (F.shiftright("code", 2 * i).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1))
+    return counted.select(*keys, F.concat(*(letter(i) for i in range(k - 1, -1, -1))).alias("kmer"), "n")
 
 
 def kmer_profile(counts: DataFrame, keys: Sequence[str]) -> DataFrame:

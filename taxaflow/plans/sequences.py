@@ -10,6 +10,7 @@ from ..operators import kmers as K
 from ..operators import sequences as Q
 from ..operators import splits as P
 from ..sources import fasta, listings
+from ..session import spread
 from .base import Registry, table
 
 _r = Registry()
@@ -21,7 +22,7 @@ _DNA = "regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'acg
 def _dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts spelled with bases: every letter stands for one, everything else for N."""
     text = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", Q.normal_bases(text).alias("seq"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", Q.normal_bases(text).alias("seq"))
 
 
 @_r.query(f"""
