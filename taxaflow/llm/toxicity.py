@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -91,11 +91,15 @@ class Voters:
 
         A clean text counts ``odds`` times a toxic one, as many rows as it stands for.
         """
-        where: dict[str, set[int]] = defaultdict(set)
+        # counted first, so that places are kept of terms with support only: most terms stand in one text
+        seen: Counter = Counter()
         for i in np.flatnonzero(y):
-            for t in terms_of(said[i]):
-                where[t].add(int(i))
-        where = {t: rows for t, rows in where.items() if len(rows) >= SUPPORT}
+            seen.update(terms_of(said[i]))
+        where: dict[str, list[int]] = {t: [] for t, n in seen.items() if n >= SUPPORT}
+        del seen
+        for i in np.flatnonzero(y).tolist():
+            for t in filter(where.__contains__, terms_of(said[i])):
+                where[t].append(i)
         other: Counter = Counter()
         for i in np.flatnonzero(y == 0):
             other.update(filter(where.__contains__, terms_of(said[i])))
@@ -152,21 +156,25 @@ def fit_labels(votes: np.ndarray, accuracy: np.ndarray, stands: np.ndarray | Non
 
     ``stands``: how many rows each row stands for, 1 where not given.
     """
-    n, m = votes.shape
     if stands is None:
-        stands = np.ones(n)
+        stands = np.ones(len(votes))
     n = stands.sum()
     quiet = ~votes.any(axis=1)
     p = np.where(quiet, 0.02, 1 - np.exp(votes @ np.log(1 - accuracy)))
-    weight = np.ones(m)
+    together = votes.T @ (votes * stands[:, None])
     for _ in range(rounds):
-        one, two = p * stands, (1 - p) * stands
-        mass = one.sum()
-        toxic = np.clip((one @ votes + 0.1) / (mass + 1.0), 1e-6, 1 - 1e-3)
-        clean = np.clip((two @ votes + 0.1) / (n - mass + 1.0), 1e-7, 1 - 1e-3)
-        silent = np.log((one @ quiet + 0.1) / (mass + 1.0)) - np.log((two @ quiet + 0.1) / (n - mass + 1.0))
-        rest = votes - p[:, None] * toxic - (1 - p)[:, None] * clean
-        cov = rest.T @ (rest * stands[:, None]) / max(n, 1)
+        # rows of both classes' shares: all sums of a round are products of them with the votes
+        both = np.stack([p, 1 - p], axis=1)
+        heavy = both * stands[:, None]
+        fired, mass = votes.T @ heavy, heavy[:, 0].sum()
+        toxic = np.clip((fired[:, 0] + 0.1) / (mass + 1.0), 1e-6, 1 - 1e-3)
+        clean = np.clip((fired[:, 1] + 0.1) / (n - mass + 1.0), 1e-7, 1 - 1e-3)
+        calm = quiet @ heavy
+        silent = np.log((calm[0] + 0.1) / (mass + 1.0)) - np.log((calm[1] + 0.1) / (n - mass + 1.0))
+        # covariance of what the classes leave of the votes, without that matrix of rows
+        rates = np.stack([toxic, clean])
+        cross = fired @ rates
+        cov = (together - cross - cross.T + rates.T @ (both.T @ heavy) @ rates) / max(n, 1)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         rho = np.clip(cov / np.outer(sd, sd), 0, 1)
         rho[rho < 0.3] = 0
