@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -15,51 +13,13 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import Workspace, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='taxaflow-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-class Workspace:
-    """Tables written to the shared folder, so that lineage ends there and a lost executor loses nothing.
-
-    ``cut`` writes and rereads a table; ``drop`` deletes one that no later plan reads. A table that the
-    returned DataFrame still reads stays until the folder is cleared.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
-        self._n = 0
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{self._n}"
-        self._n += 1
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        out._workspace_path = path  # keeps id() from being reused while the frame lives
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = self._paths.pop(id(df), None)
-        if path:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, with as many underscores before it as no column of the frames has."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -42,44 +42,22 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
-class Automaton:
-    """Generalised suffix automaton over word ids, with the items of every window."""
+class SuffixAutomaton:
+    """Generalised suffix automaton over word ids: states with transitions, suffix links and longest lengths."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
-        self.window = window
+    def __init__(self) -> None:
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        coded = [(k, [self.vocab.setdefault(w, len(self.vocab)) for w in words]) for k, words in items if words]
-        pairs: set[int] = set()
-        for _, ids in coded:
-            last = 0
-            for c in ids:
-                last = self._extend(last, c)
-            pairs.update(a * len(self.vocab) + b for a, b in zip(ids, ids[1:]))
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.least = min((min(window, len(ids)) for _, ids in coded), default=window)
-        #: state -> items whose windows of full length end there
-        self.full: dict[int, set[str]] = {}
-        #: state -> (words, item) of shorter items, and the nearest such state from each state upwards
-        self.short: dict[int, list[tuple[int, str]]] = {}
-        for key, ids in coded:
-            state = 0
-            for at, c in enumerate(ids, 1):
-                state = self.next[state][c]
-                if at >= window:
-                    self.full.setdefault(self._at_window(state), set()).add(key)
-            if len(ids) < window:
-                self.short.setdefault(state, []).append((len(ids), key))
-        self.nearest = [-1] * len(self.link)
-        for s in sorted(range(len(self.link)), key=self.length.__getitem__):
-            self.nearest[s] = s if s in self.short else (self.nearest[self.link[s]] if s else -1)
+        self.pairs = np.zeros(0, np.int64)
 
-    def _at_window(self, state: int) -> int:
-        """The state of the last ``window`` words, from a state of at least as many."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
+    def add(self, words: list[bytes]) -> list[int]:
+        """Word ids of a sequence whose every stretch is known from now on."""
+        ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
+        last = 0
+        for c in ids:
+            last = self._extend(last, c)
+        return ids
 
     def _add(self, length: int) -> int:
         self.next.append({})
@@ -111,9 +89,16 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
-    def _stretches(self, ids: np.ndarray) -> Iterable[tuple[int, int]]:
+    def follow(self, sequences: Iterable[list[int]]) -> None:
+        """Note which words follow each other, once all sequences are added."""
+        pairs = {a * len(self.vocab) + b for ids in sequences for a, b in zip(ids, ids[1:])}
+        self.pairs = np.array(sorted(pairs), np.int64)
+
+    def stretches(self, ids: np.ndarray, least: int) -> Iterable[tuple[int, int]]:
+        """Stretches of at least ``least`` words, known (not -1) and each known to follow the one before: no match
+        crosses their ends."""
         known = ids >= 0
-        if known.sum() < self.least:
+        if known.sum() < least:
             return
         follows = known[:-1] & known[1:]
         at = np.flatnonzero(follows)
@@ -125,9 +110,41 @@ class Automaton:
             follows[:] = False
         breaks = np.flatnonzero(~follows) + 1
         first, stop = np.concatenate(([0], breaks)), np.concatenate((breaks, [len(ids)]))
-        good = (stop - first >= self.least) & known[first]
+        good = (stop - first >= least) & known[first]
         yield from zip(first[good].tolist(), stop[good].tolist())
 
+
+class Automaton(SuffixAutomaton):
+    """Generalised suffix automaton over word ids, with the items of every window."""
+
+    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
+        super().__init__()
+        self.window = window
+        coded = [(k, self.add(words)) for k, words in items if words]
+        self.follow(ids for _, ids in coded)
+        self.least = min((min(window, len(ids)) for _, ids in coded), default=window)
+        #: state -> items whose windows of full length end there
+        self.full: dict[int, set[str]] = {}
+        #: state -> (words, item) of shorter items, and the nearest such state from each state upwards
+        self.short: dict[int, list[tuple[int, str]]] = {}
+        for key, ids in coded:
+            state = 0
+            for at, c in enumerate(ids, 1):
+                state = self.next[state][c]
+                if at >= window:
+                    self.full.setdefault(self._at_window(state), set()).add(key)
+            if len(ids) < window:
+                self.short.setdefault(state, []).append((len(ids), key))
+        self.nearest = [-1] * len(self.link)
+        for s in sorted(range(len(self.link)), key=self.length.__getitem__):
+            self.nearest[s] = s if s in self.short else (self.nearest[self.link[s]] if s else -1)
+
+    def _at_window(self, state: int) -> int:
+        """The state of the last ``window`` words, from a state of at least as many."""
+        while self.length[self.link[state]] >= self.window:
+            state = self.link[state]
+        return state
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit words as (first, stop) spans in order without overlaps, and the items whose windows occur."""
         spans: list[tuple[int, int]] = []
@@ -135,7 +152,7 @@ class Automaton:
         if not words or not self.vocab:
             return spans, items
         ids = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, len(words))
-        for first, stop in self._stretches(ids):
+        for first, stop in self.stretches(ids, self.least):
             state = length = 0
             for at in range(first, stop):
                 c = int(ids[at])
