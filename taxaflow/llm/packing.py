@@ -40,6 +40,9 @@ BANDS = 5
 #: Sequences that a task of a superstep packs at least, and tasks at most: their work is bounded by lengths, not rows.
 SHARE = 10_000
 MAX_SHARDS = 64
+#: White-space characters in a row from which on a text is left to ``tokenizers``.
+LONG_BLANK = 100_000
+_LONG_BLANK = re.compile(r"\s{%d}" % LONG_BLANK)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -54,18 +57,21 @@ class Encoder:
 
     Where the file is a byte-level vocabulary whose merges stand in the order of their ids, whole texts are encoded by
     ``tiktoken`` with ranks read from that file, which is several times faster and gives the same ids (tests hold every
-    code point against ``tokenizers``); special tokens in a text are cut out first, as ``tokenizers`` does. Files of any
-    other kind are left to ``tokenizers``.
+    character up to U+1FFFF, a sample of the others and odd texts against ``tokenizers``); special tokens in a text are
+    cut out first, as ``tokenizers`` does, or are text like any other with ``plain``. Files of any other kind are left to
+    ``tokenizers``, and so are texts with a run of ``LONG_BLANK`` or more white-space characters: on a run of about a
+    million the rank encoder's pattern overflows its stack.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens") or []}
+        self.special = {} if plain else {x["content"]: x["id"] for x in spec.get("added_tokens") or []}
         self.fast = self._ranked(spec)
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
@@ -90,7 +96,7 @@ class Encoder:
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is None:
+        if self.fast is None or (len(text) >= LONG_BLANK and _LONG_BLANK.search(text)):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not any(map(text.__contains__, self.special)):
             return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()

@@ -11,6 +11,7 @@ from collections import Counter
 import brute_decontam
 import compare
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -323,6 +324,23 @@ def test_encoder_equals_the_tokenizer_on_every_character():
         assert np.frombuffer(encode(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("n", [999_999, 1_000_000, 3_000_000])
+def test_encoder_takes_very_long_runs(n):
+    """Runs as long as these overflow the stack of the rank encoder's pattern."""
+    encode = packing.Encoder(str(public_tokenizers.path(packing.TOKENIZER)))
+    for run in (" " * n, "\n" * n, "x" * n):
+        for text in (run, f"a{run}b", f"{run}<|endoftext|> c"):
+            assert encode(text) == np.array(encode.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_of_very_long_runs_of_white_space(spark):
+    texts = ["a" + " " * 1_200_000 + "b", "\n" * 1_000_000, " \t\n\u3000" * 300_000 + "x", "short"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    encode = packing.Encoder(str(public_tokenizers.path(packing.TOKENIZER))).model.encode
+    for k, text in enumerate(texts):
+        assert sum(r.length for r in rows if r.doc_id == k) == len(encode(text, add_special_tokens=False).ids) + 1
+
+
 def test_supersteps_over_several_tasks_place_every_rank_once(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARE", 20)
     rng = random.Random(6)
