@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import ann, chat, decontam, langid, licences, lm, packing, pii, quality, simhash, toxicity
+from . import ann, chat, decontam, langid, licences, lm, packing, pii, quality, simhash, tokalign, toxicity
 from .common import id_mod, table
 
 
@@ -72,6 +72,11 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op12_tokalign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers for every document; null and empty texts have zeros."""
+    return tokalign.digest(_documents(spark, sf_dir))
+
+
 def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, labels and score of every document; null and empty texts have none."""
     return licences.digest(_documents(spark, sf_dir))
