@@ -73,17 +73,20 @@ def _stretches(by: Sequence[str], number: str, sums: Sequence[str], marks: Seque
 
 
 def numbered(
-    rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], into: str = "n", sums: dict[str, Column] | None = None, work: Workspace | None = None
-) -> DataFrame:
+    rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], into: str = "n", sums: dict[str, Column] | None = None, work: Workspace | None = None,
+    drop: Sequence[str] = (),
+) -> DataFrame:
     """``rows`` with ``into``, numbers from 1 in each group of ``by`` in that order, and with running sums.
 
     ``sums``: new columns, each the running sum, its own row included, of an integer column expression (null: nothing).
     Without ``by`` the whole table is one group. ``order`` must tell rows of a group apart where their numbers matter:
-    rows that are equal in it are numbered in any order, and all lie in one partition. Null keys are one group; floats
-    as keys are not supported. An empty table gives none.
+    rows that are equal in it are numbered in any order, and all lie in one partition. ``drop``: columns that only the
+    order needs; they go once rows are sorted. Null keys are one group; floats as keys are not supported. An empty table
+    gives none.
     """
     spark, sums, by = rows.sparkSession, dict(sums or {}), list(by)
     work = work or Workspace(spark, "order")
+    kept = [c for c in rows.columns if c not in drop]
     taken = {c.lower() for c in rows.columns}
     if clash := [c for c in [into, *sums] if c.lower() in taken]:
         raise ValueError(f"columns there already: {clash}")
@@ -91,9 +94,9 @@ def numbered(
     prepared = rows.withColumns({k: v.cast("long") for k, v in sums.items()}) if sums else rows
     lie = [*by, *order]
     # Range bounds by the group and then the order; the sort inside partitions is by both.
-    sorted_rows = prepared.repartitionByRange(*lie).sortWithinPartitions(*lie)
+    sorted_rows = prepared.repartitionByRange(*lie).sortWithinPartitions(*lie).drop(*drop)
     added = [T.StructField(c, T.LongType()) for c in (into, *sums, *marks[:2])] + [T.StructField(marks[2], T.BooleanType())]
-    schema = T.StructType(list(rows.schema.fields) + added)
+    schema = T.StructType([rows.schema[c] for c in kept] + added)
     walked = work.cut(sorted_rows.mapInArrow(_stretches(by, into, list(sums), marks), schema))
     counted = [into, *sums]
     tail = F.max_by(F.struct(*(F.col(c).alias(f"v{k}") for k, c in enumerate(counted)), *(F.col(c).alias(f"k{k}") for k, c in enumerate(by))), "_place")
@@ -113,7 +116,7 @@ def numbered(
     table = spark.createDataFrame(shifts, "_part long" + "".join(f", {n} long" for n in names))
     out = walked.join(F.broadcast(table), "_part")
     shifted = {c: F.col(c) + F.when(F.col("_opens"), F.col(n)).otherwise(0) for c, n in zip(counted, names)}
-    return out.withColumns(shifted).select(*rows.columns, *counted)
+    return out.withColumns(shifted).select(*kept, *counted)
 
 
 def hot_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", total: int | None = None) -> DataFrame:

@@ -75,3 +75,9 @@ def test_joins_on_hot_keys_lose_nothing(spark, monkeypatch):
     for how in ("inner", "left"):
         got = order.hot_join(rows, table, ["g"], how).select("g", "k", "x")
         assert sorted(got.collect(), key=str) == sorted(rows.join(table, ["g"], how).select("g", "k", "x").collect(), key=str)
+
+
+def test_columns_of_the_order_alone_go(spark):
+    rows = spark.createDataFrame([("a", 2, "y"), ("a", 2, "x"), ("a", None, "z")], "g string, k long, t string")
+    got = order.numbered(rows, ["g"], [F.asc_nulls_first("k"), "t"], drop=["t"])
+    assert got.columns == ["g", "k", "n"] and [tuple(r) for r in got.orderBy("n").collect()] == [("a", None, 1), ("a", 2, 2), ("a", 2, 3)]
