@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import ann, chat, decontam, langid, licences, lm, packing, pii, quality, simhash, tokalign, toxicity
+from . import ann, chat, decontam, langid, licences, lm, packing, pii, quality, simhash, tokalign, toxicity, trie
 from .common import id_mod, table
 
 
@@ -72,6 +72,11 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations; null roles and texts are empty, null ids take no part."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_tokalign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the tokens of two tokenizers for every document; null and empty texts have zeros."""
     return tokalign.digest(_documents(spark, sf_dir))
@@ -87,4 +92,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict:
-    return {"op4_chat": chat.ORACLE, "op10_decontam": decontam.ORACLE}
+    return {"op4_chat": chat.ORACLE, "op10_decontam": decontam.ORACLE, "op11_trie": trie.ORACLE}
