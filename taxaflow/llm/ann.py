@@ -33,6 +33,8 @@ SEED = 7
 LEAF = 128
 #: Rows verified before the test is asked again, at first; then twice as many each time.
 CHUNK = 128
+#: In place of a second id where a vector has one only.
+NONE = (1 << 63) - 1
 #: Rows of a cell at least, and cells at most: the boxes of all cells are broadcast.
 CELL_ROWS = 20_000
 MAX_CELLS = 1 << 16
@@ -92,7 +94,9 @@ class Cuts:
 class Tree:
     """The lower kd-tree of one cell: leaves of at most ``LEAF`` points with their boxes."""
 
-    def __init__(self, vectors: np.ndarray, projected: np.ndarray, keys: np.ndarray) -> None:
+    def __init__(self, vectors: np.ndarray, projected: np.ndarray, keys: np.ndarray, ids: np.ndarray | None = None) -> None:
+        """``ids``: the two smallest ids of each point (``NONE`` if there is no second); by default its key alone."""
+        ids = np.stack([keys, np.full(len(keys), NONE)], axis=1) if ids is None else ids
         parts, todo = [], [np.arange(len(vectors))]
         while todo:
             at = todo.pop()
@@ -104,7 +108,7 @@ class Tree:
             todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
         order = np.concatenate(parts) if parts else np.empty(0, np.int64)
         self.first = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-        self.vectors, self.projected, self.keys = vectors[order], projected[order], keys[order]
+        self.vectors, self.projected, self.keys, self.ids = vectors[order], projected[order], keys[order], ids[order]
         self.square = (self.projected * self.projected).sum(axis=1)
         self.low = np.array([projected[p].min(axis=0) for p in parts])
         self.high = np.array([projected[p].max(axis=0) for p in parts])
@@ -114,23 +118,31 @@ class Tree:
     def _rows(self, leaves: np.ndarray) -> np.ndarray:
         return np.concatenate([np.arange(self.first[i], self.first[i + 1]) for i in leaves])
 
-    def search(self, query: np.ndarray, at: np.ndarray, k: int, ratio: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest (distance, key), nearest first, ties to the smaller key; ``bound`` is a known kth distance."""
+    def search(self, query: np.ndarray, at: np.ndarray, k: int, ratio: float, bound: float, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest (distance, key), nearest first, ties to the smaller id; ``bound`` is a known kth distance.
+
+        Points that have no id but ``own`` take no part, and ties go by the smallest id that is another.
+        """
         gap = np.maximum(np.maximum(self.low - at, at - self.high), 0.0)
         reach = (gap * gap).sum(axis=1)
-        found, names = np.empty(0), np.empty(0, np.int64)
+        found, names, least = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
 
         def verify(rows: np.ndarray) -> None:
-            nonlocal found, names, bound
+            nonlocal found, names, least, bound
+            other = self.ids[rows, 0]
+            if own is not None:
+                other = np.where(other == own, self.ids[rows, 1], other)
+                rows, other = rows[other != NONE], other[other != NONE]
             self.verified += len(rows)
             true = self.vectors[rows] - query
             near = np.einsum("ij,ij->i", true, true)
             if len(found) == k:
                 close = near <= found[-1] * found[-1]
-                rows, near = rows[close], near[close]
+                rows, near, other = rows[close], near[close], other[close]
             found, names = np.concatenate((found, np.sqrt(near))), np.concatenate((names, self.keys[rows]))
-            best = np.lexsort((names, found))[:k]
-            found, names = found[best], names[best]
+            least = np.concatenate((least, other))
+            best = np.lexsort((names, least, found))[:k]
+            found, names, least = found[best], names[best], least[best]
             if len(found) == k:
                 bound = min(bound, found[-1])
 
@@ -159,17 +171,21 @@ class Tree:
 
 
 def _answers(k: int, ratio: float):
-    """Rows sorted by cell, vectors before queries -> (query, rep, score); one cell and one batch in memory."""
+    """Rows sorted by cell, vectors before queries -> (query, rep, score); one cell and one batch in memory.
+
+    ``name, id, second``: of a vector its rep and two smallest ids, of a query its number and own id.
+    """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, parts, tree = None, [], None
         for batch in batches:
             key, is_query = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            name, bound = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            name, bound, *ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5))
             vectors, points = (
                 batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                for i in (4, 5)
+                for i in (6, 7)
             )
+            ids = np.stack(ids, axis=1)
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(is_query.astype(np.int8)) != 0)) + 1
             out: list[tuple[np.ndarray, ...]] = []
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
@@ -178,13 +194,13 @@ def _answers(k: int, ratio: float):
                 if key[a] != cell:
                     cell, parts, tree = key[a], [], None
                 if not is_query[a]:
-                    parts.append((vectors[a:b], points[a:b], name[a:b]))
+                    parts.append((vectors[a:b], points[a:b], name[a:b], ids[a:b]))
                     continue
                 if tree is None and parts:
                     tree = Tree(*(np.concatenate(x) for x in zip(*parts)))
                     parts = []
                 for i in range(a, b) if tree is not None else ():
-                    found, names = tree.search(vectors[i], points[i], k, ratio, bound[i])
+                    found, names = tree.search(vectors[i], points[i], k, ratio, bound[i], ids[i, 0])
                     out.append((np.full(len(names), name[i]), names, found))
             if out:
                 q, r, s = (np.concatenate(x) for x in zip(*out))
@@ -209,8 +225,9 @@ def search(
 
     ``vectors(vec_id, embedding)``; ``is_query`` is a condition on vec_id. Rows that ``usable`` refuses take no
     part. Vectors of different lengths have no distance: those of each length are searched among themselves, one
-    length after the other. Repeated ids are rows of their own; an id is never its own neighbour; ties go to the
-    smaller vec_id. Fewer candidates than k: all of them. Other columns are ignored. Empty: empty.
+    length after the other. Repeated ids are rows of their own, as queries and as candidates: every row of a query id
+    has ranks 1 to k of its own, and rows that repeat a candidate's id and vector take a rank each; an id is never its
+    own neighbour; ties go to the smaller vec_id. Fewer candidates than k: all of them. Other columns are ignored. Empty: empty.
     """
     work = work or Workspace(vectors.sparkSession, "ann")
     good = usable(vectors)
@@ -238,40 +255,46 @@ def _search(good: DataFrame, is_query, size: int, n: int, k: int, stop: float, w
         return pa.array(cuts.cells(p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1)))
 
     doubles = T.ArrayType(T.DoubleType())
-    ranked = good.withColumn("_r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id")))
-    reps = ranked.where(F.col("_r") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    reps = reps.select(F.get("ids", F.lit(0)).alias("rep"), "ids", "embedding", F.arrow_udf(project, doubles)("embedding").alias("point"))
+    # Equal vectors are indexed once, with their k + 1 smallest ids (one may be the query's own) and up to k rows of each.
+    single = good.groupBy("embedding", "vec_id").agg(F.count("*").alias("copies"))
+    ranked = single.withColumn("_r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
+    holds = F.struct("vec_id", F.least("copies", F.lit(k)).cast("int").alias("copies"))
+    reps = ranked.groupBy("embedding").agg(F.sort_array(F.collect_list(holds)).alias("ids"))
+    reps = reps.select(
+        F.monotonically_increasing_id().alias("rep"), "ids", "embedding", F.arrow_udf(project, doubles)("embedding").alias("point"),
+        F.get("ids", F.lit(0)).vec_id.alias("first"), F.coalesce(F.get("ids", F.lit(1)).vec_id, F.lit(NONE)).alias("second"),
+    )
     indexed = work.cut(reps.withColumn("cell", F.arrow_udf(cell_of, T.LongType())("point")))
     edges = [f(F.get("point", F.lit(i))).alias(f"{name}{i}") for i in range(dims) for name, f in (("low", F.min), ("high", F.max))]
     boxes = sorted(indexed.groupBy("cell").agg(*edges).collect())  # at most MAX_CELLS rows
     cells = np.array([b["cell"] for b in boxes])
     low, high = (np.array([[b[f"{name}{i}"] for i in range(dims)] for b in boxes]) for name in ("low", "high"))
 
-    asked = good.where(is_query).join(indexed.select("rep", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "rep")
-    asked = work.cut(asked)
-    queries = indexed.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "embedding", "point", "cell")
-    queries = work.cut(queries)
-    answers = _answers(k + 1, ratio)
+    asked = good.where(is_query).groupBy("vec_id", "embedding").agg(F.count("*").alias("times"))
+    asked = asked.join(indexed.select("rep", "embedding", "point", "cell"), "embedding")
+    asked = work.cut(asked.select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), "times", "embedding", "point", "cell"))
+    answers = _answers(k, ratio)
 
     def visit(to: DataFrame) -> DataFrame:
-        """``to(rep, cell, bound)``, written -> found (query, rep, score) in those cells."""
+        """``to(query, cell, bound)``, written -> found (query, rep, score) in those cells."""
         copies = to.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("copies"))
         copies = F.broadcast(copies)  # at most MAX_CELLS rows
         own = indexed.join(copies, "cell").withColumn("salt", F.explode(F.sequence(F.lit(1), "copies")))
-        ask = to.join(queries.drop("cell"), "rep").join(copies, "cell")
-        ask = ask.withColumn("salt", 1 + F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int"))
-        columns = lambda q, bound: (
-            (F.col("cell") * (1 << 20) + F.col("salt")).alias("key"), F.lit(q).alias("is_query"), F.col("rep").alias("name"), bound.alias("bound"), "embedding", "point",
+        ask = to.join(asked.drop("cell"), "query").join(copies, "cell")
+        ask = ask.withColumn("salt", 1 + F.pmod(F.xxhash64("query"), F.col("copies")).cast("int"))
+        columns = lambda q, name, bound, *ids: (
+            (F.col("cell") * (1 << 20) + F.col("salt")).alias("key"), F.lit(q).alias("is_query"), F.col(name).alias("name"), bound.alias("bound"), *ids, "embedding", "point",
         )
-        both = own.select(*columns(False, F.lit(0.0))).union(ask.select(*columns(True, F.col("bound"))))
+        both = own.select(*columns(False, "rep", F.lit(0.0), "first", "second")).union(ask.select(*columns(True, "query", F.col("bound"), "query_id", F.lit(NONE))))
         return both.repartition("key").sortWithinPartitions("key", "is_query").mapInArrow(
             answers, "query long, rep long, score double"
         )
 
-    first = work.cut(visit(queries.select("rep", "cell", F.lit(float("inf")).alias("bound"))))
+    first = work.cut(visit(asked.select("query", "cell", F.lit(float("inf")).alias("bound"))))
     found = first
     if len(cells) > 1:
-        kth = first.groupBy("query").agg(F.when(F.count("*") > k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
+        kth = first.groupBy("query").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
+        kth = asked.join(kth, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
 
         def reachable(p: pa.Array, home: pa.Array, bound: pa.Array) -> pa.Array:
             points, out = p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1), []
@@ -281,14 +304,15 @@ def _search(good: DataFrame, is_query, size: int, n: int, k: int, stop: float, w
             return pa.array(out, pa.list_(pa.int64()))
 
         other = F.explode(F.arrow_udf(reachable, T.ArrayType(T.LongType()))("point", "cell", "bound"))
-        more = work.cut(queries.join(kth, queries.rep == kth["query"]).select("rep", other.alias("cell"), "bound"))
+        more = work.cut(kth.select("query", other.alias("cell"), "bound"))
         found = first.union(visit(more))
-    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("score", "rep"))).where(F.col("_r") <= k + 1)
-    named = best.join(indexed.select("rep", "ids"), "rep").select(F.col("query").alias("_q"), "score", F.explode("ids").alias("vec_id"))
-    hits = asked.join(named, asked.rep == named["_q"]).where("query_id <> vec_id")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (
-        hits.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    # Ids of a vector that are not the query's own; a vector's place among equally near ones is that of the least of them.
+    named = found.join(indexed.select("rep", "ids"), "rep").join(asked.select("query", "query_id", "times"), "query")
+    named = named.withColumn("ids", F.filter("ids", lambda x: x.vec_id != F.col("query_id")))
+    nearest = Window.partitionBy("query").orderBy("score", F.get("ids", F.lit(0)).vec_id, "rep")
+    best = named.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k)
+    hits = best.select("query", "query_id", "times", "score", F.explode("ids").alias("x")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "x.copies")))
+    order = Window.partitionBy("query").orderBy("score", "x.vec_id", "_copy")
+    ranks = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranks = ranks.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return ranks.select("query_id", "rank", F.col("x.vec_id").alias("vec_id"), "score")

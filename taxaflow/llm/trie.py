@@ -265,8 +265,8 @@ turns AS (SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coale
     FROM conversations WHERE conv_id IS NOT NULL),
 ids AS (SELECT DISTINCT c FROM turns),
 convs AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
-    list_transform(string_split(CAST(c AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))),
-    (a, b) -> xor(a >> 8, crc[CAST(xor(a, b) & 255 AS INT) + 1])), 4294967295) % 6 AS h FROM ids, t),
+    list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: xor(a >> 8, crc[CAST(xor(a, b) & 255 AS INT) + 1])), 4294967295) % 6 AS h FROM ids, t),
 head AS (SELECT convs.c, role, text, pos AS d FROM convs JOIN turns ON turns.c = base AND pos <= h),
 nb AS (SELECT convs.c, h, count(head.d) AS nb FROM convs LEFT JOIN head USING (c) GROUP BY ALL),
 built AS (SELECT * FROM head UNION ALL

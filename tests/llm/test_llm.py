@@ -427,6 +427,25 @@ def test_neighbours_of_copies_and_odd_vectors(spark):
     assert abs(ann.chi_square_cdf(ann.stop_ratio(0.999)) - 0.999) < 1e-9
 
 
+def test_neighbours_of_repeated_query_rows(spark):
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.integers(-2, 3, 3).astype(float).tolist() for i in range(1, 220)}
+    vectors = {i: v if any(v) else [1.0, 0.0, 0.0] for i, v in vectors.items()}
+    rows = list(vectors.items()) + [(100, vectors[100])]  # two equal rows
+    rows += [(300, [5.0, 5.0, 5.0])] * 12 + [(777, [5.0, 5.0, 5.0])]  # twelve, and another id on the same vector
+    rows += [(400, [float(j), 0.5, 0.25]) for j in range(14)] * 2  # a query id with more vectors than are asked for, near each other
+    rows += [(401, [2.0, 0.5, 0.25])] * 3 + [(400, [5.0, 5.0, 5.0])]  # a candidate in three rows, a query on another's vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for cell in (ann.CELL_ROWS, 40):
+        keep, ann.CELL_ROWS = ann.CELL_ROWS, cell
+        try:
+            found = ann.search(df, F.pmod("vec_id", F.lit(100)) == 0, stop=1 - 1e-12)
+            got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found.collect())
+        finally:
+            ann.CELL_ROWS = keep
+        assert got == _brute_neighbours(rows)
+
+
 def _verified(points, k=11, dims=ann.DIMS):
     """Share of rows whose true distance is taken, and recall of the k nearest, over a hundredth of the points as queries."""
     projected = points @ ann.directions(points.shape[1], dims)
