@@ -64,4 +64,5 @@ CHUNK_TOKENS = 1024
 BODY_TOKENS = 1022
 WINDOW_BP = 10_000
 MAX_N_SHARE = 0.01
+MAX_DRAWS = 1000
 MESSAGES = 50

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import average_ranks, hot_join, medians
 from .selection import small
 
 
@@ -15,11 +16,6 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def average_rank(value: Column, group: Sequence[str], by: str) -> Column:
-    """Rank with ties averaged, inside each group (species cardinality: aggregate first)."""
-    return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, by)) - 1) / 2.0
-
-
 def species_predictions(rows: DataFrame, species: str, label: str, pred: str, keep: Sequence[str] = ()) -> DataFrame:
     """Per species the label, mean and sample sd of the predictions and their number; ``keep`` columns by minimum."""
     return rows.groupBy(species).agg(
@@ -41,12 +37,12 @@ def finite(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def species_metrics(species: DataFrame, label: str, pred: str = "pred", group: Sequence[str] = ()) -> DataFrame:
-    """Species MAE in logarithms and in years, Pearson in years, Spearman; null where undefined."""
+    """Species MAE in logarithms and in years, Pearson in years, Spearman; null where undefined.
+
+    Ranks come from a distributed order of the different values; null labels or predictions have none.
+    """
     keys = list(group)
-    ranked = species
-    if not keys:
-        ranked, keys = species.withColumn("_all", F.lit(1)), ["_all"]
-    ranked = ranked.withColumn("_x", average_rank(F.col(label), keys, label)).withColumn("_y", average_rank(F.col(pred), keys, pred))
+    ranked = average_ranks(average_ranks(species, keys, label, "_x"), keys, pred, "_y")
     years, guess = F.pow(F.lit(10.0), F.col(label)), F.pow(F.lit(10.0), F.col(pred))
     out = ranked.groupBy(*keys).agg(
         F.count("*").alias("n_species"),
@@ -58,7 +54,7 @@ def species_metrics(species: DataFrame, label: str, pred: str = "pred", group: S
         F.stddev_samp(label).alias("label_sd"),
         F.stddev_samp(pred).alias("pred_sd"),
     )
-    return out.drop("_all")
+    return out
 
 
 def class_breakdown(species: DataFrame, class_: str, label: str, pred: str, bases: Sequence[str]) -> DataFrame:
@@ -143,8 +139,11 @@ def split_report(rows: DataFrame, split: str, species: str, family: str, class_:
 
 
 def gene_report(rows: DataFrame, species: str, values: Sequence[str]) -> DataFrame:
-    """Genes per species and exact medians."""
-    return rows.groupBy(species).agg(F.count("*").alias("n_genes"), *(F.median(v).alias(f"median_{v}") for v in values))
+    """Genes per species and exact medians, picked by rank out of distributed counts of values."""
+    out = rows.groupBy(species).agg(F.count("*").alias("n_genes"))
+    for v in values:
+        out = hot_join(out, medians(rows, [species], v, f"median_{v}"), [species], "left", nulls=True)
+    return out
 
 
 # ---------------------------------------------------------------- logs
@@ -169,13 +168,13 @@ def best_record(log: DataFrame, run: str, step: str, value: str) -> DataFrame:
 
 def run_summary(log: DataFrame, run: str, step: str, loss: str, speed: str) -> DataFrame:
     """First, last and least loss, the exact median speed and the number of records of each run."""
-    return log.groupBy(run).agg(
+    out = log.groupBy(run).agg(
         F.min_by(loss, step).alias("first_loss"),
         F.max_by(loss, step).alias("last_loss"),
         F.min(loss).alias("min_loss"),
-        F.median(speed).alias("median_speed"),
         F.count("*").alias("n_records"),
     )
+    return hot_join(out, medians(log, [run], speed, "median_speed"), [run], "left", nulls=True)
 
 
 def loss_at(log: DataFrame, run: str, step: str, loss: str, marks: DataFrame, elapsed: str | None = None) -> DataFrame:

@@ -119,21 +119,31 @@ def numbered(
     return out.withColumns(shifted).select(*kept, *counted)
 
 
-def hot_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", total: int | None = None) -> DataFrame:
+def _joined(rows: DataFrame, table: DataFrame, on: list[str], how: str, nulls: bool) -> DataFrame:
+    if not nulls:
+        return rows.join(table, on, how)
+    theirs = table.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    return rows.join(theirs, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on], how).drop(*(f"_on_{c}" for c in on))
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", total: int | None = None, nulls: bool = False) -> DataFrame:
     """``rows`` joined to ``table`` (one row a key), where one key may have a large share of ``rows``.
 
     Keys with more than a ``HOT``-th of all rows are counted first; there can be no more than ``HOT``, so their part of
-    the table is broadcast, and only the other keys are shuffled. ``how``: inner or left. Null keys match nothing.
+    the table is broadcast, and only the other keys are shuffled. ``how``: inner or left. Null keys match nothing, or
+    each other with ``nulls``.
     """
     on = list(on)
     counts = rows.groupBy(*on).count()
     total = rows.count() if total is None else total
     least = max(total // HOT, 1000)
     if total <= least:
-        return rows.join(table, on, how)
+        return _joined(rows, table, on, how, nulls)
     hot = counts.where(F.col("count") > least).select(*on)
-    known = rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), on, "left_semi")), on, how)
-    return known.unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(table, on, how))
+    hot = F.broadcast(hot)
+    theirs = F.broadcast(_joined(table, hot, on, "left_semi", nulls))
+    known = _joined(_joined(rows, hot, on, "left_semi", nulls), theirs, on, how, nulls)
+    return known.unionByName(_joined(_joined(rows, hot, on, "left_anti", nulls), table, on, how, nulls))
 
 
 def average_ranks(rows: DataFrame, by: Sequence[str], value: str, into: str, work: Workspace | None = None) -> DataFrame:
@@ -145,4 +155,26 @@ def average_ranks(rows: DataFrame, by: Sequence[str], value: str, into: str, wor
     known = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_ties"))
     ranked = numbered(known, by, [value], "_at", {"_upto": F.col("_ties")}, work)
     ranks = ranked.select(*by, value, (F.col("_upto") - (F.col("_ties") - 1) / 2.0).alias(into))
-    return hot_join(rows, ranks, [*by, value], "left")
+    return hot_join(rows, ranks, [*by, value], "left", nulls=bool(by))
+
+
+def sized(rows: DataFrame, by: Sequence[str], into: str) -> DataFrame:
+    """``rows`` with the number of rows of their group; null keys are a group."""
+    return hot_join(rows, rows.groupBy(*by).agg(F.count("*").alias(into)), by, "left", nulls=True)
+
+
+def medians(rows: DataFrame, by: Sequence[str], value: str, into: str = "median", work: Workspace | None = None) -> DataFrame:
+    """``by, into``: the exact median of each group's values as a double, the mean of the middle two of an even number.
+
+    Equal values are counted first, running counts are distributed, and only the rows of the middle ranks are kept: no
+    task holds a group's values. Null values are left out; a group without any has no row.
+    """
+    by = list(by)
+    known = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_ties"))
+    counts = numbered(known, by, [value], "_at", {"_upto": F.col("_ties")}, work)
+    totals = counts.groupBy(*by).agg(F.max("_upto").alias("_total"))
+    both = hot_join(counts, totals, by, nulls=True) if by else counts.crossJoin(F.broadcast(totals))  # one row
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_ties") < rank)
+    middle = both.where(holds(low) | holds(high)).groupBy(*by)
+    return middle.agg(((F.min(value) + F.max(value)) / 2.0).cast("double").alias(into))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scalars
+from .order import numbered, sized
 
 #: A side is broadcast explicitly only if the optimiser puts its whole plan below so many bytes.
 BROADCAST_BYTES = 16 << 20
@@ -237,19 +238,18 @@ def round_robin(df: DataFrame, group: str, key: str, done: Column, n: int, seed:
     order = [scalars.seeded_key(seed, F.col(key)), F.col(key)]
     turned = df.withColumn("_done", F.coalesce(done, F.lit(False)))
     turned = turned.withColumn("_turn", F.row_number().over(Window.partitionBy(group, "_done").orderBy(*order)))
+    turned = turned.where(F.col("_turn") <= n)  # no more of a group are ever taken, and Spark limits before the shuffle
     return turned.orderBy(F.col("_done").desc(), "_turn", F.col(group).asc_nulls_last(), key).limit(n).drop("_done", "_turn")
 
 
 def systematic(df: DataFrame, group: str, key: str, step: int) -> DataFrame:
     """Every ``step``-th row of each group in the order of the key."""
-    at = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
-    return df.withColumn("_at", at).where(F.col("_at") % step == 0).drop("_at")
+    return numbered(df, [group], [key], "_at").where((F.col("_at") - 1) % step == 0).drop("_at")
 
 
 def block_sample(df: DataFrame, group: str, order: Sequence[str], n: int, blocks: int) -> DataFrame:
     """``n`` rows of each group as ``blocks`` disjoint runs spread evenly over its order (all rows if fewer)."""
-    w = Window.partitionBy(group)
-    at = df.withColumn("_at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_size", F.count("*").over(w))
+    at = sized(numbered(df, [group], list(order), "_at"), [group], "_size").withColumn("_at", F.col("_at") - 1)
     run = -(-n // blocks)
     block = F.least(F.floor(F.col("_at") * blocks / F.col("_size")), F.lit(blocks - 1))
     starts = F.ceil(block * F.col("_size") / blocks)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.scalars import seeded_key, seeded_unit
+from ..workspace import Workspace
+from .order import hot_join, numbered
 
 
 def reverse_complement(s: Column) -> Column:
@@ -83,26 +84,27 @@ def gene_locus(start: Column, end: Column, strand: Column, limit: int) -> Column
 
 def offsets(records: DataFrame, unit: str, order: str, length: str) -> DataFrame:
     """Offset of each record when those of a unit are laid end to end."""
-    return records.withColumn("offset", F.sum(length).over(Window.partitionBy(unit).orderBy(order)) - F.col(length))
+    out = numbered(records, [unit], [order], "_at", {"offset": F.col(length)})
+    return out.withColumn("offset", F.col("offset") - F.col(length)).drop("_at")
 
 
 def valid_starts(spans: DataFrame, unit: str, order: str, length: str, window: int) -> DataFrame:
     """Spans with ``cum_lo, cum_hi``: numbered starts of windows that fit; spans that are too short have none."""
     n = F.greatest(F.col(length) - window + 1, F.lit(0))
-    upto = F.sum(n).over(Window.partitionBy(unit).orderBy(order))
-    return spans.withColumn("cum_hi", upto).withColumn("cum_lo", upto - n).where("cum_hi > cum_lo")
+    upto = numbered(spans, [unit], [order], "_at", {"cum_hi": n}).drop("_at")
+    return upto.withColumn("cum_lo", F.col("cum_hi") - n).where("cum_hi > cum_lo")
 
 
 def place_draws(draws: DataFrame, spans: DataFrame, unit: str) -> DataFrame:
     """Each drawn position in its span, and the ``start`` inside it.
 
-    Both sides are merged in one ordered window per unit: a draw takes the last span that begins at or before it.
+    A draw takes the last span that begins at or before it. Both sides are merged in one distributed order: the running
+    number of spans at a draw is the number of its span, and an equi-join fetches that.
     """
     a = spans.select(unit, F.col("cum_lo").alias("_at"), F.lit(0).alias("_kind"), F.struct(*[c for c in spans.columns if c != unit]).alias("_span"))
     b = draws.select(unit, F.col("position").alias("_at"), F.lit(1).alias("_kind"), F.struct(*[c for c in draws.columns if c != unit]).alias("_draw"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    last = F.last("_span", ignorenulls=True).over(Window.partitionBy(unit).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    placed = both.withColumn("_span", last).where("_kind = 1")
+    both = numbered(a.unionByName(b, allowMissingColumns=True), [unit], ["_at", "_kind"], "_n", {"_no": F.col("_kind") == 0})
+    placed = hot_join(both.where("_kind = 1").select(unit, "_no", "_draw"), both.where("_kind = 0").select(unit, "_no", "_span"), [unit, "_no"])
     return placed.select(unit, "_draw.*", "_span.*").withColumn("start", F.col("position") - F.col("cum_lo"))
 
 
@@ -125,6 +127,47 @@ def token_windows(blocks: DataFrame, unit: str, order: Sequence[str], ids: str,
     return out.select(unit, "chunk_id", "_block.*", "start", with_specials(F.slice("_ids", F.col("start") + 1, F.lit(body))).alias("input_ids"))
 
 
+def sampled_windows(
+    block_rows: DataFrame, unit: str, record: str, block: int, window: int, n: int, *, seed: int = 0,
+    most: float = fixed.MAX_N_SHARE, tries: int = fixed.MAX_DRAWS, work: Workspace | None = None,
+) -> DataFrame:
+    """``unit, slot, draw, record, start, seq``: ``n`` random windows of each unit with few unknown bases.
+
+    ``block_rows(unit, record, block_start, seq)``: sequences in blocks of ``block`` letters, starts at its multiples.
+    Every start of a window that lies inside a record is equally likely. Slot ``s`` of a unit draws until a window has a
+    share of unknown bases of at most ``most``: draw ``d`` is fixed by seed, unit, slot and ``d``, so windows depend
+    neither on rows nor on each other. Rounds of more and more draws (4, then four times as many) are made only for
+    slots that are still open: drawn, placed in records, fetched across the borders of blocks, judged. A unit without a
+    record of ``window`` letters, or with a slot that is open after ``tries`` draws, raises an error that names it.
+    """
+    work = work or Workspace(block_rows.sparkSession, "windows")
+    sizes = block_rows.groupBy(unit, record).agg(F.sum(F.length("seq")).alias("_n"))
+    spans = work.cut(valid_starts(sizes, unit, record, "_n", window).select(unit, record, "cum_lo", "cum_hi"))
+    totals = spans.groupBy(unit).agg(F.max("cum_hi").alias("_total"))
+    short = block_rows.select(unit).distinct().join(totals, unit, "left_anti")
+    if names := [r[unit] for r in short.orderBy(unit).limit(fixed.MESSAGES).collect()]:
+        raise ValueError(f"no sequence of at least {window} letters: {names}")
+    slots = totals.select(unit, "_total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    done, low, high = None, 0, min(4, tries)
+    while low < tries:
+        drawn = slots.withColumn("draw", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        position = F.floor(seeded_unit(seed, F.col(unit), F.col("slot"), F.col("draw")) * F.col("_total"))
+        placed = place_draws(drawn.select(unit, "slot", "draw", position.alias("position")), spans, unit)
+        segments = placed.select(unit, record, "slot", "draw", "start", (F.col("start") + window).alias("end"), F.lit("+").alias("strand"))
+        pieces = segment_pieces(segments, block_rows, block, [unit, record])
+        read = spliced(pieces, [unit, "slot", "draw", record, "start"], "strand").drop("strand").withColumnRenamed("cds", "seq")
+        few = read.where(n_share(F.col("seq")) <= most)
+        first = few.withColumn("_r", F.row_number().over(Window.partitionBy(unit, "slot").orderBy("draw"))).where("_r = 1").drop("_r")
+        found = work.cut(first)
+        done = found if done is None else done.unionByName(found)
+        slots = work.cut(slots.join(found.select(unit, "slot"), [unit, "slot"], "left_anti"))
+        if not slots.limit(1).count():
+            return done
+        low, high = high, min(high * 4, tries)
+    names = [r[unit] for r in slots.select(unit).distinct().orderBy(unit).limit(fixed.MESSAGES).collect()]
+    raise ValueError(f"no window with a share of unknown bases of at most {most} in {tries} draws: {names}")
+
+
 def good_windows(candidates: DataFrame, unit: str, sequence: str, n: int, most: float = fixed.MAX_N_SHARE) -> DataFrame:
     """The first ``n`` drawn windows of each unit with a share of unknown bases of at most ``most``."""
     few = candidates.where(n_share(F.col(sequence)) <= most)
@@ -186,26 +229,30 @@ def shuffled(ids: Column, seed: int, key: Column) -> Column:
 def budget_batches(df: DataFrame, key: str, length: str, budget: int, bucket: int = 8192, seed: int = 0, windows: str | None = None) -> DataFrame:
     """``key, bucket, batch``: batches of similar lengths whose longest times windows stays within a token budget.
 
-    Rows are dealt into buckets of about ``bucket`` rows by hash, so a bucket is bounded; inside one they are
-    taken by falling length (ties by key) and a batch closes when one more row would not fit. A row counts as its
-    ``windows`` (1 where not given), and alone may exceed the budget.
+    Rows in a seeded order are cut into buckets of ``bucket`` rows; inside one they are taken by rising length (ties by
+    key) and a batch closes when one more row would not fit. A row counts as its ``windows`` (1 where not given), and
+    alone may exceed the budget. The fold over a bucket's sorted array keeps where batches begin and nothing else.
     """
-    n = max(1, -(-df.count() // bucket))
     wins = F.col(windows) if windows else F.lit(1)
-    dealt = df.select(key, F.col(length).cast("long").alias("_l"), wins.cast("long").alias("_w"), F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)).alias("bucket"))
-
-    def close(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_l", key], ascending=[False, True])
-        batch, longest, held, out = 0, 0, 0, []
-        for size, count in zip(rows["_l"].tolist(), rows["_w"].tolist()):
-            if held and longest * (held + count) > budget:
-                batch, held = batch + 1, 0
-            longest = longest if held else size
-            held += count
-            out.append(batch)
-        return rows[[key, "bucket"]].assign(batch=out)
-
-    return dealt.groupBy("bucket").applyInPandas(close, f"{key} {dict(df.dtypes)[key]}, bucket long, batch int")
+    rows = df.select(key, F.col(length).cast("long").alias("l"), wins.cast("long").alias("w"))
+    placed = numbered(rows, [], [seeded_key(seed, F.col(key)), key], "_at")
+    bucket_of = F.floor((F.col("_at") - 1) / bucket).alias("bucket")
+    held = placed.groupBy(bucket_of).agg(F.sort_array(F.collect_list(F.struct("l", F.col(key).alias("k"), "w"))).alias("rows"))
+    state = lambda longest, n, at, starts: F.struct(longest.alias("longest"), n.alias("n"), at.alias("at"), starts.alias("starts"))
+    nought = F.lit(0).cast("long")
+
+    def step(s: Column, x: Column) -> Column:
+        closes = (s.n == 0) | (F.greatest(s.longest, x.l) * (s.n + x.w) > budget)
+        return F.when(closes, state(x.l, x.w, s.at + 1, F.concat(s.starts, F.array(s.at)))).otherwise(
+            state(F.greatest(s.longest, x.l), s.n + x.w, s.at + 1, s.starts)
+        )
+
+    starts = F.aggregate("rows", state(nought, nought, F.lit(0), F.array().cast("array<int>")), step, lambda s: s.starts)
+    cut = held.withColumn("starts", starts)
+    cut = cut.select("bucket", "rows", "starts", F.posexplode("starts").alias("batch", "first"))
+    stop = F.coalesce(F.get("starts", F.col("batch") + 1), F.size("rows"))
+    out = cut.select("bucket", "batch", F.explode(F.slice("rows", F.col("first") + 1, stop - F.col("first"))).alias("x"))
+    return out.select(F.col("x.k").alias(key), "bucket", "batch")
 
 
 def chunk_budget(rows: DataFrame, unit: str, tokens: str, body: int = fixed.BODY_TOKENS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import seeded_key, seeded_unit
+from .order import numbered, sized
 from .selection import small
 
 
@@ -49,19 +50,21 @@ def family_split(species: DataFrame, *, family: str, strata: list[str], test: fl
 
 def record_split(records: DataFrame, *, group: str, key: str, share: float, unseen: Column | None = None, seed: int = 0) -> DataFrame:
     """``split``: rows of unseen groups ``val_unseen``; of others the first ``round(n * share)`` ``val``, the rest ``train``."""
-    at = F.row_number().over(Window.partitionBy(group).orderBy(seeded_key(seed, F.col(key)), key))
-    size = F.count("*").over(Window.partitionBy(group))
-    val = at <= F.bround(size * share, 0)
+    placed = sized(numbered(records, [group], [seeded_key(seed, F.col(key)), key], "_at"), [group], "_size")
+    val = F.col("_at") <= F.bround(F.col("_size") * share, 0)
     split = F.when(F.coalesce(unseen, F.lit(False)) if unseen is not None else F.lit(False), "val_unseen").when(val, "val").otherwise("train")
-    return records.withColumn("split", split)
+    return placed.withColumn("split", split).drop("_at", "_size")
 
 
 def permuted_genomes(species: DataFrame, key: str, genome: str, seed: int = 0) -> DataFrame:
-    """A control: species in one seeded cycle, each with the next one's genome (``permuted``). Species cardinality."""
-    everything = Window.orderBy(seeded_key(seed, F.col(key)), key)
-    following = F.lead(genome).over(everything)
-    first = F.first(genome).over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return species.withColumn("permuted", F.coalesce(following, first))
+    """A control: species in one seeded cycle, each with the next one's genome (``permuted``).
+
+    Numbers of a distributed order are joined to the next number, and the last row to the first.
+    """
+    placed = numbered(species, [], [seeded_key(seed, F.col(key)), key], "_at")
+    total = placed.agg(F.max("_at")).first()[0] or 0
+    following = placed.select(F.when(F.col("_at") == 1, total).otherwise(F.col("_at") - 1).alias("_at"), F.col(genome).alias("permuted"))
+    return placed.join(following, "_at", "left").drop("_at")
 
 
 def held_out_groups(species: DataFrame, unseen: DataFrame, key: str, n_seen: int = 60, seed: int = 0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import fixed, scalars
+from .order import hot_join, medians
 from .selection import small
 
 
@@ -86,8 +87,9 @@ def split_table(pairs: DataFrame, split: str, species: str, family: str, label:
     one = pairs.groupBy(split, species).agg(F.min(family).alias("_f"), F.min(label).alias("_y"), F.count("*").alias("_n"))
     out = one.groupBy(split).agg(
         F.count("*").alias("n_species"), F.sum("_n").alias("n_pairs"), F.count_distinct("_f").alias("n_families"),
-        F.min("_y").alias("min_label"), F.median("_y").alias("median_label"), F.max("_y").alias("max_label"),
+        F.min("_y").alias("min_label"), F.max("_y").alias("max_label"),
     )
+    out = hot_join(out, medians(one, [split], "_y", "median_label"), [split], "left", nulls=True)
     return out.join(small(top_listed(one, [split], "_f", k).withColumnRenamed("top", "top_families")), split, "left")
 
 

@@ -132,16 +132,17 @@ def manifest(document: Mapping, counts: DataFrame) -> DataFrame:
 
 
 def capped(found: DataFrame, n: int = fixed.MESSAGES) -> DataFrame:
-    """The first ``n`` messages of each (table, check), and one that counts the rest."""
+    """The first ``n`` messages of each (table, check), and one that counts the rest.
+
+    Two phases, neither of which brings a check's messages together: the first ``n`` are kept by a window that Spark
+    limits before the shuffle, and totals are summed before it.
+    """
     group = ["table", "check"]
-    w = Window.partitionBy(*group)
-    ranked = found.withColumns({"_r": F.row_number().over(w.orderBy("key", "message")), "_n": F.count("*").over(w)})
-    # one pass: the row after the last one shown becomes the one that counts the rest
-    last = F.col("_r") == n + 1
+    order = Window.partitionBy(*group).orderBy("key", "message")
+    shown = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).select(*group, "key", "message")
+    totals = found.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > n)
     rest = F.concat(F.lit("... and "), (F.col("_n") - n).cast("string"), F.lit(" more like this"))
-    return ranked.where(F.col("_r") <= n + 1).select(
-        *group, F.when(~last, F.col("key")).alias("key"), F.when(last, rest).otherwise(F.col("message")).alias("message")
-    )
+    return shown.unionByName(totals.select(*group, F.lit(None).cast("string").alias("key"), rest.alias("message")))
 
 
 def dataset(tables: Mapping[str, DataFrame | None], inventory: DataFrame | None = None, document: Mapping | None = None) -> DataFrame:

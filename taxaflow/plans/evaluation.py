@@ -166,9 +166,9 @@ size AS (SELECT species, sqrt(sum(m * m)) AS s FROM mean GROUP BY 1)"""
 
 
 @_r.query(f"""
-WITH {_CENTROIDS} SELECT species, CAST(i AS INTEGER) AS i, round(m / s, 6) AS x FROM mean JOIN size USING (species)""")
+WITH {_CENTROIDS.replace(" WHERE vec_id % 5 <> 0", "")} SELECT species, CAST(i AS INTEGER) AS i, round(m / s, 6) AS x FROM mean JOIN size USING (species)""")
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = E.centroids(_vectors(spark, sf_dir).where("vec_id % 5 <> 0"), ["species"], "embedding")
+    found = E.centroids(_vectors(spark, sf_dir), ["species"], "embedding")
     return found.select("species", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 

@@ -164,7 +164,14 @@ def window_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.place_draws(draws, spans, "source").select("source", "draw", "doc_id", F.col("start").cast("long").alias("start"))
 
 
-@_r.query()
+@_r.query(f"""
+WITH RECURSIVE {_IDS}, p AS (SELECT doc_id, CAST(len(ids) AS BIGINT) AS l, (row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) - 1) // 512 AS bucket FROM ids),
+o AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY l, doc_id) AS i FROM p),
+r AS (SELECT bucket, doc_id, i, l AS longest, 1 AS n, 0 AS batch FROM o WHERE i = 1
+      UNION ALL SELECT o.bucket, o.doc_id, o.i, CASE WHEN greatest(longest, l) * (n + 1) <= 16384 THEN greatest(longest, l) ELSE l END,
+          CASE WHEN greatest(longest, l) * (n + 1) <= 16384 THEN n + 1 ELSE 1 END, CASE WHEN greatest(longest, l) * (n + 1) <= 16384 THEN batch ELSE batch + 1 END
+      FROM r JOIN o ON o.bucket = r.bucket AND o.i = r.i + 1)
+SELECT doc_id, CAST(bucket AS BIGINT) AS bucket, CAST(batch AS INTEGER) AS batch FROM r""")
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in batches of at most 16,384 padded tokens."""
     rows = _ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n"))

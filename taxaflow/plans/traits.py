@@ -15,6 +15,7 @@ from ..operators import sequences as Q
 from ..operators import splits as P
 from ..operators import tables as B
 from ..operators import validation as V
+from ..session import spread
 from .base import Registry, table
 
 _r = Registry()
@@ -170,18 +171,18 @@ def differing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_r.query("""
-WITH c AS (SELECT 'val' AS split, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0
-           UNION ALL SELECT 'val_unseen', vec_id, label, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 50 = 1),
-q AS (SELECT vec_id AS query, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x + (i % 3) / 40.0) AS v FROM embeddings WHERE vec_id % 50 < 2),
+WITH c AS (SELECT 'val' AS split, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 2 = 0
+           UNION ALL SELECT 'val_unseen', vec_id, label, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 2 = 1),
+q AS (SELECT vec_id AS query, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x + (i % 3) / 40.0) AS v FROM embeddings),
 h AS (SELECT query, q.label AS s, c.vec_id AS key, c.label AS species FROM q, c QUALIFY row_number() OVER (PARTITION BY query ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) = 1)
 SELECT count(*) AS n, round(avg(CAST(key = query AS INT)), 7) AS specimen_top1, round(avg(CAST(species = s AS INT)), 7) AS species_top1,
        round(avg(CAST(species // 2 = s // 2 AS INT)), 7) AS genus_top1 FROM h""")
 def pooled_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shifted vectors against a gallery that pools two held-out splits."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("species"), "embedding")
-    gallery = B.united({"val": rows.where("vec_id % 50 = 0"), "val_unseen": rows.where("vec_id % 50 = 1")}, "split").withColumnRenamed("vec_id", "key")
+    gallery = B.united({"val": rows.where("vec_id % 2 = 0"), "val_unseen": rows.where("vec_id % 2 = 1")}, "split").withColumnRenamed("vec_id", "key")
     shifted = F.transform("embedding", lambda x, i: x.cast("double") + (i + 1) % 3 / 40.0)
-    asked = rows.where("vec_id % 50 < 2").select(F.col("vec_id").alias("query"), "species", shifted.alias("embedding"))
+    asked = rows.select(F.col("vec_id").alias("query"), "species", shifted.alias("embedding"))
     named = lambda df: df.withColumn("genus", F.floor(F.col("species") / 2))
     hits = E.top_k(asked, gallery, query="query", key="key", vector="embedding", k=5)
     hits = hits.join(named(gallery.select("key", "species")), "key")
@@ -286,16 +287,21 @@ def epoch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_r.query("""
-WITH b AS (SELECT doc_id, upper(regexp_replace(text, '[^ACGTacgt]', 'N', 'g')) AS s FROM documents),
-w AS (SELECT doc_id, i AS draw, s[CAST(i * 40 + 1 AS BIGINT):CAST(i * 40 + 40 AS BIGINT)] AS seq FROM b, range(6) r(i) WHERE length(s) >= i * 40 + 40),
-f AS (SELECT * FROM w WHERE (length(seq) - length(replace(seq, 'N', ''))) / 40.0 <= 0.7)
-SELECT doc_id, CAST(draw AS INTEGER) AS draw, seq FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY draw) <= 2""")
+WITH b AS (SELECT source, doc_id, upper(regexp_replace(text, '[^ACGTacgt]', 'N', 'g')) AS s FROM documents),
+c AS (SELECT source, doc_id, s, n, sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS hi FROM (SELECT *, greatest(length(s) - 39, 0) AS n FROM b)),
+t AS (SELECT source, max(hi) AS total FROM c GROUP BY 1),
+d AS (SELECT source, slot, draw, CAST(floor(CAST('0x' || substring(md5('2:' || source || ':' || slot || ':' || draw), 1, 13) AS BIGINT) / 4503599627370496.0 * total) AS BIGINT) AS position
+      FROM t, range(8) a(slot), range(256) b(draw)),
+w AS (SELECT d.source, slot, draw, doc_id, CAST(position - (hi - n) AS BIGINT) AS start, s[CAST(position - (hi - n) + 1 AS BIGINT):CAST(position - (hi - n) + 40 AS BIGINT)] AS seq
+      FROM d JOIN c ON d.source = c.source AND position >= hi - n AND position < hi)
+SELECT source, CAST(slot AS INTEGER) AS slot, CAST(draw AS INTEGER) AS draw, doc_id, start, seq FROM w
+WHERE (length(seq) - length(replace(seq, 'N', ''))) / 40.0 <= 0.7 QUALIFY row_number() OVER (PARTITION BY source, slot ORDER BY draw) = 1""")
 def good_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two of six windows of each text that have few unknown bases."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", Q.normal_bases(F.col("text")).alias("s"))
-    drawn = rows.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("draw")).where(F.length("s") >= F.col("draw") * 40 + 40)
-    windows = drawn.select("doc_id", "draw", F.substring(F.col("s"), F.col("draw") * 40 + 1, F.lit(40)).alias("seq"))
-    return Q.good_windows(windows, "doc_id", "seq", 2, 0.7)
+    """Eight random windows of each source with few unknown bases, anywhere in its whole texts, redrawn until good."""
+    docs = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text"))
+    seq = docs.select("source", "doc_id", Q.normal_bases(F.col("text")).alias("seq"))
+    blocks = Q.blocks(seq, ["source", "doc_id"], "seq", 512)
+    return Q.sampled_windows(blocks, "source", "doc_id", 512, 40, 8, seed=2, most=0.7, tries=256)
 
 
 @_r.query("""
@@ -344,11 +350,11 @@ def applied_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_r.query("""
-WITH c AS (SELECT DISTINCT l_suppkey AS acc, l_returnflag AS a, l_linestatus AS b FROM lineitem WHERE l_linenumber <= 2)
+WITH c AS (SELECT DISTINCT l_suppkey AS acc, l_returnflag AS a, l_linestatus AS b FROM lineitem)
 SELECT acc AS assembly_accession, count(*) AS n FROM c GROUP BY 1 HAVING count(*) > 1""")
 def ambiguous_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accessions with several different rows of cohort columns."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").withColumnRenamed("l_suppkey", "assembly_accession")
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "assembly_accession")
     return D.ambiguous(D.cohort(rows, "assembly_accession", ["l_returnflag", "l_linestatus"]), "assembly_accession")
 
 

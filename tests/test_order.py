@@ -81,3 +81,36 @@ def test_columns_of_the_order_alone_go(spark):
     rows = spark.createDataFrame([("a", 2, "y"), ("a", 2, "x"), ("a", None, "z")], "g string, k long, t string")
     got = order.numbered(rows, ["g"], [F.asc_nulls_first("k"), "t"], drop=["t"])
     assert got.columns == ["g", "k", "n"] and [tuple(r) for r in got.orderBy("n").collect()] == [("a", None, 1), ("a", 2, 2), ("a", 2, 3)]
+
+
+def test_medians_equal_those_of_sorted_lists(spark):
+    import statistics
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "b"]), rng.choice([1.5, 1.5, 2.0, -3.0, None, float(rng.randrange(9))])) for _ in range(999)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    want = {}
+    for g, v in rows:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    assert {r["g"]: r["m"] for r in order.medians(df, ["g"], "v", "m").collect()} == {g: statistics.median(v) for g, v in want.items()}
+    assert order.medians(df, [], "v").first()[0] == statistics.median([v for _, v in rows if v is not None])
+    assert order.medians(df.where("g = 'c'"), ["g"], "v").count() == 0
+
+
+def test_operators_over_one_group_with_a_third_of_all_rows(spark):
+    from taxaflow.operators import selection, splits
+
+    rows = [("hot" if k % 3 == 0 else f"g{k % 40}", k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k long").repartition(6)
+    own = {}
+    for g, k in rows:
+        own.setdefault(g, []).append(k)
+    got = sorted(r["k"] for r in selection.systematic(df, "g", "k", 7).collect())
+    assert got == sorted(k for ks in own.values() for k in ks[::7])
+    split = splits.record_split(df, group="g", key="k", share=0.1).groupBy("g").agg(F.count_if(F.col("split") == "val").alias("v")).collect()
+    assert {r["g"]: r["v"] for r in split} == {g: round(len(ks) * 0.1) for g, ks in own.items()}
+    runs = selection.block_sample(df, "g", ["k"], 10, 2).groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in runs} == {g: min(10, len(ks)) for g, ks in own.items()}
+    plan = selection.systematic(df, "g", "k", 7)._jdf.queryExecution().toString()
+    assert "Window" not in plan
