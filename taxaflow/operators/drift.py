@@ -9,6 +9,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
+from .order import hot_join
+
 TOLERANCE = 1e-7
 
 
@@ -64,10 +67,28 @@ def settings_drift(old: DataFrame, new: DataFrame, key: str, unset: str = "(unse
     return both.where("old <> new")
 
 
-def json_leaves(df: DataFrame, key: str, column: str) -> DataFrame:
-    """``key, path, value`` of flat JSON objects in a column; values as they stand."""
-    entries = F.from_json(column, "map<string, string>")
-    return df.select(key, F.explode(entries).alias("path", "value"))
+def json_leaves(df: DataFrame, key: str, column: str, depth: int = 64) -> DataFrame:
+    """``key, path, value`` of the leaves of JSON objects in a column, with paths joined by dots.
+
+    Objects are opened level by level until only leaves are left; lists and empty objects are leaves, as JSON. Strings
+    stand without quotes, other values as JSON, a JSON null is a null. Texts that are no JSON object, and nulls, have no
+    leaves. Names that repeat in one object: the last. Documents deeper than ``depth`` raise an error.
+    """
+    spark, done = df.sparkSession, None
+    doc = F.try_parse_json(F.col(column))
+    level = df.select(key, F.lit("").alias("path"), doc.alias("_v")).where(F.schema_of_variant("_v").startswith("OBJECT<"))
+    for _ in range(depth):
+        fields = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()).select(F.col("key").alias("_name"), F.col("value").alias("_x")))
+        path = F.concat(F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise(""), "_name")
+        fields = fields.select(key, path.alias("path"), F.col("_x").alias("_v"), F.schema_of_variant("_x").alias("_kind"))
+        inner = F.col("_kind").startswith("OBJECT<") & (F.col("_kind") != "OBJECT<>")
+        text = F.when(F.col("_kind") == "STRING", F.try_variant_get("_v", "$", "string")).when(F.col("_kind") != "VOID", F.to_json("_v"))
+        found = fields.where(~inner).select(key, "path", text.alias("value"))
+        done = found if done is None else done.unionByName(found)
+        level = fields.where(inner).select(key, "path", "_v")
+        if not level.limit(1).count():
+            return done
+    raise ValueError(f"documents deeper than {depth} levels")
 
 
 def prediction_drift(saved: DataFrame, again: DataFrame, keys: Sequence[str], label: str, pred: str, limit: float = 0.002) -> DataFrame:
@@ -158,6 +179,55 @@ def verified(document: Mapping) -> dict:
     return dict(document)
 
 
+def parent_chains(documents: DataFrame) -> DataFrame:
+    """``fingerprint, root, depth, problem``: each document of ``documents(fingerprint, parent)`` walked up to its root.
+
+    ``problem``: ``unknown parent`` where the chain leaves the documents (the root is the last known one), ``cycle`` where
+    it never ends (no root), else null. All chains are walked at once by pointer doubling, so rounds grow with the
+    logarithm of the number of documents. A fingerprint with several parents counts with the least.
+    """
+    work = Workspace(documents.sparkSession, "chains")
+    known = work.cut(documents.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("parent").alias("parent")))
+    of = known.select(F.col("fingerprint").alias("_f"))
+    state = known.join(of, known.parent == F.col("_f"), "left").select(
+        "fingerprint", F.coalesce("_f", "fingerprint").alias("up"), F.col("_f").isNotNull().cast("long").alias("depth"),
+        (F.col("parent").isNotNull() & F.col("_f").isNull()).alias("lost"),
+    )
+    total, length = known.count(), 1
+    while length <= total:
+        above = state.select(F.col("fingerprint").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("lost").alias("_lost"))
+        moved = hot_join(state, above, ["up"], "left", total)
+        state = work.cut(moved.select("fingerprint", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("lost") | F.col("_lost")).alias("lost")))
+        length *= 2
+    # whoever still stands below a document with a parent of its own goes round for ever
+    ends = state.select(F.col("fingerprint").alias("up"), (F.col("depth") > 0).alias("_goes_on"))
+    out = hot_join(state, ends, ["up"], "left")
+    problem = F.when(F.col("_goes_on"), "cycle").when(F.col("lost"), "unknown parent")
+    ended = lambda c: F.when(~F.col("_goes_on"), F.col(c))
+    return out.select("fingerprint", ended("up").alias("root"), ended("depth").alias("depth"), problem.alias("problem"))
+
+
+def unit_fingerprints(rows: DataFrame, unit: str, n: int | None = None) -> DataFrame:
+    """``unit, n_rows, digest``: an order-free fingerprint of each unit's rows, or of its first ``n`` chunks.
+
+    Two sums and an exclusive or of 64-bit hashes of whole rows, which Spark adds up before the shuffle; rows that repeat
+    count each. Columns are taken by name, so their order does not matter.
+    """
+    kept = rows if n is None else reduced(rows, n)
+    names = [F.col(f"`{c}`") for c in sorted(rows.columns)]
+    a, b = F.xxhash64(*names), F.xxhash64(F.lit(1), *names)
+    sums = [F.sum(x.cast("decimal(38,0)")).cast("string") for x in (a, b)]
+    return kept.groupBy(unit).agg(F.count("*").alias("n_rows"), F.concat_ws(":", *sums, F.bit_xor(a).cast("string")).alias("digest"))
+
+
+def unit_drift(stored: DataFrame, actual: DataFrame, unit: str) -> DataFrame:
+    """``unit, message`` of units whose fingerprint is not the stored one: ``missing``, ``extra`` or ``differs``."""
+    a = stored.select(unit, F.struct("n_rows", "digest").alias("_a"))
+    b = actual.select(unit, F.struct("n_rows", "digest").alias("_b"))
+    message = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").when(F.col("_a") != F.col("_b"), "differs")
+    return a.join(b, unit, "full_outer").select(unit, message.alias("message")).where("message is not null")
+
+
 def set_difference(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """Keys on one side only, with ``side``."""
     a, b = expected.select(key).distinct(), actual.select(key).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import fixed, scalars
+from ..workspace import Workspace
+from .drift import reduced, unit_drift, unit_fingerprints
 from .order import hot_join, medians
 from .selection import small
 
@@ -243,9 +246,26 @@ def build_totals(images: DataFrame) -> DataFrame:
     )
 
 
-def failures(outcomes: DataFrame, path: str) -> None:
-    """Append the failed outcomes to a log of JSON lines."""
-    outcomes.where(~F.col("ok")).write.mode("append").json(path)
+def failures(outcomes: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append the failed outcomes to a log of JSON lines.
+
+    With a ``batch`` name the log is a folder for each batch, which a job that is tried again replaces as a whole, so its
+    lines are there once however often it is written; other batches stay. Without one, lines are simply added.
+    """
+    failed = outcomes.where(~F.col("ok"))
+    if batch is None:
+        failed.write.mode("append").json(path)
+        return
+    if not batch or "/" in batch or "=" in batch:
+        raise ValueError(f"not a batch name: {batch!r}")
+    place = f"{path}/batch={batch}"
+    failed.write.mode("overwrite").json(f"{path}/_staged-{batch}")
+    _rename(outcomes.sparkSession, f"{path}/_staged-{batch}", place)
+
+
+def read_failures(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The log of ``failures`` by batches, with the column ``batch``."""
+    return spark.read.schema(f"{schema}, batch string").json(path)
 
 
 
@@ -279,6 +299,78 @@ def read_manifest(spark: SparkSession, root: str) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(f"{root}/dataset.json").collect()))
 
 
+def commit_dataset(tables: Mapping[str, DataFrame], root: str, document: Mapping | None = None, csv: bool = True) -> dict:
+    """Write all tables of a dataset as one new version, and then point to it by one rename.
+
+    Tables go to ``versions/<id>`` under ``root``, Parquet and text side by side; the real file ``dataset.json`` is
+    written beside its place and renamed over the former one last. A job that fails at any step before that leaves the
+    former version, whole and named; readers that hold it keep it. Versions that nothing points to are left to
+    ``prune_versions``. ``document``: more keys of ``dataset.json``. Missing tables are simply not in the version.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
+    counted = {}
+    for name, df in tables.items():
+        path = f"{root}/versions/{version}/{name}"
+        df.write.option("compression", "zstd").parquet(f"{path}.parquet")
+        kept = spark.read.schema(df.schema).parquet(f"{path}.parquet")
+        if csv:
+            csv_cells(kept).write.option("header", True).option("emptyValue", "").csv(f"{path}.csv")
+        counted[name] = {"path": f"versions/{version}/{name}.parquet", "n_rows": kept.count()}
+    body = dict(document or {}) | {"schema_version": schemas.VERSION, "data_version": version, "tables": counted}
+    _publish(spark, json.dumps(body, sort_keys=True, indent=1), f"{root}/dataset.json")
+    return body
+
+
+def _publish(spark: SparkSession, text: str, path: str) -> None:
+    """A small file written beside its place and renamed over the former one in a single step."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    staged, target = hadoop.Path(f"{path}.{uuid.uuid4().hex}.staged"), hadoop.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    out = staged.getFileSystem(conf).create(staged)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), conf).rename(staged, target, options)
+
+
+def open_dataset(spark: SparkSession, root: str) -> tuple[dict, dict[str, DataFrame]]:
+    """The document of the version that ``dataset.json`` points to, and its tables."""
+    document = json.loads("\n".join(r[0] for r in spark.read.text(f"{root}/dataset.json").collect()))
+    return document, {name: spark.read.parquet(f"{root}/{info['path']}") for name, info in document["tables"].items()}
+
+
+def prune_versions(spark: SparkSession, root: str) -> list[str]:
+    """Delete the versions that ``dataset.json`` does not point to, when no reader holds them; returns their names."""
+    kept = open_dataset(spark, root)[0]["data_version"]
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/versions")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in files.listStatus(place) if s.getPath().getName() != kept]
+    for p in old:
+        files.delete(p, True)
+    return sorted(p.getName() for p in old)
+
+
+def copy_prefix(pool: DataFrame, stored: DataFrame, path: str, n: int, unit: str = "assembly_accession") -> DataFrame:
+    """The first ``n`` chunks of each unit of a pool written to ``path``, verified before and after; returns the units
+    to redo.
+
+    ``stored(unit, n_rows, digest)`` are the pool's fingerprints when it was made. Units that are missing from the pool,
+    or differ, are left out of the copy and returned as ``unit, message``; the copy of all others is read again and must
+    have the fingerprints of the prefix. ``write_units`` puts redone units beside them.
+    """
+    spoiled = unit_drift(stored, unit_fingerprints(pool, unit), unit)
+    spoiled = Workspace(pool.sparkSession, "prefix").cut(spoiled)
+    sound = pool.join(small(spoiled.select(unit)), unit, "left_anti")
+    write_units(reduced(sound, n).select(*pool.columns), path, unit)
+    copied = pool.sparkSession.read.schema(pool.schema).parquet(path).select(*pool.columns)
+    wrong = unit_drift(unit_fingerprints(sound, unit, n), unit_fingerprints(copied.join(small(sound.select(unit).distinct()), unit, "left_semi"), unit), unit)
+    if found := wrong.orderBy(unit).limit(fixed.MESSAGES).collect():
+        raise OSError(f"the copy differs from its pool: {[tuple(r) for r in found]}")
+    return spoiled
+
+
 def audit_matrix(rows: DataFrame, group: str, category: str, categories: Sequence[str], living: Sequence[str]) -> DataFrame:
     """Per group the rows of each category (0 where there are none), and the share of those that are ``living``."""
     counts = rows.groupBy(group).agg(

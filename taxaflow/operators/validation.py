@@ -221,6 +221,44 @@ def split_overlap(rows: DataFrame, key: str, split: str) -> DataFrame:
     return problems(many, "splits", "overlap", _key([key]), F.concat_ws(" and ", "_s"))
 
 
+def protocol(
+    rows: DataFrame, splits: DataFrame, chain: DataFrame, said: Mapping[str, float], *, species: str = "species", split: str = "split", label: str = "log10_longevity",
+    train: str = "train", val: str = "val", subset: str = "val_sub", tolerance: float = 1e-6,
+) -> DataFrame:
+    """All problems of a comparison in one table.
+
+    ``rows(species, split, label)`` are those that were used, ``splits(species, split)`` the frozen list,
+    ``chain(fingerprint, parent)`` the frozen documents and ``said`` the recorded ``mean`` and ``sd`` of the labels.
+    Checks: species in several splits; species of each split that only one side has; ``subset`` inside ``val``;
+    labels (``labels``); normalisation against mean and sd of one label per training species; parents that are unknown
+    or go round in a cycle. Null species take no part.
+    """
+    from .drift import parent_chains
+    from .metrics import target_normalisation
+
+    used, frozen = (df.where(F.col(species).isNotNull()).select(species, split).distinct() for df in (rows, splits))
+    whole = lambda df: df.where(F.col(split) != subset)
+    parts = [split_overlap(whole(used), species, split)]
+    a = used.select(species, split, F.lit(True).alias("_used"))
+    b = frozen.select(species, split, F.lit(True).alias("_listed"))
+    both = a.join(b, [species, split], "full_outer").where("_used is null or _listed is null")
+    message = F.concat(F.when(F.col("_used").isNull(), "listed but not used in ").otherwise("used but not listed in "), F.col(split))
+    parts.append(problems(both, "splits", "species", _key([species]), message))
+    inside = used.where(F.col(split) == val).select(species)
+    stray = used.where(F.col(split) == subset).join(inside, species, "left_anti")
+    parts.append(problems(stray, "splits", "subset", _key([species]), F.lit(f"in {subset} but not in {val}")))
+    many = rows.where(F.col(species).isNotNull()).groupBy(species).agg(F.count_distinct(label).alias("_n")).where("_n > 1")
+    parts.append(problems(many, "labels", "single", _key([species]), F.lit("species has several labels")))
+    found = target_normalisation(rows.where((F.col(split) == train) & F.col(species).isNotNull()), species, label)
+    named = found.select(F.explode(F.create_map(F.lit("mean"), "mean", F.lit("sd"), "sd")).alias("name", "value"))
+    told = rows.sparkSession.createDataFrame([(k, float(v)) for k, v in said.items()], "name string, said double")
+    off = told.join(named, "name", "left").where(F.col("value").isNull() | ~(F.abs(F.col("said") - F.col("value")) <= tolerance))
+    parts.append(problems(off, "normalisation", "value", F.col("name"), F.lit("recorded value is not that of the training species")))
+    broken = parent_chains(chain).where("problem is not null")
+    parts.append(problems(broken, "documents", "parent", F.col("fingerprint"), F.col("problem")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def chunks(rows: DataFrame) -> DataFrame:
     """Token chunks of another length, first or last token, or tokens outside the vocabulary; labels (where there are
     such columns) that are not finite or not the logarithm of the years; repeated chunks."""

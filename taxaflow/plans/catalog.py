@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with QUERIES and ORACLES.
-MODULES = ["selection", "checks", "evaluation", "sequences", "records", "columns", "traits", "audits"]
+MODULES = ["selection", "checks", "evaluation", "sequences", "records", "columns", "traits", "audits", "datasets"]
 
 
 def _all(name: str) -> dict:
