@@ -14,14 +14,6 @@ def _lookup(value: Column, names: dict[str, str], default: Column) -> Column:
     return reduce(lambda out, kv: out.when(value == kv[0], kv[1]), names.items(), F.when(F.lit(False), "")).otherwise(default)
 
 
-def filled(value: Column) -> Column:
-    """The value, or null where it is empty or blank."""
-    return F.when(F.trim(value) != "", value)
-
-
-# ---------------------------------------------------------------- names
-
-
 def match_key(name: Column) -> Column:
     """Join key of a species name: the trimmed binomial without authorship, else the whole name; lower case."""
     name = F.regexp_replace(name, r"^\s+|\s+$", "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -224,6 +225,11 @@ def image_policy(images: DataFrame, formats: Sequence[str], min_side: int, max_p
     return images.withColumn("problem", problem)
 
 
+def with_filled(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which none of the columns is null or blank."""
+    return functools.reduce(DataFrame.where, [F.coalesce(scalars.present(F.col(c)), F.lit(False)) for c in columns], df)
+
+
 # ---------------------------------------------------------------- plain samples
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import fixed
 from ..operators import drift as D
+from ..operators import selection as S
 from ..operators import tables as B
 from ..operators import validation as V
 from ..operators.order import numbered
 from ..sources import catalog as C
-from ..sources import registry
+from ..sources import listings, registry
 from ..workspace import Workspace
 from .base import Registry, table
 
@@ -226,3 +227,59 @@ def json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',{"x":1}],"none":null}},"priority":'), text(F.col("o_orderpriority")), F.lit(',"whole":'), (k % 2 == 0).cast("string"), F.lit(',"empty":{}}'),
     )
     return D.json_leaves(table(spark, sf_dir, "orders").select(k.alias("id"), doc.alias("doc")), "id", "doc")
+
+
+# ---------------------------------------------------------------- listings written from the tables and parsed again
+
+
+@_r.query("""
+SELECT 'gbif:' || o_orderkey AS candidate_id, CAST(o_orderkey AS VARCHAR) AS source_id, 'https://img.example.org/' || o_orderkey || '.jpg' AS source_url,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'Cold widget' ELSE 'Cold widget L.' END AS original_label, CASE WHEN o_custkey % 2 = 0 THEN 'own' ELSE 'all' END AS publisher
+FROM orders WHERE o_orderkey % 5 <> 0""")
+def parse_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrence documents, one for each order: the first still image with an address, names and publishers by preference."""
+    k, text = F.col("o_orderkey"), lambda x: F.lit(x)
+    medium = lambda kind, at: F.struct(text(kind).alias("type"), at.alias("identifier"), F.when(F.col("o_custkey") % 2 == 0, "own").alias("publisher"))
+    url = F.concat(F.lit("https://img.example.org/"), k.cast("string"), F.lit(".jpg"))
+    media = F.array(medium("Sound", url), medium("StillImage", F.lit("")), medium("StillImage", F.when(k % 5 != 0, url).otherwise("")), medium("StillImage", F.when(k % 5 != 0, F.lit("later")).otherwise("")))
+    doc = F.struct(k.alias("key"), F.when(k % 3 != 0, "Cold widget L.").otherwise("").alias("scientificName"), text("Cold widget").alias("species"), text("all").alias("publisher"), media.alias("media"))
+    found = listings.parse_occurrences(table(spark, sf_dir, "orders").select(F.to_json(doc).alias("doc")), "doc")
+    return found.select("candidate_id", "source_id", "source_url", "original_label", "publisher")
+
+
+@_r.query("""SELECT 'f' || o_orderkey || '.fna.gz' AS name, md5(CAST(o_orderkey AS VARCHAR)) AS md5 FROM orders WHERE o_orderkey % 11 <> 3""")
+def parse_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checksum list written from orders, with and without folders, capitals and lines that are none."""
+    k = F.col("o_orderkey")
+    digest = F.when(k % 2 == 0, F.upper(F.md5(k.cast("string")))).otherwise(F.md5(k.cast("string")))
+    line = F.concat(digest, F.when(k % 3 == 0, "  ./").when(k % 3 == 1, "  ").otherwise("  a/b/"), F.lit("f"), k.cast("string"), F.lit(".fna.gz"))
+    return listings.parse_checksums(table(spark, sf_dir, "orders").select(F.when(k % 11 == 3, "no-list").otherwise(line).alias("value")))
+
+
+@_r.query("""
+SELECT 'GCF_' || p_partkey AS assembly_accession, p_size AS species_taxid, p_partkey AS taxid, p_name AS organism_name, p_retailprice AS gc_percent, p_partkey * 7 AS genome_size,
+       CASE p_partkey % 3 WHEN 0 THEN 'breed=' || p_brand WHEN 1 THEN 'strain=' || p_type END AS infraspecific_name,
+       CASE WHEN p_partkey % 4 = 0 THEN 'suppressed' ELSE 'latest' END AS version_status,
+       CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'different' ELSE 'identical' END AS paired_asm_comp, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE 'ASM' || p_partkey END AS asm_name FROM part""")
+def parse_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested assembly reports, one for each part, flattened again."""
+    k = F.col("p_partkey")
+    infra = F.when(k % 3 == 0, F.create_map(F.lit("breed"), "p_brand", F.lit("strain"), F.lit(""))).when(k % 3 == 1, F.create_map(F.lit("strain"), "p_type"))
+    doc = F.struct(
+        F.concat(F.lit("GCF_"), k.cast("string")).alias("accession"),
+        F.struct(k.alias("tax_id"), F.col("p_name").alias("organism_name"), infra.alias("infraspecific_names")).alias("organism"),
+        F.struct(
+            F.when(k % 6 != 0, F.concat(F.lit("ASM"), k.cast("string"))).alias("assembly_name"), F.when(k % 4 == 0, "suppressed").otherwise("current").alias("assembly_status"),
+            F.struct(F.when(k % 5 != 0, k % 5 == 1).alias("refseq_genbank_are_different")).alias("paired_assembly"),
+        ).alias("assembly_info"),
+        F.struct((k * 7).alias("total_sequence_length"), F.col("p_retailprice").alias("gc_percent")).alias("assembly_stats"),
+    )
+    found = listings.parse_reports(table(spark, sf_dir, "part").select(F.to_json(doc).alias("doc"), "p_size"), "doc", "p_size")
+    return found.select("assembly_accession", "species_taxid", "taxid", "organism_name", "gc_percent", "genome_size", "infraspecific_name", "version_status", "paired_asm_comp", "asm_name")
+
+
+@_r.query("""SELECT doc_id, lang, source FROM documents WHERE trim(coalesce(lang, '')) <> '' AND trim(coalesce(CASE WHEN doc_id % 6 = 0 THEN '  ' ELSE source END, '')) <> ''""")
+def with_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a language and a source that are neither null nor blank."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 6 == 0, "  ").otherwise(F.col("source")).alias("source"))
+    return S.with_filled(docs, "lang", "source")

@@ -136,3 +136,24 @@ def test_leaves_of_nested_documents_equal_a_walk(spark):
 @pytest.mark.parametrize("name", ["validate_dataset", "parent_chains"])
 def test_reports_equal_their_twins_on_more_rows(spark, name):
     assert compare.spark_rows(datasets.QUERIES[name](spark, SF)) == compare.duck_rows(datasets.ORACLES[name], SF)
+
+
+def test_finished_genomes_have_their_published_digest(spark, tmp_path):
+    import hashlib
+
+    from taxaflow.sources import inventory
+
+    for k in range(4):
+        folder = tmp_path / f"G{k}"
+        folder.mkdir()
+        (folder / f"g{k}_genomic.fna.gz").write_bytes(b"data%d" % k)
+        digest = hashlib.md5(b"data%d" % (k if k != 2 else 9)).hexdigest()
+        if k != 3:
+            (folder / "md5checksums.txt").write_text(f"{digest}  ./g{k}_genomic.fna.gz\n0{digest[1:]}  ./other.txt\n")
+    listed = spark.createDataFrame([("G0",), ("G2",), ("G3",), ("G9",)], "assembly_accession string")
+    traits = spark.createDataFrame([("G0", 3.5), ("G1", 1.0)], "assembly_accession string, years double")
+    good, bad = inventory.finished_genomes(spark, str(tmp_path), listed)
+    assert sorted(r["assembly_accession"] for r in good.collect()) == ["G0", "G3"]
+    assert [r["assembly_accession"] for r in bad.collect()] == ["G2"]
+    with_traits, _ = inventory.finished_genomes(spark, str(tmp_path), listed, traits)
+    assert [(r["assembly_accession"], r["years"]) for r in with_traits.collect()] == [("G0", 3.5)]
