@@ -661,6 +661,37 @@ def test_language_model_counts_equal_brute_force_and_context_helps(spark, docs,
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_language_model_scores_equal_a_direct_softmax(spark, docs, monkeypatch):
+    """The trained model's score of whole texts, token by token, by a softmax over all outcomes and counts made here."""
+    kept, make = {}, lm.Scorer.of
+    monkeypatch.setattr(lm.Scorer, "of", classmethod(lambda cls, head, flat: kept.update(flat=flat.astype(np.float64)) or make(head, flat)))
+    rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["score"] for r in queries.op2_lm(spark, SF).collect()}
+    said = {k: (t or "").encode().lower().split() + [b""] for k, t in rows.items()}
+    counts = Counter(w for k, ws in said.items() if zlib.crc32(str(k).encode()) % 7 != 2 for w in ws)
+    top = {w: n for n, w in enumerate(sorted(counts, key=lambda w: (w != b"", -counts[w], w))[: lm.WORDS])}
+    held, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        if w not in top:
+            held[lm.class_of(w)] += c
+            kinds[lm.class_of(w)] += 1
+    (a, b, q), bias = lm.views(kept["flat"])
+    compared = 0
+    for k in sorted(rows, key=lambda k: len(said[k]))[::9]:
+        far = near = top[b""]
+        total = 0.0
+        for w in said[k]:
+            o = top.get(w, lm.class_of(w))
+            logits = q @ (a[far] + b[near]) + bias
+            total += (logits[o] - logits.max() - math.log(np.exp(logits - logits.max()).sum())) / math.log(10)
+            if o >= lm.WORDS:
+                total += math.log10((counts[w] + 1) / (held[o] + kinds[o] + 1))
+            far, near = near, o
+            compared += o >= lm.WORDS
+        assert abs(total - got[k]) < 1e-3 + 1e-5 * abs(total), k
+    assert compared
+
+
 def test_language_model_probabilities_add_up_to_one(spark, docs):
     work = Workspace(spark, "t")
     counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lm._count_rows, "token binary, n long")
