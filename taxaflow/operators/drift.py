@@ -196,7 +196,7 @@ def parent_chains(documents: DataFrame) -> DataFrame:
     total, length = known.count(), 1
     while length <= total:
         above = state.select(F.col("fingerprint").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("lost").alias("_lost"))
-        moved = hot_join(state, above, ["up"], "left", total)
+        moved = hot_join(state, above, ["up"], "left")
         state = work.cut(moved.select("fingerprint", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("lost") | F.col("_lost")).alias("lost")))
         length *= 2
     # whoever still stands below a document with a parent of its own goes round for ever

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import average_ranks, hot_join, medians
+from .order import matched, medians, ranked_by
 from .selection import small
 
 
@@ -42,7 +42,7 @@ def species_metrics(species: DataFrame, label: str, pred: str = "pred", group: S
     Ranks come from a distributed order of the different values; null labels or predictions have none.
     """
     keys = list(group)
-    ranked = average_ranks(average_ranks(species, keys, label, "_x"), keys, pred, "_y")
+    ranked = ranked_by(species, keys, {label: "_x", pred: "_y"})
     years, guess = F.pow(F.lit(10.0), F.col(label)), F.pow(F.lit(10.0), F.col(pred))
     out = ranked.groupBy(*keys).agg(
         F.count("*").alias("n_species"),
@@ -142,7 +142,7 @@ def gene_report(rows: DataFrame, species: str, values: Sequence[str]) -> DataFra
     """Genes per species and exact medians, picked by rank out of distributed counts of values."""
     out = rows.groupBy(species).agg(F.count("*").alias("n_genes"))
     for v in values:
-        out = hot_join(out, medians(rows, [species], v, f"median_{v}"), [species], "left", nulls=True)
+        out = matched(out, medians(rows, [species], v, f"median_{v}"), [species], "left")
     return out
 
 
@@ -174,7 +174,7 @@ def run_summary(log: DataFrame, run: str, step: str, loss: str, speed: str) -> D
         F.min(loss).alias("min_loss"),
         F.count("*").alias("n_records"),
     )
-    return hot_join(out, medians(log, [run], speed, "median_speed"), [run], "left", nulls=True)
+    return matched(out, medians(log, [run], speed, "median_speed"), [run], "left")
 
 
 def loss_at(log: DataFrame, run: str, step: str, loss: str, marks: DataFrame, elapsed: str | None = None) -> DataFrame:

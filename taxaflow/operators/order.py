@@ -126,21 +126,25 @@ def _joined(rows: DataFrame, table: DataFrame, on: list[str], how: str, nulls: b
     return rows.join(theirs, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on], how).drop(*(f"_on_{c}" for c in on))
 
 
-def hot_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", total: int | None = None, nulls: bool = False) -> DataFrame:
+def matched(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Tables of one row a key each, joined; null keys match each other."""
+    return _joined(rows, table, list(on), how, True)
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", nulls: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined to ``table`` (one row a key), where one key may have a large share of ``rows``.
 
     Keys with more than a ``HOT``-th of all rows are counted first; there can be no more than ``HOT``, so their part of
-    the table is broadcast, and only the other keys are shuffled. ``how``: inner or left. Null keys match nothing, or
-    each other with ``nulls``.
+    the table is broadcast, and only the other keys are shuffled. Without such a key it is a plain join. ``how``: inner or
+    left. Null keys match nothing, or each other with ``nulls``. ``counts``: rows of each key (``_rows``), where known.
     """
     on = list(on)
-    counts = rows.groupBy(*on).count()
-    total = rows.count() if total is None else total
-    least = max(total // HOT, 1000)
-    if total <= least:
+    counts = rows.groupBy(*on).agg(F.count("*").alias("_rows")) if counts is None else counts
+    total, most = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    least = max((total or 0) // HOT, 1000)
+    if (most or 0) <= least:
         return _joined(rows, table, on, how, nulls)
-    hot = counts.where(F.col("count") > least).select(*on)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(counts.where(F.col("_rows") > least).select(*on))
     theirs = F.broadcast(_joined(table, hot, on, "left_semi", nulls))
     known = _joined(_joined(rows, hot, on, "left_semi", nulls), theirs, on, how, nulls)
     return known.unionByName(_joined(_joined(rows, hot, on, "left_anti", nulls), table, on, how, nulls))
@@ -151,11 +155,19 @@ def average_ranks(rows: DataFrame, by: Sequence[str], value: str, into: str, wor
 
     Equal values are counted before anything is sorted, so ties of any size are one row of the order.
     """
-    by = list(by)
-    known = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_ties"))
-    ranked = numbered(known, by, [value], "_at", {"_upto": F.col("_ties")}, work)
-    ranks = ranked.select(*by, value, (F.col("_upto") - (F.col("_ties") - 1) / 2.0).alias(into))
-    return hot_join(rows, ranks, [*by, value], "left", nulls=bool(by))
+    return ranked_by(rows, by, {value: into}, work)
+
+
+def ranked_by(rows: DataFrame, by: Sequence[str], values: dict[str, str], work: Workspace | None = None) -> DataFrame:
+    """``average_ranks`` of several columns: value -> new column."""
+    by, out = list(by), rows
+    for value, into in values.items():
+        known = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_ties"))
+        ranked = numbered(known, by, [value], "_at", {"_upto": F.col("_ties")}, work)
+        ranks = ranked.select(*by, value, (F.col("_upto") - (F.col("_ties") - 1) / 2.0).alias(into))
+        counts = ranked.select(*by, value, F.col("_ties").alias("_rows"))
+        out = hot_join(out, ranks, [*by, value], "left", bool(by), counts)
+    return out
 
 
 def sized(rows: DataFrame, by: Sequence[str], into: str) -> DataFrame:

@@ -14,7 +14,7 @@ from .. import schemas
 from ..functions import fixed, scalars
 from ..workspace import Workspace
 from .drift import reduced, unit_drift, unit_fingerprints
-from .order import hot_join, medians
+from .order import matched, medians
 from .selection import small
 
 
@@ -92,7 +92,7 @@ def split_table(pairs: DataFrame, split: str, species: str, family: str, label:
         F.count("*").alias("n_species"), F.sum("_n").alias("n_pairs"), F.count_distinct("_f").alias("n_families"),
         F.min("_y").alias("min_label"), F.max("_y").alias("max_label"),
     )
-    out = hot_join(out, medians(one, [split], "_y", "median_label"), [split], "left", nulls=True)
+    out = matched(out, medians(one, [split], "_y", "median_label"), [split], "left")
     return out.join(small(top_listed(one, [split], "_f", k).withColumnRenamed("top", "top_families")), split, "left")
 
 
