@@ -11,6 +11,7 @@ length 31 (covering radius 1) beside one free bit, 2^27 anchors. The threshold o
 the two sides of a pair: some point lies within one bit of both, the anchor that covers it lies within one
 bit of that, so each fingerprint is replicated to every anchor within covering radius + 1 = 2 bits: 17 (or 2)
 per half, at most 34 in all whatever the input size. Fingerprints are compared per anchor; nothing is capped.
+Anchors are counted first: the fingerprints of a crowded one are dealt to smaller cells before they are shuffled.
 
 Copies collapse first (one row per distinct fingerprint), so a group of copies costs one node. Within an
 anchor only a spanning forest of the links is emitted, which is all that components need.
@@ -34,9 +35,14 @@ SHINGLE = 4
 SEED = 42
 THRESHOLD = 4
 _STEP = 1 << 17
-#: Fingerprints of one anchor beyond which they are parted once more, and the (first bit, bits) of the parts' blocks.
+#: Fingerprints of one cell beyond which they are parted once more, and the (first bit, bits) of the parts' blocks.
 _MANY = 4096
 _BLOCKS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
+#: Fingerprints of one anchor beyond which it is dealt to cells before the shuffle, and the (first bit, bits) of six
+#: blocks of its other half: two fingerprints that link differ there in four bits at most, so two blocks are equal.
+CROWD = 1 << 16
+_SIX = ((0, 6), (6, 6), (12, 5), (17, 5), (22, 5), (27, 5))
+_DEAL_BITS = 17
 #: A component of more fingerprints than this, and than 1/65,536 of all, gets its name by a broadcast.
 HOT = 10_000
 
@@ -120,7 +126,7 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among fingerprints of one anchor; memory in proportion to them."""
+    """A spanning forest of the links among fingerprints of one cell; memory in proportion to them."""
     left, right, rest = [], [], prints
     while len(rest) > 1:
         frontier, rest = rest[:1], rest[1:]
@@ -140,7 +146,7 @@ def _forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one anchor that connect what all its links connect.
+    """Links of one cell that connect what all its links connect.
 
     Beyond ``_MANY`` fingerprints they are first parted by each of five blocks of the half in which they differ more:
     two that link differ in four bits at most, so one block is equal in both.
@@ -159,11 +165,11 @@ def _links_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _link_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each anchor of a partition sorted by anchor; a run may span batches."""
+    """Links within each cell of a partition sorted by cell; a run may span batches."""
 
-    def linked(anchor: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.diff(anchor)) + 1
-        first, size = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(anchor)])))
+    def linked(cell: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        cuts = np.flatnonzero(np.diff(cell)) + 1
+        first, size = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(cell)])))
         two = first[size == 2]
         near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= THRESHOLD]
         found = [(prints[near], prints[near + 1])]
@@ -175,19 +181,46 @@ def _link_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        anchor, prints = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        cell, prints = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         prints = prints.view(np.uint64)
-        last = int(np.searchsorted(anchor, anchor[-1]))  # the run that may go on
-        if last or (held and held[-1][0][-1] != anchor[-1]):
-            held.append((anchor[:last], prints[:last]))
+        last = int(np.searchsorted(cell, cell[-1]))  # the run that may go on
+        if last or (held and held[-1][0][-1] != cell[-1]):
+            held.append((cell[:last], prints[:last]))
             yield linked(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
             held = []
-        held.append((anchor[last:], prints[last:]))
+        held.append((cell[last:], prints[last:]))
     if held:
         yield linked(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
     give_back()
 
 
+def _deals() -> Column:
+    """For each pair of the six blocks, the pair's number and the two blocks' bits: above 0, under 2^``_DEAL_BITS``."""
+    upper = F.shiftrightunsigned("fp", 32)
+    other = F.when(F.shiftright("anchor", 40) == 0, upper).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
+    bits = [F.shiftright(other, first).bitwiseAND((1 << width) - 1) for first, width in _SIX]
+    pairs = [(i, j) for i in range(6) for j in range(i)]
+    return F.array(*(F.lit(1 + (k << 12)) + F.shiftleft(bits[i], _SIX[j][1]) + bits[j] for k, (i, j) in enumerate(pairs)))
+
+
+def _cells(near: DataFrame, work: Workspace, crowd: int) -> DataFrame:
+    """``near(anchor, fp)`` -> ``cell, fp``: an anchor is one cell, a crowded one a cell for each value of two of six blocks.
+
+    Crowded are anchors of more than ``crowd`` fingerprints and more than 1/1,048,576 of all rows: fewer than that many,
+    so their names are broadcast.
+    """
+    counts = near.groupBy("anchor").agg(F.count("*").alias("n"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    least = max(crowd, (total or 0) >> 20)
+    whole = F.shiftleft("anchor", _DEAL_BITS)
+    if (most or 0) <= least:
+        return near.select(whole.alias("cell"), "fp")
+    hot = work.cut(counts.where(F.col("n") > least).select("anchor", F.lit(True).alias("crowded")))
+    deals = F.when(F.col("crowded"), _deals()).otherwise(F.array(F.lit(0).cast("long")))
+    dealt = near.join(F.broadcast(hot), "anchor", "left").select(whole.alias("whole"), "fp", F.explode(deals).alias("deal"))
+    return dealt.select((F.col("whole") + F.col("deal")).alias("cell"), "fp")
+
+
 def _named(prints: DataFrame, first: Column, work: Workspace) -> DataFrame:
     """``prints(fp, ...)`` -> ``fp, first`` for every distinct fingerprint: the least ``first`` of its component.
 
@@ -195,13 +228,9 @@ def _named(prints: DataFrame, first: Column, work: Workspace) -> DataFrame:
     size, are then broadcast, so that their members do not meet in one task.
     """
     nodes = work.cut(prints.groupBy("fp").agg(first.alias("first")))
-    near = (
-        nodes.select("fp")
-        .mapInArrow(_anchor_rows, "anchor long, fp long")
-        .repartition("anchor")
-        .sortWithinPartitions("anchor", "fp")
-    )
-    stars = components(near.mapInArrow(_link_rows, "u long, v long"), work)
+    near = nodes.select("fp").mapInArrow(_anchor_rows, "anchor long, fp long")
+    cells = _cells(near, work, CROWD).repartition("cell").sortWithinPartitions("cell", "fp")
+    stars = components(cells.mapInArrow(_link_rows, "u long, v long"), work)
     member = nodes.join(stars, nodes.fp == stars.u, "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
     member = work.cut(member)
     sizes = member.groupBy("root").agg(F.count("*").alias("n"), F.min("first").alias("first"))

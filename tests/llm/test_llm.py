@@ -105,6 +105,39 @@ def test_forest_links_what_all_pairs_link():
     assert (np.bitwise_count(u ^ v) <= 4).all() and len(u) == len(prints) - 5
 
 
+def test_crowded_anchors_are_dealt_before_the_shuffle(spark, docs, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 1, np.uint64)[0]
+    # one low half shared by all: every fingerprint meets at its anchors; some differ in up to four bits above
+    upper = rng.integers(0, 1 << 31, 900, np.uint64)
+    near = upper[:300]
+    for _ in range(4):
+        near = near ^ (np.uint64(1) << rng.integers(0, 32, 300, np.uint64))
+    prints = np.unique((np.concatenate([upper, near]) << np.uint64(32)) | (base & np.uint64(0xFFFFFFFF)))
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    work = Workspace(spark, "t")
+    anchored = work.cut(df.mapInArrow(simhash._anchor_rows, "anchor long, fp long"))
+    assert anchored.groupBy("anchor").count().agg(F.max("count")).first()[0] == len(prints)
+    cells = work.cut(simhash._cells(anchored, work, 100))
+    assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 100
+    linked = cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(simhash._link_rows, "u long, v long")
+    got = {r["u"]: r["v"] for r in components.components(linked, work).collect()}
+    close = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    signed, group = prints.view(np.int64), np.arange(len(prints))
+    while True:
+        least = np.array([group[c].min() for c in close])
+        if (least == group).all():
+            break
+        group = least
+    parted = {}
+    for x, g in zip(signed.tolist(), group.tolist()):
+        parted.setdefault(g, set()).add(got.get(x, x))
+    assert all(len(names) == 1 for names in parted.values()) and len({min(n) for n in parted.values()}) == len(parted)
+    want = sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=repr)
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=repr) == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     got = components.components(edges.union(spark.createDataFrame([(500, 499), (7, 7)], "u long, v long")), Workspace(spark, "t"))
