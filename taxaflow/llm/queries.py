@@ -32,7 +32,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every view of every dialogue, in parts of ``chat.PART`` turn numbers; null texts are empty, null roles no view."""
+    """Every view of every dialogue, whole, in pieces of ``chat.PIECE`` turns; null texts are empty, null roles no view."""
     views = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.transform("mask", lambda m: F.concat_ws(":", m.start.cast("string"), m.end.cast("string")))
     return views.withColumn("mask", F.array_join(spans, ","))

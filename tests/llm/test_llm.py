@@ -401,30 +401,61 @@ def test_chat_equals_its_twin_and_takes_odd_rows(spark):
     turns = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 2, None, "?"), (1, 2, "ann", "so"), (1, 2, "ann", "so"), (2, 0, "system", "x"), (None, None, "bob", "b"), (1, 600, "bob", "late")]
     got = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
     by = {(r["conv_id"], r["speaker"], r["part"]): r for r in got}
-    assert set(by) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 1), (1, "bob", 1), (None, "bob", 0)}
+    assert set(by) == {(1, "ann", 0), (1, "bob", 0), (None, "bob", 0)}
     own = by[1, "ann", 0]
     assert [own["text"][m["start"] : m["end"]] for m in own["mask"]] == [f"{x}<|im_end|>\n" for x in ("hi", "so", "so")]
-    assert own["n_turns"] == 5 and own["text"].count("user name=") == 2 and not by[1, "ann", 1]["mask"]
+    assert own["n_turns"] == 6 and own["text"].count("user name=") == 3 and own["text"].endswith("name=bob\nlate<|im_end|>\n")
     assert chat.rotate(empty(spark, "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_chat_with_very_many_turns_in_one_part_ends(spark):
-    n = 60_000
-    said = [(i % 8, "bob" if i % 3 == 0 else "ann", f"say {i % 997}") for i in range(n)]
-    turns = spark.createDataFrame([(None, *r) for r in said], "conv_id long, turn long, role string, text string")
-    started = time.monotonic()
-    got = {r["speaker"]: r for r in chat.rotate(turns).collect()}
-    assert time.monotonic() - started < 60  # masks that grow by copying take minutes
-    for speaker, row in got.items():
-        text, mask = [], []
-        at = 0
+def _views(said, piece):
+    """Brute force over the (turn, speaker, text) of one dialogue: (speaker, part, turns, text, mask) of every piece."""
+    out = []
+    for speaker in sorted({who for _, who, _ in said} - {"system"}):
+        at, pieces = 0, []
         for _, who, body in sorted(said):
-            piece = ("<|im_start|>assistant\n" if who == speaker else f"<|im_start|>user name={who}\n") + f"{body}<|im_end|>\n"
-            text.append(piece)
-            at += len(piece)
-            mask += [(at - len(body) - len("<|im_end|>\n"), at)] if who == speaker else []
-        assert (row["part"], row["n_turns"], row["text"]) == (0, n, "".join(text)) and [tuple(m) for m in row["mask"]] == mask
-    assert set(got) == {"ann", "bob"}
+            head = "<|im_start|>assistant\n" if who == speaker else "<|im_start|>system\n" if who == "system" else f"<|im_start|>user name={who}\n"
+            start = at + len(head)
+            at = start + len(body) + len("<|im_end|>\n")
+            pieces.append((f"{head}{body}<|im_end|>\n", [(start, at)] if who == speaker else []))
+        for k in range(0, len(pieces), piece):
+            some = pieces[k : k + piece]
+            out.append((speaker, k // piece, len(some), "".join(t for t, _ in some), [m for _, ms in some for m in ms]))
+    return out
+
+
+def _rotated(df, **kw):
+    return sorted(
+        ((r["conv_id"], r["speaker"], r["part"], r["n_turns"], r["text"], [tuple(m) for m in r["mask"]]) for r in chat.rotate(df, **kw).collect()), key=repr
+    )
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Small partitions stay apart, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("long", [chat.LONG, 1000])
+def test_chat_with_a_third_of_all_turns_in_one_dialogue(spark, long, many_partitions):
+    # most turns share few numbers, and a great many are equal in every column
+    said = [(i % 8, "bob" if i % 3 == 0 else "ann", f"say {i % 97}") for i in range(20_000)] + [(3, "ann", "copy")] * 10_000 + [(9, "system", "é")]
+    dialogues = {None: said, 5: [(k, f"p{k % 4}", "x" * k) for k in range(1300)], **{100 + c: [(0, "ann", "a"), (1, "bob", "b")] * 3 for c in range(20)}}
+    turns = spark.createDataFrame([(c, *r) for c, rows in dialogues.items() for r in rows], "conv_id long, turn long, role string, text string")
+    want = sorted(((c, *v) for c, rows in dialogues.items() for v in _views(rows, chat.PIECE)), key=repr)
+    assert _rotated(turns.repartition(7), long=long) == want
+
+
+def test_long_dialogues_lie_in_many_tasks(spark, many_partitions):
+    turns = spark.range(40_000).select(
+        F.lit(1).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("ann").alias("who"), F.lit("same").alias("body")
+    )
+    stretched, parted = chat._stretched(turns, 1000)
+    sizes = [r["count"] for r in stretched.groupBy("stretch").count().collect()]
+    assert parted and sum(sizes) == 40_000 and max(sizes) < 20_000
+    assert max(r["n_turns"] for r in chat.rotate(turns, speaker="who", text="body", long=1000).collect()) == chat.PIECE
 
 
 def _brute_neighbours(rows, k=10):
