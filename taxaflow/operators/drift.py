@@ -72,15 +72,16 @@ def json_leaves(df: DataFrame, key: str, column: str, depth: int = 64) -> DataFr
 
     Objects are opened level by level until only leaves are left; lists and empty objects are leaves, as JSON. Strings
     stand without quotes, other values as JSON, a JSON null is a null. Texts that are no JSON object, and nulls, have no
-    leaves. Names that repeat in one object: the last. Documents deeper than ``depth`` raise an error.
+    leaves. Names that repeat in one object: the last. Documents deeper than ``depth`` raise an error. The fields of each
+    level are written, so that no level opens those above it again.
     """
-    spark, done = df.sparkSession, None
+    spark, done, work = df.sparkSession, None, Workspace(df.sparkSession, "leaves")
     doc = F.try_parse_json(F.col(column))
     level = df.select(key, F.lit("").alias("path"), doc.alias("_v")).where(F.schema_of_variant("_v").startswith("OBJECT<"))
     for _ in range(depth):
         fields = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()).select(F.col("key").alias("_name"), F.col("value").alias("_x")))
         path = F.concat(F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise(""), "_name")
-        fields = fields.select(key, path.alias("path"), F.col("_x").alias("_v"), F.schema_of_variant("_x").alias("_kind"))
+        fields = work.cut(fields.select(key, path.alias("path"), F.col("_x").alias("_v"), F.schema_of_variant("_x").alias("_kind")))
         inner = F.col("_kind").startswith("OBJECT<") & (F.col("_kind") != "OBJECT<>")
         text = F.when(F.col("_kind") == "STRING", F.try_variant_get("_v", "$", "string")).when(F.col("_kind") != "VOID", F.to_json("_v"))
         found = fields.where(~inner).select(key, "path", text.alias("value"))

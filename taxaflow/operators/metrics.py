@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import matched, medians, ranked_by
+from ..workspace import Workspace
+from .order import matched, medians, medians_of, ranked_by
 from .selection import small
 
 
@@ -39,10 +40,12 @@ def finite(rows: DataFrame, *columns: str) -> DataFrame:
 def species_metrics(species: DataFrame, label: str, pred: str = "pred", group: Sequence[str] = ()) -> DataFrame:
     """Species MAE in logarithms and in years, Pearson in years, Spearman; null where undefined.
 
-    Ranks come from a distributed order of the different values; null labels or predictions have none.
+    Ranks come from a distributed order of the different values; null labels or predictions have none. The rows of
+    species, read for the order and again for the ranks, are written once.
     """
     keys = list(group)
-    ranked = ranked_by(species, keys, {label: "_x", pred: "_y"})
+    work = Workspace(species.sparkSession, "metrics")
+    ranked = ranked_by(work.cut(species.select(*keys, label, pred)), keys, {label: "_x", pred: "_y"}, work)
     years, guess = F.pow(F.lit(10.0), F.col(label)), F.pow(F.lit(10.0), F.col(pred))
     out = ranked.groupBy(*keys).agg(
         F.count("*").alias("n_species"),
@@ -141,9 +144,7 @@ def split_report(rows: DataFrame, split: str, species: str, family: str, class_:
 def gene_report(rows: DataFrame, species: str, values: Sequence[str]) -> DataFrame:
     """Genes per species and exact medians, picked by rank out of distributed counts of values."""
     out = rows.groupBy(species).agg(F.count("*").alias("n_genes"))
-    for v in values:
-        out = matched(out, medians(rows, [species], v, f"median_{v}"), [species], "left")
-    return out
+    return matched(out, medians_of(rows, [species], {v: f"median_{v}" for v in values}), [species], "left") if values else out
 
 
 # ---------------------------------------------------------------- logs

@@ -141,6 +141,11 @@ def hot_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "i
     on = list(on)
     counts = rows.groupBy(*on).agg(F.count("*").alias("_rows")) if counts is None else counts
     total, most = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    return _hot_joined(rows, table, on, how, nulls, counts, total, most)
+
+
+def _hot_joined(rows: DataFrame, table: DataFrame, on: list[str], how: str, nulls: bool, counts: DataFrame, total: int | None, most: int | None) -> DataFrame:
+    """``hot_join`` with the numbers of all rows and of those of the most frequent key."""
     least = max((total or 0) // HOT, 1000)
     if (most or 0) <= least:
         return _joined(rows, table, on, how, nulls)
@@ -158,15 +163,34 @@ def average_ranks(rows: DataFrame, by: Sequence[str], value: str, into: str, wor
     return ranked_by(rows, by, {value: into}, work)
 
 
+def _alike(rows: DataFrame, values: Iterable[str]) -> list[list[str]]:
+    """The columns in lists of one type each: values of one type can share one order."""
+    kinds: dict[str, list[str]] = {}
+    for v in values:
+        kinds.setdefault(rows.schema[v].dataType.simpleString(), []).append(v)
+    return list(kinds.values())
+
+
+def _running_counts(rows: DataFrame, by: Sequence[str], values: Sequence[str], work: Workspace | None) -> DataFrame:
+    """``by, _no, _value, _ties, _upto``: the different values of each column (``_no``: its place in ``values``) with their
+    numbers of rows and the running sum of these, all columns in one distributed order. Nulls are left out."""
+    each = [F.struct(F.lit(k).alias("_no"), F.col(v).alias("_value")) for k, v in enumerate(values)]
+    known = rows.select(*by, F.explode(F.array(*each)).alias("_e")).select(*by, "_e.*").where(F.col("_value").isNotNull())
+    known = known.groupBy(*by, "_no", "_value").agg(F.count("*").alias("_ties"))
+    return numbered(known, [*by, "_no"], ["_value"], "_at", {"_upto": F.col("_ties")}, work).drop("_at")
+
+
 def ranked_by(rows: DataFrame, by: Sequence[str], values: dict[str, str], work: Workspace | None = None) -> DataFrame:
-    """``average_ranks`` of several columns: value -> new column."""
+    """``average_ranks`` of several columns: value -> new column. Columns of one type share one order."""
     by, out = list(by), rows
-    for value, into in values.items():
-        known = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_ties"))
-        ranked = numbered(known, by, [value], "_at", {"_upto": F.col("_ties")}, work)
-        ranks = ranked.select(*by, value, (F.col("_upto") - (F.col("_ties") - 1) / 2.0).alias(into))
-        counts = ranked.select(*by, value, F.col("_ties").alias("_rows"))
-        out = hot_join(out, ranks, [*by, value], "left", bool(by), counts)
+    for alike in _alike(rows, values):
+        counts = _running_counts(rows, by, alike, work)
+        sizes = {r[0]: r[1:] for r in counts.groupBy("_no").agg(F.sum("_ties"), F.max("_ties")).collect()}  # one row a column
+        for k, value in enumerate(alike):
+            one = counts.where(F.col("_no") == k).withColumnRenamed("_value", value)
+            ranks = one.select(*by, value, (F.col("_upto") - (F.col("_ties") - 1) / 2.0).alias(values[value]))
+            ties = one.select(*by, value, F.col("_ties").alias("_rows"))
+            out = _hot_joined(out, ranks, [*by, value], "left", bool(by), ties, *sizes.get(k, (0, 0)))
     return out
 
 
@@ -181,12 +205,29 @@ def medians(rows: DataFrame, by: Sequence[str], value: str, into: str = "median"
     Equal values are counted first, running counts are distributed, and only the rows of the middle ranks are kept: no
     task holds a group's values. Null values are left out; a group without any has no row.
     """
-    by = list(by)
-    known = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_ties"))
-    counts = numbered(known, by, [value], "_at", {"_upto": F.col("_ties")}, work)
-    totals = counts.groupBy(*by).agg(F.max("_upto").alias("_total"))
-    both = hot_join(counts, totals, by, nulls=True) if by else counts.crossJoin(F.broadcast(totals))  # one row
-    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
-    holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_ties") < rank)
-    middle = both.where(holds(low) | holds(high)).groupBy(*by)
-    return middle.agg(((F.min(value) + F.max(value)) / 2.0).cast("double").alias(into))
+    return medians_of(rows, by, {value: into}, work)
+
+
+def medians_of(rows: DataFrame, by: Sequence[str], values: dict[str, str], work: Workspace | None = None) -> DataFrame:
+    """``medians`` of several columns: value -> new column. Columns of one type share one order.
+
+    A group with values in some columns only has nulls for the others; one without any has no row.
+    """
+    by, out = list(by), None
+    for alike in _alike(rows, values):
+        counts = _running_counts(rows, by, alike, work)
+        keys = [*by, "_no"]
+        both = hot_join(counts, counts.groupBy(*keys).agg(F.max("_upto").alias("_total")), keys, nulls=True)
+        low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+        holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_ties") < rank)  # noqa: B023, E731
+        middle = both.where(holds(low) | holds(high))
+        of = [F.when(F.col("_no") == k, F.col("_value")) for k in range(len(alike))]
+        found = middle.groupBy(*by).agg(*(((F.min(c) + F.max(c)) / 2.0).cast("double").alias(values[v]) for c, v in zip(of, alike)))
+        if out is None:
+            out = found
+        else:
+            theirs = found.withColumnsRenamed({c: f"_on_{c}" for c in by})
+            both_sides = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in by]
+            merged = out.join(theirs, both_sides, "full_outer") if by else out.crossJoin(F.broadcast(theirs))  # one row
+            out = merged.select(*(F.coalesce(c, f"_on_{c}").alias(c) for c in by), *(c for c in [*out.columns, *found.columns] if c not in by))
+    return out

@@ -11,6 +11,7 @@ from ..functions import fixed
 from ..functions.scalars import seeded_key, seeded_unit
 from ..workspace import Workspace
 from .order import hot_join, numbered
+from .selection import small
 
 
 def reverse_complement(s: Column) -> Column:
@@ -36,13 +37,15 @@ def blocks(df: DataFrame, keys: Sequence[str], text: str, size: int) -> DataFram
 def segment_pieces(segments: DataFrame, block_rows: DataFrame, size: int, on: Sequence[str]) -> DataFrame:
     """The parts of each segment ``[start, end)`` in the blocks it touches: an equi-join on block numbers, clipped.
 
+    Few segments, by the optimiser's size, are broadcast, so that blocks stay where they lie.
+
     ``segments(*on, start, end, ...)``, ``block_rows(*on, block_start, seq)`` with starts at multiples of ``size``.
     """
     first_block, last_block = F.floor(F.col("start") / size) * size, F.floor((F.col("end") - 1) / size) * size
     touched = segments.where(F.col("end") > F.col("start")).withColumn(
         "block_start", F.explode(F.sequence(first_block, last_block, F.lit(size).cast("long")))
     )
-    joined = touched.join(block_rows, [*on, "block_start"])
+    joined = small(touched).join(block_rows, [*on, "block_start"])
     first = F.greatest(F.col("start") - F.col("block_start"), F.lit(0))
     last = F.least(F.col("end") - F.col("block_start"), F.length("seq").cast("long"))
     joined = joined.where(last > first)
@@ -154,6 +157,7 @@ def sampled_windows(
         position = F.floor(seeded_unit(seed, F.col(unit), F.col("slot"), F.col("draw")) * F.col("_total"))
         placed = place_draws(drawn.select(unit, "slot", "draw", position.alias("position")), spans, unit)
         segments = placed.select(unit, record, "slot", "draw", "start", (F.col("start") + window).alias("end"), F.lit("+").alias("strand"))
+        segments = work.cut(segments)  # of known size: while few, blocks are not shuffled
         pieces = segment_pieces(segments, block_rows, block, [unit, record])
         read = spliced(pieces, [unit, "slot", "draw", record, "start"], "strand").drop("strand").withColumnRenamed("cds", "seq")
         few = read.where(n_share(F.col("seq")) <= most)

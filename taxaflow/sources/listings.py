@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scalars
+from ..operators.selection import small
 
 # ---------------------------------------------------------------- assembly summary
 
@@ -71,7 +72,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
     starts = blocks.select("file", "_block", (before - F.col("_first") + 1).alias("_shift"))
-    return lines.join(F.broadcast(starts), ["file", "_block"]).select("value", "file", (F.col("_id") + F.col("_shift")).alias("line"))
+    return lines.join(small(starts), ["file", "_block"]).select("value", "file", (F.col("_id") + F.col("_shift")).alias("line"))
 
 
 def _last_values(pairs: Column) -> Column:

@@ -114,3 +114,41 @@ def test_operators_over_one_group_with_a_third_of_all_rows(spark):
     assert {r["g"]: r["count"] for r in runs} == {g: min(10, len(ks)) for g, ks in own.items()}
     plan = selection.systematic(df, "g", "k", 7)._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+def test_medians_of_columns_of_several_types_and_groups_that_lack_some(spark):
+    import statistics
+
+    rng = random.Random(6)
+    value = lambda g, k: None if rng.random() < 0.2 or (g, k) in (("b", 0), (None, 2)) else rng.randrange(7)
+    rows = [(g, value(g, 0), value(g, 1), value(g, 2)) for g in ["hot"] * 300 + ["b"] * 40 + [None] * 30 + ["c"]]
+    rows = [(g, x, None if y is None else y / 2, z) for g, x, y, z in rows[:-1]] + [("c", None, None, None)]
+    df = spark.createDataFrame(rows, "g string, x long, y double, z long").repartition(4)
+    got = {r["g"]: (r["mx"], r["my"], r["mz"]) for r in order.medians_of(df, ["g"], {"x": "mx", "y": "my", "z": "mz"}).collect()}
+
+    def middle(g, k):
+        known = [r[k] for r in rows if r[0] == g and r[k] is not None]
+        return statistics.median(known) if known else None
+
+    assert got == {g: tuple(middle(g, k) for k in (1, 2, 3)) for g in ("hot", "b", None)}
+    assert [tuple(r) for r in order.medians_of(df, [], {"x": "mx", "y": "my"}).collect()] == [
+        tuple(statistics.median([r[k] for r in rows if r[k] is not None]) for k in (1, 2))
+    ]
+
+
+def test_ranks_of_several_columns_equal_sorted_lists(spark, monkeypatch):
+    monkeypatch.setattr(order, "HOT", 10)
+    rng = random.Random(8)
+    rows = [(k, None if k % 5 == 0 else "a", rng.choice([None, 1.0, 1.0, 2.5, float(rng.randrange(9))]), rng.choice([None, 1.0, rng.random()]), rng.randrange(3)) for k in range(3500)]
+    df = spark.createDataFrame(rows, "k long, g string, x double, y double, z int").repartition(5)
+    got = {r["k"]: (r["rx"], r["ry"], r["rz"]) for r in order.ranked_by(df, ["g"], {"x": "rx", "y": "ry", "z": "rz"}).collect()}
+    want = {k: [None] * 3 for k, *_ in rows}
+    for g in (None, "a"):
+        for c in (2, 3, 4):
+            known = sorted((r[c], r[0]) for r in rows if r[1] == g and r[c] is not None)
+            places = {}
+            for n, (v, _) in enumerate(known, 1):
+                places.setdefault(v, []).append(n)
+            for v, k in known:
+                want[k][c - 2] = sum(places[v]) / len(places[v])
+    assert got == {k: tuple(v) for k, v in want.items()}
