@@ -227,7 +227,7 @@ def json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"order":{"key":'), k.cast("string"), F.lit(',"of":{"status":'), text(F.col("o_orderstatus")), F.lit(',"list":['), F.col("o_custkey").cast("string"),
         F.lit(',{"x":1}],"none":null}},"priority":'), text(F.col("o_orderpriority")), F.lit(',"whole":'), (k % 2 == 0).cast("string"), F.lit(',"empty":{}}'),
     )
-    return D.json_leaves(spread(table(spark, sf_dir, "orders").select(k.alias("id"), doc.alias("doc"))), "id", "doc")
+    return D.json_leaves(spread(table(spark, sf_dir, "orders")).select(k.alias("id"), doc.alias("doc")), "id", "doc")
 
 
 # ---------------------------------------------------------------- listings written from the tables and parsed again
