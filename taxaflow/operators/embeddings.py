@@ -15,6 +15,8 @@ from .selection import small
 GALLERY_ROWS = 20_000
 #: Queries that meet one block of a larger gallery in one task.
 QUERY_ROWS = 50_000
+#: Products that a task holds at once (32 MB); they take about three times that while the best are picked.
+PRODUCTS = 1 << 22
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -82,15 +84,17 @@ def _search(query: str, key: str, vector: str, k: int, exclude_self: bool) -> Ca
     """The k best rows (and all ties of the kth, which the window breaks) of a matrix for each query of a frame."""
 
     def best(batch: pd.DataFrame, keys: np.ndarray, matrix: np.ndarray) -> Iterator[pd.DataFrame]:
-        for at in range(0, len(batch) if len(keys) else 0, 1024):
-            part = batch.iloc[at : at + 1024]
-            sims = np.array(part[vector].tolist(), np.float64).reshape(len(part), -1) @ matrix.T
+        step = max(1, PRODUCTS // max(1, len(keys)))
+        for at in range(0, len(batch) if len(keys) else 0, step):
+            part = batch.iloc[at : at + step]
+            far = np.array(part[vector].tolist(), np.float64).reshape(len(part), -1) @ matrix.T
+            np.negative(far, out=far)
             if exclude_self:
-                sims[part[query].to_numpy()[:, None] == keys[None, :]] = -np.inf
+                far[part[query].to_numpy()[:, None] == keys[None, :]] = np.inf
             n = min(k, len(keys))
-            kth = -np.partition(-sims, n - 1, axis=1)[:, n - 1 : n]
-            q, g = np.nonzero((sims >= kth) & (sims > -np.inf))
-            yield pd.DataFrame({query: part[query].to_numpy()[q], key: keys[g], "sim": sims[q, g]})
+            kth = np.partition(far, n - 1, axis=1)[:, n - 1 : n].copy()
+            q, g = np.nonzero((far <= kth) & (far < np.inf))
+            yield pd.DataFrame({query: part[query].to_numpy()[q], key: keys[g], "sim": -far[q, g]})
 
     return best
 

@@ -1,5 +1,11 @@
 """Work and memory that grow no faster than the input: what plans must and must not hold."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
+
+from taxaflow.operators import embeddings as E
 from taxaflow.operators import tables as B
 from taxaflow.plans import catalog
 
@@ -17,3 +23,20 @@ def test_image_pairs_make_strings_of_images_before_the_join(spark):
     assert found == [(i, g, 1, "species_reference", p) for i, p in (("i1", 7), ("i2", 8)) for g in ("G1", "G2")]
     above, below = _plan(catalog.queries()["image_pairs"](spark, SF)).split("Join", 1)
     assert "concat" not in above and "split" not in above and "Repartition" in below and "concat" in below
+
+
+def test_a_search_holds_few_products_at_once():
+    draw = np.random.default_rng(3)
+    keys, matrix = np.arange(20_000), draw.normal(size=(20_000, 8))
+    asked = pd.DataFrame({"query": np.arange(1100), "v": list(draw.normal(size=(1100, 8)))})
+    best = E._search("query", "key", "v", 3, True)
+    tracemalloc.start()
+    found = pd.concat(best(asked, keys, matrix))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    for q in (0, 777, 1099):
+        sims = matrix @ asked["v"][q]
+        sims[q] = -np.inf
+        own = found[found["query"] == q].sort_values("sim", ascending=False)
+        assert own["key"].tolist() == np.argsort(-sims)[:3].tolist()
