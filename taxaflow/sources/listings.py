@@ -86,26 +86,39 @@ def _last_values(pairs: Column) -> Column:
 # ---------------------------------------------------------------- alignments
 
 
+def _attribute(attributes: Column, name: str) -> Column:
+    """The value of ``name`` in ``name=value;...``; of a name that repeats, the last value stands.
+
+    Cut out by its name: a map of all attributes costs many times the line.
+    """
+    listed, mark = F.concat(F.lit(";"), attributes), f";{name}="
+    return F.when(F.contains(listed, F.lit(mark)), F.substring_index(F.substring_index(listed, mark, -1), ";", 1))
+
+
 def parse_gff(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Best hit of each protein (``Rank=1`` mRNA) with its sorted coding segments, from GFF lines ``value``."""
+    """Best hit of each protein (``Rank=1`` mRNA) with its sorted coding segments, from GFF lines ``value``.
+
+    Fields are cut out of lines of nine; an array of all fields would be made again for each condition.
+    """
     keys = keys or []
-    f = F.split("value", "\t")
-    c = lambda i: F.get(f, F.lit(i))
-    named = F.filter(F.split(c(8), ";"), lambda x: x.contains("="))
-    attributes = F.transform(named, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substr(x, F.instr(x, "=") + 1).alias("v")))
-    rows = lines.where(~F.col("value").startswith("#") & (F.size(f) == 9)).select(
-        *keys, c(0).alias("contig"), c(2).alias("kind"), c(3).try_cast("long").alias("start"), c(4).try_cast("long").alias("end"),
-        c(6).alias("strand"), _last_values(attributes).alias("a"),
-    )
-    a = lambda name: F.try_element_at("a", F.lit(name))
+    line, tab = F.col("value"), "\t"
+    c = lambda i: F.substring_index(F.substring_index(line, tab, i + 1), tab, -1)
+    tabs = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(tab), F.lit("")))
+    a = lambda name: _attribute(c(8), name)
+
+    def of(kind: str) -> DataFrame:
+        """Whole lines of one kind; others are passed over before they are cut."""
+        return lines.where(F.contains(line, F.lit(f"\t{kind}\t")) & ~line.startswith("#") & (tabs == 8) & (c(2) == kind))
+
+    start, end = c(3).try_cast("long").alias("start"), c(4).try_cast("long").alias("end")
     target = F.split(a("Target"), " ")
-    hits = rows.where((F.col("kind") == "mRNA") & (a("Rank") == "1")).select(
-        *keys, a("ID").alias("id"), "contig", "strand", "start", "end", F.get(target, F.lit(0)).alias("protein"),
+    hits = of("mRNA").where(a("Rank") == "1").select(
+        *keys, a("ID").alias("id"), c(0).alias("contig"), c(6).alias("strand"), start, end, F.get(target, F.lit(0)).alias("protein"),
         F.get(target, F.lit(1)).try_cast("long").alias("q_start"), F.get(target, F.lit(2)).try_cast("long").alias("q_end"),
         a("Identity").try_cast("double").alias("identity"), a("Positive").try_cast("double").alias("positive"),
         F.coalesce(a("Frameshift").try_cast("int"), F.lit(0)).alias("frameshifts"), F.coalesce(a("StopCodon").try_cast("int"), F.lit(0)).alias("stop_codons"),
     )
-    coding = rows.where(F.col("kind") == "CDS").groupBy(*keys, a("Parent").alias("id")).agg(
+    coding = of("CDS").select(*keys, a("Parent").alias("id"), start, end).groupBy(*keys, "id").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("segments")
     )
     return hits.join(coding, [*keys, "id"])

@@ -8,6 +8,7 @@ import pandas as pd
 from taxaflow.operators import embeddings as E
 from taxaflow.operators import tables as B
 from taxaflow.plans import catalog
+from taxaflow.sources import listings
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +41,17 @@ def test_a_search_holds_few_products_at_once():
         sims[q] = -np.inf
         own = found[found["query"] == q].sort_values("sim", ascending=False)
         assert own["key"].tolist() == np.argsort(-sims)[:3].tolist()
+
+
+def test_gff_attributes_are_cut_out_without_maps(spark):
+    lines = [
+        "#c\tx\tmRNA\t1\t9\t.\t+\t.\tID=no;Rank=1;Target=p 1 3", "c\tx\tmRNA\t1\t9\t.\t+\tID=no;Rank=1;Target=p 1 3",
+        "c\tx\tmRNA\t1\t9\t.\t+\t.\tID=no;Rank=1;Target=p 1 3\t", "c\tmRNA\tgene\t1\t9\t.\t+\t.\tID=no;Rank=1;Target=p 1 3",
+        "c\tx\tmRNA\t1\t9\t.\t-\t.\tOtherID=z;ID=a=b;Rank=2;Rank=1;Target=p 1 3;Identity=;note;=q", "c\tx\tmRNA\t1\t9\t.\t+\t.\tID=d;Rank=1",
+        "c\tx\tCDS\t5\t9\t.\t-\t.\tParent=a=b", "c\tCDS\tCDS\t1\tx\t.\t-\t.\tParent=d;Parent=a=b", "c\tx\tCDS\t1\t2\t.\t-\t.\tID=s", "c\tx\tCDS\t1\t2\t.\t-\t.\tGrandParent=d",
+    ]
+    found = listings.parse_gff(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert "map_from_entries" not in _plan(found) and "lambda" not in _plan(found)
+    (hit,) = found.collect()
+    assert (hit["id"], hit["protein"], hit["strand"], hit["q_end"], hit["identity"], hit["frameshifts"]) == ("a=b", "p", "-", 3, None, 0)
+    assert [tuple(s) for s in hit["segments"]] == [(1, None), (5, 9)]
