@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.scalars import seeded_key, seeded_unit
@@ -18,9 +20,17 @@ def reverse_complement(s: Column) -> Column:
     return F.reverse(F.translate(s, "ACGTNacgtn", "TGCANTGCAN"))
 
 
-def normal_bases(s: Column) -> Column:
-    """Upper case; anything but A, C, G, T becomes N."""
-    return F.regexp_replace(F.translate(s, "acgt", "ACGT"), "[^ACGT]", "N")
+#: Bases by byte: A, C, G and T in either case, N for everything else.
+_BASES = bytes(ord(chr(i).upper()) if chr(i) in "ACGTacgt" else ord("N") for i in range(256))
+
+
+@F.pandas_udf(T.StringType())
+def normal_bases(s: pd.Series) -> pd.Series:
+    """Upper case; anything but A, C, G, T becomes N.
+
+    Bytes are looked up in a table; a letter outside ASCII is one N. (A regular expression takes its time for each N.)
+    """
+    return s.map(lambda x: x.encode("ascii", "replace").translate(_BASES).decode("ascii"), na_action="ignore")
 
 
 def n_share(s: Column) -> Column:
@@ -28,10 +38,19 @@ def n_share(s: Column) -> Column:
 
 
 def blocks(df: DataFrame, keys: Sequence[str], text: str, size: int) -> DataFrame:
-    """``keys, block_start, seq``: pieces of ``size`` that never cross records; empty records have none."""
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(size)))
-    out = df.select(*keys, text, F.explode(starts).alias("block_start"))
-    return out.select(*keys, "block_start", F.substring(F.col(text), F.col("block_start") + 1, F.lit(size)).alias("seq"))
+    """``keys, block_start, seq``: pieces of ``size`` that never cross records; empty records have none.
+
+    Letters are found by counting from the start of a string, so long texts are cut into pieces of sixteen blocks first.
+    """
+
+    def cut(rows: DataFrame, source: str, step: int, start: str, into: str) -> DataFrame:
+        starts = F.when(F.length(source) > 0, F.sequence(F.lit(0), F.length(source) - 1, F.lit(step)))
+        out = rows.withColumn(start, F.explode(starts))
+        return out.withColumn(into, F.substring(F.col(source), F.col(start) + 1, F.lit(step))).drop(source)
+
+    pieces = cut(df.select(*keys, F.col(text).alias("_text")), "_text", 16 * size, "_from", "_piece")
+    out = cut(pieces, "_piece", size, "_in", "seq")
+    return out.select(*keys, (F.col("_from") + F.col("_in")).alias("block_start"), "seq")
 
 
 def segment_pieces(segments: DataFrame, block_rows: DataFrame, size: int, on: Sequence[str]) -> DataFrame:

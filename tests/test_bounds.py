@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 
 from taxaflow.operators import embeddings as E
+from taxaflow.operators import sequences as Q
 from taxaflow.operators import tables as B
 from taxaflow.plans import catalog
 from taxaflow.sources import listings
@@ -55,3 +56,15 @@ def test_gff_attributes_are_cut_out_without_maps(spark):
     (hit,) = found.collect()
     assert (hit["id"], hit["protein"], hit["strand"], hit["q_end"], hit["identity"], hit["frameshifts"]) == ("a=b", "p", "-", 3, None, 0)
     assert [tuple(s) for s in hit["segments"]] == [(1, None), (5, 9)]
+
+
+def test_bases_and_blocks_of_long_texts(spark):
+    odd = "acgtnACGTNxyz-\n\x00é\U0001f600k" * 3
+    texts = [("a", odd), ("b", ""), ("c", None), ("d", "acgtz" * 41), ("e", "A" * 32), ("f", "C" * 33)]
+    rows = spark.createDataFrame(texts, "record string, s string").select("record", Q.normal_bases("s").alias("s"))
+    assert "regexp_replace" not in _plan(rows)
+    found = {r["record"]: r["s"] for r in rows.collect()}
+    want = {k: t and "".join(c.upper() if c in "acgtACGT" else "N" for c in t) for k, t in texts}
+    assert found == want
+    made = sorted(tuple(r) for r in Q.blocks(rows, ["record"], "s", 2).collect())
+    assert made == sorted((k, i, t[i : i + 2]) for k, t in want.items() if t for i in range(0, len(t), 2))
