@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
 from .embeddings import normalised, top_k
 
 
@@ -74,7 +75,8 @@ def kmer_counts(df: DataFrame, keys: Sequence[str], text: str, k: int = 6) -> Da
 
 
 def kmer_profile(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Shares of each key's k-mers."""
+    """Shares of each key's k-mers. Counts are written once, so that sequences are not read again by each later step."""
+    counts = Workspace(counts.sparkSession, "kmers").cut(counts)
     total = counts.groupBy(*keys).agg(F.sum("n").alias("_t"))
     return counts.join(total, list(keys)).select(*keys, "kmer", (F.col("n") / F.col("_t")).alias("share"))
 

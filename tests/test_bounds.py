@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 
 from taxaflow.operators import embeddings as E
+from taxaflow.operators import kmers as K
 from taxaflow.operators import sequences as Q
 from taxaflow.operators import tables as B
 from taxaflow.plans import catalog
@@ -68,3 +69,10 @@ def test_bases_and_blocks_of_long_texts(spark):
     assert found == want
     made = sorted(tuple(r) for r in Q.blocks(rows, ["record"], "s", 2).collect())
     assert made == sorted((k, i, t[i : i + 2]) for k, t in want.items() if t for i in range(0, len(t), 2))
+
+
+def test_kmer_profiles_read_their_sequences_once(spark):
+    rows = spark.createDataFrame([("a", "ACGTT"), ("b", "GGGGC")], "k string, s string")
+    profile = K.kmer_profile(K.kmer_counts(rows, ["k"], "s", 2), ["k"])
+    assert "MapInPandas" not in _plan(profile)
+    assert sum(r["share"] for r in profile.collect()) == 2.0
