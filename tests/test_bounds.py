@@ -9,7 +9,7 @@ from taxaflow.operators import embeddings as E
 from taxaflow.operators import kmers as K
 from taxaflow.operators import sequences as Q
 from taxaflow.operators import tables as B
-from taxaflow.plans import catalog
+from taxaflow.plans import catalog, datasets
 from taxaflow.sources import listings
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +76,10 @@ def test_kmer_profiles_read_their_sequences_once(spark):
     profile = K.kmer_profile(K.kmer_counts(rows, ["k"], "s", 2), ["k"])
     assert "MapInPandas" not in _plan(profile)
     assert sum(r["share"] for r in profile.collect()) == 2.0
+
+
+def test_provenance_is_made_of_the_written_catalog(spark):
+    _, how = datasets._written_catalog(spark, SF)
+    catalog_rows = spark.read.parquet(how["catalog"])
+    assert "_s" in catalog_rows.columns  # kept, so that lines are not grouped again
+    assert spark.read.parquet(how["provenance"]).count() == catalog_rows.where("_s % 4 < 3").count() > 0
