@@ -13,6 +13,11 @@ from .order import numbered, sized
 
 #: A side is broadcast explicitly only if the optimiser puts its whole plan below so many bytes.
 BROADCAST_BYTES = 16 << 20
+#: Rows of a partition in which groups are capped. Up to ``FEW_PARTS`` partitions Spark writes a shuffle without holding
+#: rows; larger tables fill that many first, with up to ``MOST_ROWS`` rows each.
+PART_ROWS, MOST_ROWS, FEW_PARTS = 200_000, 2_000_000, 200
+#: Groups are counted in so many buckets, so that counts stay small however many groups there are.
+BUCKETS = 1 << 16
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -233,10 +238,43 @@ def with_filled(df: DataFrame, *columns: str) -> DataFrame:
 # ---------------------------------------------------------------- plain samples
 
 
-def cap_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    """At most ``n`` rows of each group, fixed by the seed."""
+def _dealt(df: DataFrame, group: str, key: str) -> tuple[DataFrame, bool]:
+    """``df`` in partitions of bounded size, rows of a group together; whether groups were cut into cells (``_cell``).
+
+    Rows go to their partition as they are read, so no task gathers what its split holds. Buckets of groups that would be
+    over a quarter of a partition are cut into cells, by the key and by the task that read the row: a large group lies in
+    many partitions, and of copies of one row only those that one task read are sure to stay together.
+    """
+    spark, bucket = df.sparkSession, F.pmod(F.xxhash64(group), F.lit(BUCKETS))
+    counts = df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_rows")).collect()  # BUCKETS rows at most
+    total = sum(r["_rows"] for r in counts)
+    parts = min(-(-total // PART_ROWS), max(FEW_PARTS, -(-total // MOST_ROWS)))
+    parts = max(parts, min(spark.sparkContext.defaultParallelism, -(-total // 10_000)), 1)
+    share = max(total // (4 * parts), 1)
+    large = [(r["_bucket"], -(-r["_rows"] // share)) for r in counts if r["_rows"] > share] if parts > 1 else []
+    if not large:
+        return df.repartition(parts, group), False
+    cells = F.broadcast(spark.createDataFrame(large, "_bucket long, _cells long"))  # 4 * parts rows at most
+    known = df.withColumn("_bucket", bucket).join(cells, "_bucket", "left")
+    cell = F.pmod(F.xxhash64(key, F.spark_partition_id()), F.coalesce("_cells", F.lit(1)))
+    return known.withColumn("_cell", cell).select(*df.columns, "_cell").repartition(parts, group, "_cell"), True
+
+
+def cap_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 0, different: bool = False) -> DataFrame:
+    """At most ``n`` rows of each group, fixed by the seed; ``different``: rows that are equal count once and are one row.
+
+    Rows are cut to the first ``n`` (``different``: of the first ``n`` keys) before equal ones are sought.
+    """
     order = [scalars.seeded_key(seed, F.col(key)), F.col(key)]
-    return capped(df, [group], order, n, "_rank").drop("_rank")
+    rows, cut = _dealt(df, group, key)
+    by = [group, "_cell"] if cut else [group]
+    if different:
+        rank = F.dense_rank().over(Window.partitionBy(*by).orderBy(*order))
+        rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank").distinct()
+    if cut:
+        rows = capped(rows, by, order, n, "_rank").drop("_rank", "_cell").repartition(group)
+        rows = rows.distinct() if different else rows
+    return capped(rows, [group], order, n, "_rank").drop("_rank")
 
 
 def round_robin(df: DataFrame, group: str, key: str, done: Column, n: int, seed: int = 0) -> DataFrame:

@@ -264,9 +264,9 @@ SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY
     md5('0:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey), l_orderkey || '-' || l_linenumber || '-' || l_partkey) <= 20""")
 def cap_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]
-    rows = table(spark, sf_dir, "lineitem").select(*columns).distinct()
+    rows = table(spark, sf_dir, "lineitem").select(*columns)
     rows = rows.withColumn("_key", F.concat_ws("-", *columns[1:]))
-    return S.cap_per_group(rows, "l_suppkey", "_key", 20).drop("_key")
+    return S.cap_per_group(rows, "l_suppkey", "_key", 20, different=True).drop("_key")
 
 
 @_r.query("""

@@ -1,12 +1,15 @@
 """Work and memory that grow no faster than the input: what plans must and must not hold."""
 
+import hashlib
 import tracemalloc
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from taxaflow.operators import embeddings as E
 from taxaflow.operators import kmers as K
+from taxaflow.operators import selection as S
 from taxaflow.operators import sequences as Q
 from taxaflow.operators import tables as B
 from taxaflow.plans import catalog, datasets
@@ -83,3 +86,35 @@ def test_provenance_is_made_of_the_written_catalog(spark):
     catalog_rows = spark.read.parquet(how["catalog"])
     assert "_s" in catalog_rows.columns  # kept, so that lines are not grouped again
     assert spark.read.parquet(how["provenance"]).count() == catalog_rows.where("_s % 4 < 3").count() > 0
+
+
+def test_capped_groups_are_dealt_before_rows_are_held(spark, monkeypatch):
+    above, below = _plan(catalog.queries()["cap_per_group"](spark, SF)).rsplit("Repartition", 1)
+    assert "Aggregate" in above and "Window" in above  # over what a partition of bounded size has
+    assert "Aggregate" not in below and "Window" not in below and "Sort" not in below  # not over a whole split
+    # 4,000 rows of one group, 3,000 copies of one row, 600 small groups, 300 rows without a group
+    at = F.col("id")
+    group = F.when(at < 4000, 1).when(at < 7000, 2).when(at < 10_000, 3 + at % 600)
+    made = spark.range(0, 10_300, 1, 32).repartition(32).select(group.alias("g"), F.when((at >= 4000) & (at < 7000), 0).otherwise(at).alias("k"))
+    rows = made.unionByName(made.where("k % 3 = 0 and k > 0"))
+    monkeypatch.setattr(S, "PART_ROWS", 500)
+    dealt, cut = S._dealt(rows, "g", "k")
+    parts, n = dealt.rdd.getNumPartitions(), rows.count()
+    assert cut and parts == -(-n // 500)
+    assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) <= 3 * 500
+    held = [tuple(r) for r in rows.collect()]
+    for different in (True, False):
+        want = {}
+        for g, k in set(held) if different else held:
+            want.setdefault(g, []).append((hashlib.md5(f"7:{k}".encode()).hexdigest(), k))
+        want = sorted((str(g), k) for g, ks in want.items() for _, k in sorted(ks)[:6])
+        for size in (500, 1 << 30):  # groups cut into cells, and whole
+            monkeypatch.setattr(S, "PART_ROWS", size)
+            found = S.cap_per_group(rows, "g", "k", 6, 7, different).collect()
+            assert sorted((str(r["g"]), r["k"]) for r in found) == want
+
+
+def test_rows_with_one_key_are_capped_too(spark):
+    rows = spark.createDataFrame([(1, "a", x) for x in (1, 1, 2, 3)] + [(1, "b", 1), (2, "a", 1)], "g int, k string, x int")
+    found = S.cap_per_group(rows, "g", "k", 2, different=True).collect()
+    assert sorted(r["g"] for r in found) == [1, 1, 2] and len({tuple(r) for r in found}) == 3
