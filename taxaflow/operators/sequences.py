@@ -151,7 +151,7 @@ def token_windows(blocks: DataFrame, unit: str, order: Sequence[str], ids: str,
 
 def sampled_windows(
     block_rows: DataFrame, unit: str, record: str, block: int, window: int, n: int, *, seed: int = 0,
-    most: float = fixed.MAX_N_SHARE, tries: int = fixed.MAX_DRAWS, work: Workspace | None = None,
+    most: float = fixed.MAX_N_SHARE, tries: int = fixed.MAX_DRAWS, complete: bool = True, work: Workspace | None = None,
 ) -> DataFrame:
     """``unit, slot, draw, record, start, seq``: ``n`` random windows of each unit with few unknown bases.
 
@@ -160,14 +160,17 @@ def sampled_windows(
     share of unknown bases of at most ``most``: draw ``d`` is fixed by seed, unit, slot and ``d``, so windows depend
     neither on rows nor on each other. Rounds of more and more draws (4, then four times as many) are made only for
     slots that are still open: drawn, placed in records, fetched across the borders of blocks, judged. A unit without a
-    record of ``window`` letters, or with a slot that is open after ``tries`` draws, raises an error that names it.
+    record of ``window`` letters, or with a slot that is open after ``tries`` draws, raises an error that names it; if not
+    ``complete``, such units and slots have no rows, and neither has a null unit.
     """
     work = work or Workspace(block_rows.sparkSession, "windows")
+    if not complete:
+        block_rows = block_rows.where(F.col(unit).isNotNull())
     sizes = block_rows.groupBy(unit, record).agg(F.sum(F.length("seq")).alias("_n"))
     spans = work.cut(valid_starts(sizes, unit, record, "_n", window).select(unit, record, "cum_lo", "cum_hi"))
     totals = spans.groupBy(unit).agg(F.max("cum_hi").alias("_total"))
     short = block_rows.select(unit).distinct().join(totals, unit, "left_anti")
-    if names := [r[unit] for r in short.orderBy(unit).limit(fixed.MESSAGES).collect()]:
+    if complete and (names := [r[unit] for r in short.orderBy(unit).limit(fixed.MESSAGES).collect()]):
         raise ValueError(f"no sequence of at least {window} letters: {names}")
     slots = totals.select(unit, "_total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
     done, low, high = None, 0, min(4, tries)
@@ -187,6 +190,8 @@ def sampled_windows(
         if not slots.limit(1).count():
             return done
         low, high = high, min(high * 4, tries)
+    if not complete:
+        return done
     names = [r[unit] for r in slots.select(unit).distinct().orderBy(unit).limit(fixed.MESSAGES).collect()]
     raise ValueError(f"no window with a share of unknown bases of at most {most} in {tries} draws: {names}")
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 
+import compare
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from taxaflow.operators import sequences
+from taxaflow.plans import catalog
 
 
 def _unit(*keys):
@@ -61,6 +64,25 @@ def test_units_that_lack_windows_are_named(spark):
         sequences.sampled_windows(_blocks(spark, genomes, 32), "unit", "record", 32, 500, 2)
 
 
+def test_open_slots_are_left_out_if_asked_for(spark):
+    genomes = {"good": {"a": "ACGT" * 50}, "poor": {"a": "N" * 200}, "poorer": {"a": "NA" * 90 + "ACGT" * 9}, "short": {"a": "ACG"}, None: {"a": "ACGT" * 50}}
+    got = sequences.sampled_windows(_blocks(spark, genomes, 32), "unit", "record", 32, 20, 4, seed=1, tries=20, complete=False)
+    want = _brute({u: genomes[u] for u in ("good", "poor", "poorer")}, 20, 4, 1, 0.01, 20)
+    assert sorted((r["unit"], r["slot"], r["draw"], r["record"], r["start"], r["seq"]) for r in got.collect()) == want
+    assert 0 < sum(w[0] == "poorer" for w in want) < 4
+
+
+def test_good_windows_equal_their_twin_where_draws_run_out(spark, tmp_path):
+    table = "'/root/testdata/sf0.001/documents.parquet'"
+    made = f"SELECT * FROM {table} UNION ALL SELECT * REPLACE (doc_id + 1000000 AS doc_id) FROM {table}"  # 3 of 160 slots stay open
+    made += f" UNION ALL SELECT * REPLACE (doc_id + 2000000 AS doc_id, NULL AS source) FROM {table} WHERE doc_id < 9"
+    made += f" UNION ALL SELECT * REPLACE (doc_id + 3000000 AS doc_id, 'short' AS source, 'acgt' AS text) FROM {table} WHERE doc_id < 9"
+    duckdb.sql(f"COPY ({made}) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    names, rows = compare.spark_rows(catalog.queries()["good_windows"](spark, str(tmp_path)))
+    assert (names, rows) == compare.duck_rows(catalog.oracles()["good_windows"], str(tmp_path))
+    assert len(rows) == 157
+
+
 def test_batches_equal_a_loop(spark):
     rng = random.Random(7)
     rows = [(k, rng.randrange(1, 60), rng.randrange(1, 4)) for k in range(700)]
