@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from taxaflow.operators import embeddings as E
@@ -31,6 +32,26 @@ def test_image_pairs_make_strings_of_images_before_the_join(spark):
     assert "concat" not in above and "split" not in above and "Repartition" in below and "concat" in below
 
 
+def test_tasks_take_images_by_species(spark, monkeypatch):
+    images = spark.range(3000).select(F.concat(F.lit("i"), "id").alias("image_id"), (F.col("id") * 7 % 5).alias("ncbi_taxid"))
+    genomes = spark.range(40).select(F.concat(F.lit("G"), "id").alias("assembly_accession"), (F.col("id") % 5).alias("species_taxid"))
+    pairs = B.image_pairs(images, genomes).withColumn("part", F.spark_partition_id()).collect()
+    assert {(r["image_id"], r["assembly_accession"]) for r in pairs} == {(f"i{i}", f"G{g}") for i in range(3000) for g in range(40) if i * 7 % 5 == g % 5}
+    assert len(pairs) == 3000 * 8
+    lists = {}
+    for r in pairs:
+        lists.setdefault(r["part"], []).append(r["ncbi_taxid"])
+    assert len(lists) > 1
+    for seen in lists.values():
+        assert 1 + sum(a != b for a, b in zip(seen, seen[1:])) == len(set(seen))
+    # stretches are bounded, and lose no row
+    monkeypatch.setattr(B, "STRETCH_BYTES", 4000)
+    table = pa.table({"k": [3, 1, None, 2] * 1000, "x": [f"x{i}" for i in range(4000)]})
+    made = list(B._clustered("k")(iter(table.to_batches(max_chunksize=50))))
+    assert sorted(r["x"] for b in made for r in b.to_pylist()) == sorted(table["x"].to_pylist())
+    assert max(b.nbytes for b in made) < 2 * 4000 and [b for b in made if b.column("k").null_count < len(b)] == made
+
+
 def test_a_search_holds_few_products_at_once():
     draw = np.random.default_rng(3)
     keys, matrix = np.arange(20_000), draw.normal(size=(20_000, 8))
